@@ -9,7 +9,7 @@ from larkspur.llm.common import WORD_RE, durable
 
 BUCKETS = 1 << 14
 SMOOTH = 1.0  # added to each bucket's count in both models
-THRESHOLD = -0.25  # nats per n-gram; documents below it go
+THRESHOLD = -0.06  # nats per n-gram; documents below it go
 
 
 def words_of(text: Column) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import (
+    cotraining,
     embedding_dedup,
+    gru_lm,
     line_dedup,
     minhash_dedup,
     mixing,
@@ -28,6 +30,10 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct()
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -44,6 +50,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
 
 
+def op6_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -61,7 +71,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_embedding_dedup, op3_warc, op4_minhash_dedup, op5_quality_rules, op7_mixing, op8_line_dedup, op9_url_rules, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_cotraining, op2_embedding_dedup, op3_warc, op4_minhash_dedup, op5_quality_rules, op6_gru_lm, op7_mixing, op8_line_dedup, op9_url_rules, op10_sentencepiece)}
 
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
