@@ -86,20 +86,21 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 150, l2:
     """Logistic regression on standardised columns by accelerated gradient steps; returns raw weights and bias."""
     mean = x.mean(0)
     scale = 1 / np.maximum(x.std(0), 1e-4 * max(1e-9, float(np.abs(x).max())))
-    scale[np.isinf(scale)] = 0
     z = ((x - mean) * scale).astype(np.float32)
-    z /= np.float32(max(1.0, np.sqrt((z * z).sum(1).mean())))
-    factor = scale / max(1.0, float(np.sqrt((((x - mean) * scale) ** 2).sum(1).mean())))
+    norm = max(1.0, float(np.sqrt(np.einsum("ij,ij->", z, z) / len(z))))
+    z /= np.float32(norm)
+    factor = scale.astype(np.float64) / norm
+    y = y.astype(np.float32)
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     weight = (weight / weight.sum()).astype(np.float32)
     # steps of Nesterov's method; the mean squared row norm is 1, so a step of 2 is safe for most of the rows
     v, bv, step = w.copy(), b, 2.0
     for k in range(steps):
-        p = 1 / (1 + np.exp(-(z @ v + bv)))
+        p = 1 / (1 + np.exp(-(z @ v + np.float32(bv))))
         g = weight * (p - y)
-        nw, nb = v - step * (z.T @ g + l2 * v), bv - step * float(g.sum())
-        m = k / (k + 3)
-        v, bv = nw + m * (nw - w), nb + m * (nb - b)
+        nw, nb = v - np.float32(step) * (g @ z + np.float32(l2) * v), bv - step * float(g.sum())
+        m = np.float32(k / (k + 3))
+        v, bv = nw + m * (nw - w), nb + float(m) * (nb - b)
         w, b = nw, nb
     raw = w.astype(np.float64) * factor
     return raw, b - float(raw @ mean)

@@ -17,10 +17,13 @@ CLASSES, MEMBERS = 32, 32
 SYMBOLS = CLASSES * MEMBERS  # 0: end, 1: any other word, then the most frequent words
 FREQUENT = 1 << 16  # words whose counts go to every task; all others are joined
 WINDOW = 16  # steps of truncated backpropagation
+PIECE = 512  # symbols after which training on a long text starts from a fresh state, so that lanes stay even
+SPAN = 64  # steps scored at a time; the state is carried from span to span
 LANES = 512  # documents side by side
 ROUNDS = 2  # synchronisations; each trains on another part of the documents
 RATE = 0.01
 CACHE = 400_000  # words a task remembers before it starts anew
+SAID = 8  # words met so often in a task are reported with their text, which spares others their hash
 CHUNK = 4096  # parameters of a row when models are averaged
 
 
@@ -33,14 +36,15 @@ def _hash(w: bytes) -> int:
 
 
 def _count(it):
-    """(h, n): word counts by 64-bit hash, as many rows as a task has distinct words (or CACHE at a time)."""
+    """(h, n, w): word counts by 64-bit hash, as many rows as a task has distinct words (or CACHE at a time)."""
     from collections import Counter
 
     c: Counter = Counter()
 
     def out():
         words = list(c)
-        return pa.record_batch({"h": pa.array([_hash(w) for w in words], pa.int64()), "n": pa.array([c[w] for w in words], pa.int64())})
+        said = [w.decode() if c[w] >= SAID and len(w) <= 64 else None for w in words]
+        return pa.record_batch({"h": pa.array([_hash(w) for w in words], pa.int64()), "n": pa.array([c[w] for w in words], pa.int64()), "w": pa.array(said, pa.string())})
 
     for b in it:
         for t in as_bytes(b.column(0)):
@@ -54,10 +58,12 @@ def _count(it):
 class Words(dict):
     """Codes of words: their place among the frequent, or FREQUENT + k for the k-th other hash met."""
 
-    def __init__(self, frequent: np.ndarray):
+    def __init__(self, frequent: np.ndarray, said: list[bytes | None]):
         super().__init__()
         self.place = {h: i for i, h in enumerate(frequent.tolist())}
+        self.said = {w: i for i, w in enumerate(said) if w is not None}
         self.rare: list[int] = []
+        self.update(self.said)
 
     def __missing__(self, w: bytes) -> int:
         h = _hash(w)
@@ -76,6 +82,7 @@ class Words(dict):
         if len(self) > CACHE:
             self.clear()
             self.rare = []
+            self.update(self.said)
 
 
 def symbols(codes: np.ndarray) -> np.ndarray:
@@ -128,8 +135,8 @@ def lanes(texts: list[np.ndarray], most: int) -> list[list[int]]:
     return sorted(out, key=lambda x: -sum(len(texts[i]) for i in x))
 
 
-def windows(texts: list[np.ndarray], most: int):
-    """Yield (inputs, targets, starts, owners) of WINDOW steps by the lanes still running.
+def windows(texts: list[np.ndarray], most: int, window: int = WINDOW):
+    """Yield (inputs, targets, starts, owners) of `window` steps by the lanes still running.
 
     starts marks where a text begins (the state is reset); target -1 pads a lane's last window.
     """
@@ -137,18 +144,21 @@ def windows(texts: list[np.ndarray], most: int):
     length = [sum(len(texts[i]) for i in x) for x in deal]
     target = [np.concatenate([texts[i] for i in x]) for x in deal]
     owner = [np.repeat(x, [len(texts[i]) for i in x]) for x in deal]
-    for t in range(0, length[0], WINDOW):
+    for t in range(0, length[0], window):
         live = sum(n > t for n in length)
-        y = np.full((WINDOW, live), -1, np.int32)
-        o = np.zeros((WINDOW, live), np.int64)
-        x = np.zeros((WINDOW, live), np.int32)
+        y = np.full((window, live), -1, np.int32)
+        o = np.zeros((window, live), np.int64)
+        x = np.zeros((window, live), np.int32)
         for k in range(live):
-            part = target[k][t : t + WINDOW]
+            part = target[k][t : t + window]
             y[: len(part), k] = part
-            o[: len(part), k] = owner[k][t : t + WINDOW]
+            o[: len(part), k] = owner[k][t : t + window]
             x[1 : len(part), k] = part[:-1]
             x[0, k] = target[k][t - 1] if t else 0
-        yield x, y, x == 0, o  # the symbol before a text is the end of another: where the input is 0, a text starts
+            if t and owner[k][t - 1] != owner[k][t]:
+                x[0, k] = 0
+            x[1 : len(part), k][o[1 : len(part), k] != o[: len(part) - 1, k]] = 0
+        yield x, y, x == 0, o  # the input at a text's start is the end symbol, which comes nowhere else
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -181,23 +191,32 @@ def _by_class(y: np.ndarray):
             yield c, order[edge[c] : edge[c + 1]]
 
 
+LIMIT = np.float32(60)  # logits are held within it, so that no exponential overflows
+
+
+def _logits(w: np.ndarray, b: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Outcomes by rows, states by columns: sums over outcomes then run along memory."""
+    a = w.T @ h + b[:, None]
+    return np.clip(a, -LIMIT, LIMIT, out=a)
+
+
 def log_probs(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of targets y given states h: log P(class) + log P(member | class)."""
-    a = h @ p["wc"] + p["bc"]
-    a -= a.max(1, keepdims=True)
-    out = a[np.arange(len(y)), y // MEMBERS] - np.log(np.exp(a).sum(1))
+    """Natural log probabilities of targets y given states h (H, n): log P(class) + log P(member | class)."""
+    out = np.empty(len(y), np.float32)
+    a = _logits(p["wc"], p["bc"], h)
+    out[:] = a[y // MEMBERS, np.arange(len(y))]
+    out -= np.log(np.exp(a, out=a).sum(0))
     for c, k in _by_class(y):
-        b = h[k] @ p["wo"][c] + p["bo"][c]
-        b -= b.max(1, keepdims=True)
-        out[k] += b[np.arange(len(k)), y[k] % MEMBERS] - np.log(np.exp(b).sum(1))
+        a = _logits(p["wo"][c], p["bo"][c], h[:, k])
+        said = a[y[k] % MEMBERS, np.arange(len(k))]
+        out[k] += said - np.log(np.exp(a, out=a).sum(0))
     return out
 
 
 def _softmax_gradient(a: np.ndarray, y: np.ndarray) -> np.ndarray:
-    a -= a.max(1, keepdims=True)
     np.exp(a, out=a)
-    a /= a.sum(1, keepdims=True)
-    a[np.arange(len(y)), y] -= 1
+    a /= a.sum(0)
+    a[y, np.arange(len(y))] -= 1
     return a
 
 
@@ -206,18 +225,18 @@ def gradient(p: dict, x: np.ndarray, y: np.ndarray, start: np.ndarray, h0: np.nd
     steps: list = []
     hs = run(p, x, start, h0, steps)
     ok = np.flatnonzero(y.ravel() >= 0)
-    flat, t = hs.reshape(-1, H)[ok], y.ravel()[ok]
+    flat, t = np.ascontiguousarray(hs.reshape(-1, H)[ok].T), y.ravel()[ok]
     g = {k: np.zeros(s, np.float32) for k, s in SHAPES.items() if k != "wx"}
-    d = _softmax_gradient(flat @ p["wc"] + p["bc"], t // MEMBERS)
-    g["wc"], g["bc"] = flat.T @ d, d.sum(0)
-    dh = d @ p["wc"].T
+    d = _softmax_gradient(_logits(p["wc"], p["bc"], flat), t // MEMBERS)
+    g["wc"], g["bc"] = flat @ d.T, d.sum(1)
+    dh = p["wc"] @ d
     for c, k in _by_class(t):
-        hk = flat[k]
-        d = _softmax_gradient(hk @ p["wo"][c] + p["bo"][c], t[k] % MEMBERS)
-        g["wo"][c], g["bo"][c] = hk.T @ d, d.sum(0)
-        dh[k] += d @ p["wo"][c].T
+        hk = flat[:, k]
+        d = _softmax_gradient(_logits(p["wo"][c], p["bo"][c], hk), t[k] % MEMBERS)
+        g["wo"][c], g["bo"][c] = hk @ d.T, d.sum(1)
+        dh[:, k] += p["wo"][c] @ d
     every = np.zeros((y.size, H), np.float32)
-    every[ok] = dh
+    every[ok] = dh.T
     every = every.reshape(*y.shape, H)
     dgx = np.empty((*x.shape, 3 * H), np.float32)
     back = np.zeros((x.shape[1], H), np.float32)
@@ -259,6 +278,7 @@ class Adam:
 def train(flat: np.ndarray, texts: list[np.ndarray], adam: Adam) -> np.ndarray:
     """One pass over texts (symbols with ends): a step a window, the state carried to the next."""
     h = np.zeros((0, H), np.float32)
+    texts = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
     for x, y, start, _ in windows(texts, LANES):
         p = unpack(flat)
         h = np.zeros((x.shape[1], H), np.float32) if not len(h) else h[: x.shape[1]]
@@ -271,12 +291,12 @@ def score(p: dict, texts: list[np.ndarray]) -> np.ndarray:
     """Each text's log10 probability, the end included, with the state carried through the whole text."""
     out = np.zeros(len(texts))
     h = np.zeros((0, H), np.float32)
-    for x, y, start, owner in windows(texts, 2 * LANES):
+    for x, y, start, owner in windows(texts, 2 * LANES, SPAN):
         h = np.zeros((x.shape[1], H), np.float32) if not len(h) else h[: x.shape[1]]
         hs = run(p, x, start, h)
         h = hs[-1]
         ok = np.flatnonzero(y.ravel() >= 0)
-        lp = log_probs(p, hs.reshape(-1, H)[ok], y.ravel()[ok])
+        lp = log_probs(p, np.ascontiguousarray(hs.reshape(-1, H)[ok].T), y.ravel()[ok])
         out += np.bincount(owner.ravel()[ok], lp.astype(np.float64), len(texts))
     return out / np.log(10)
 
@@ -301,13 +321,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10) == 0
     learn = d.where(~held)
-    counts = durable(learn.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "counts")
+    counts = durable(learn.select("text").mapInArrow(_count, "h long, n long, w string").groupBy("h").agg(F.sum("n").alias("c"), F.max("w").alias("w")), "counts")
     ends = learn.count()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()  # bounded by FREQUENT
     freq_h, freq_c = (np.array([r[i] for r in top], np.int64) for i in (0, 1))
     n_train, vocabulary = total + ends, distinct + (ends > 0)
     z = n_train + 0.1 * (vocabulary + 1)
+    said = [None if r[2] is None else r[2].encode() for r in top]
     known = min(len(top), SYMBOLS - 2)
     others = total - int(freq_c[:known].sum())
     z_other = others + 0.1 * (distinct - known + 1)
@@ -317,14 +338,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     flat = pack(fresh(sym))
     for k in range(ROUNDS):
-        flat = _round(learn, k, flat, freq_h)
-    sent = spark.sparkContext.broadcast((flat, freq_h, freq_c))
+        flat = _round(learn, k, flat, freq_h[:known], said[:known])
+    sent = spark.sparkContext.broadcast((flat, freq_h, freq_c, said))
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_freq long, base double, net double, n_other long, other double, rare_h array<long>, rare_n array<int>"
 
     def work(it):
-        params, fh, fc = sent.value
-        p, words = unpack(params), Words(fh)
+        params, fh, fc, fw = sent.value
+        p, words = unpack(params), Words(fh, fw)
         logs = np.log10(np.append(fc, 0) + 0.1)
         for b in it:
             held_out = b.column(2)
@@ -344,7 +365,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = d.select("doc_id", "text", held.alias("held_out")).mapInArrow(work, schema)
     rows = durable(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("row", F.expr("inline(arrays_zip(rare_h, rare_n))")).join(counts, F.col("rare_h") == F.col("h"), "left")
+    rare = rows.select("row", F.expr("inline(arrays_zip(rare_h, rare_n))")).join(counts.select("h", "c"), F.col("rare_h") == F.col("h"), "left")
     rare = rare.groupBy("row").agg(F.sum(F.col("rare_n") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("lr"), F.sum(F.when(F.col("c") > 0, F.col("rare_n")).otherwise(0)).alias("kr"))
     end = log10(ends + 0.1)
     lz, lo = log10(z), log10(z_other)
@@ -360,19 +381,23 @@ def _lists(rows: list[tuple], i: int, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *(r[i] for r in rows)]).astype(kind.to_pandas_dtype()), kind))
 
 
-def _round(learn: DataFrame, k: int, flat: np.ndarray, freq: np.ndarray) -> np.ndarray:
+def _round(learn: DataFrame, k: int, flat: np.ndarray, freq: np.ndarray, said: list[bytes | None]) -> np.ndarray:
     """Train on the k-th part in every task, and average the models."""
     part = learn.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k).select("text")
-    sent = learn.sparkSession.sparkContext.broadcast((flat, freq))
+    sent = learn.sparkSession.sparkContext.broadcast((flat, freq, said))
 
     def work(it):
-        mine, fh = sent.value
-        words, adam, tokens = Words(fh), Adam(), 0
+        mine, fh, fw = sent.value
+        words, adam, tokens = Words(fh, fw), Adam(), 0
+        plain = None if any(w is None for w in fw) else dict(zip(fw, range(2, len(fw) + 2), strict=True))
         for b in it:
             texts = []
             for t in as_bytes(b.column(0)):
-                words.trim()
-                texts.append(symbols(words.codes(t)))
+                if plain is None:
+                    words.trim()
+                    texts.append(symbols(words.codes(t)))
+                else:
+                    texts.append(np.array([*[plain.get(w, 1) for w in t.lower().split()], 0], np.int32))
             if texts:
                 mine = train(mine, texts, adam)
                 tokens += sum(map(len, texts))
