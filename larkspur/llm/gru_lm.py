@@ -357,7 +357,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 texts.append(symbols(c))
                 f, rare = c[c < FREQUENT], c[c >= FREQUENT]
                 oov = f[f >= SYMBOLS - 2]
-                h, n = np.unique(np.array(words.rare, np.int64)[rare - FREQUENT] if len(rare) else rare, return_counts=True)
+                h, n = np.unique(np.fromiter(map(words.rare.__getitem__, (rare - FREQUENT).tolist()), np.int64, len(rare)), return_counts=True)
                 rows.append((len(c) + 1, len(f), logs[f].sum(), len(oov) + len(rare), logs[oov].sum(), h, n.astype(np.int32)))
             net = score(p, texts) if texts else np.zeros(0)
             col = lambda i, k: pa.array([r[i] for r in rows], k)
