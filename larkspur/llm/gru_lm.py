@@ -141,24 +141,22 @@ def windows(texts: list[np.ndarray], most: int, window: int = WINDOW):
     starts marks where a text begins (the state is reset); target -1 pads a lane's last window.
     """
     deal = lanes(texts, most)
-    length = [sum(len(texts[i]) for i in x) for x in deal]
-    target = [np.concatenate([texts[i] for i in x]) for x in deal]
-    owner = [np.repeat(x, [len(texts[i]) for i in x]) for x in deal]
-    for t in range(0, length[0], window):
-        live = sum(n > t for n in length)
-        y = np.full((window, live), -1, np.int32)
-        o = np.zeros((window, live), np.int64)
-        x = np.zeros((window, live), np.int32)
-        for k in range(live):
-            part = target[k][t : t + window]
-            y[: len(part), k] = part
-            o[: len(part), k] = owner[k][t : t + window]
-            x[1 : len(part), k] = part[:-1]
-            x[0, k] = target[k][t - 1] if t else 0
-            if t and owner[k][t - 1] != owner[k][t]:
-                x[0, k] = 0
-            x[1 : len(part), k][o[1 : len(part), k] != o[: len(part) - 1, k]] = 0
-        yield x, y, x == 0, o  # the input at a text's start is the end symbol, which comes nowhere else
+    order = [i for x in deal for i in x]
+    size = np.fromiter((len(texts[i]) for i in order), np.int64, len(order))
+    target = np.concatenate([texts[i] for i in order])
+    owner = np.repeat(order, size)
+    given = np.zeros(len(target), np.int32)  # the input at a text's start is the end symbol, which comes nowhere else
+    given[1:] = target[:-1]
+    given[np.cumsum(size) - size] = 0
+    end = np.cumsum(np.fromiter((sum(len(texts[i]) for i in x) for x in deal), np.int64, len(deal)))
+    begin = np.concatenate(([0], end[:-1]))
+    for t in range(0, int(end[0]), window):
+        live = int((end - begin > t).sum())
+        at = begin[:live] + t + np.arange(window)[:, None]
+        ok = at < end[:live]
+        at = np.where(ok, at, 0)
+        x = np.where(ok, given[at], 0)
+        yield x, np.where(ok, target[at], -1), x == 0, owner[at]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
