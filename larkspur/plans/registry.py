@@ -1,4 +1,154 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine over whole tables, and their SQL."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from larkspur.functions import analysis
+from larkspur.operators import aggs, search, vector
+from larkspur.operators.dsl import Compiler, Schema
+from larkspur.sources import ingest
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+Q = [round(math.sin(i + 1), 3) for i in range(64)]
+_T = "list_transform(regexp_extract_all(text, '\\w+'), lambda x: lower(x))"
+
+
+def _add(name: str, run, sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = sql
+
+
+def _t(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _pred(table: str, query: dict, cols: list[str], compat: bool = True):
+    def run(spark, d):
+        df = _t(spark, d, table)
+        return df.where(Compiler(Schema.of(df.schema, ("text",), compat=compat)).compile(query).pred).select(*cols)
+
+    return run
+
+
+def _filter(name: str, table: str, query: dict, where: str, cols: str, compat: bool = True) -> None:
+    _add(name, _pred(table, query, cols.split(", "), compat), f"select {cols} from {table} where {where}")
+
+
+has = lambda *w: " and ".join(f"list_contains({_T}, '{x}')" for x in w)
+
+# -- matching text
+_filter("match_or", "documents", {"match": {"text": "with thon"}}, f"list_has_any({_T}, ['with', 'thon'])", "doc_id")
+_filter("match_and", "documents", {"match": {"text": {"query": "with thon", "operator": "and"}}}, has("with", "thon"), "doc_id")
+_filter("match_msm", "documents", {"match": {"text": {"query": "with thon er st", "minimum_should_match": "75%"}}}, f"(list_contains({_T}, 'with')::int + list_contains({_T}, 'thon')::int + list_contains({_T}, 'er')::int + list_contains({_T}, 'st')::int) >= 3", "doc_id")
+_filter("match_fuzzy", "documents", {"match": {"text": {"query": "thonn", "fuzziness": 1}}}, f"len(list_filter({_T}, lambda x: levenshtein(x, 'thonn') <= 1)) > 0", "doc_id")
+_filter("multi_match", "documents", {"multi_match": {"query": "en", "fields": ["text", "lang"]}}, f"{has('en')} or lang = 'en'", "doc_id")
+_filter("match_phrase", "documents", {"match_phrase": {"text": "of the"}}, f"contains(' ' || array_to_string({_T}, ' ') || ' ', ' of the ')", "doc_id")
+_filter("match_bool_prefix", "documents", {"match_bool_prefix": {"text": "thon wit"}}, f"{has('thon')} or len(list_filter({_T}, lambda x: starts_with(x, 'wit'))) > 0", "doc_id")
+_filter("match_phrase_prefix", "documents", {"match_phrase_prefix": {"text": "of the wit"}}, f"contains(' ' || array_to_string({_T}, ' ') || ' ', ' of the ') and len(list_filter({_T}, lambda x: starts_with(x, 'wit'))) > 0", "doc_id")
+_filter("terms_text", "documents", {"terms": {"text": ["nd", "ea"]}}, f"list_has_any({_T}, ['nd', 'ea'])", "doc_id")
+_filter("query_string", "documents", {"query_string": {"query": '+text:with -text:thon lang:en "of the"'}}, f"{has('with')} and not {has('thon')}", "doc_id")
+_filter("wildcard_text", "documents", {"wildcard": {"text": "thon?e*"}}, f"len(list_filter({_T}, lambda x: regexp_full_match(x, 'thon.e.*'))) > 0", "doc_id")
+# -- keywords, numbers, dates
+_filter("match_all", "nation", {"match_all": {}}, "true", "n_nationkey, n_name")
+_filter("match_none", "nation", {"match_none": {}}, "false", "n_nationkey, n_name")
+_filter("term_keyword", "orders", {"term": {"o_orderstatus": "F"}}, "o_orderstatus = 'F'", "o_orderkey, o_orderstatus")
+_filter("term_numeric", "part", {"term": {"p_size": 10}}, "p_size = 10", "p_partkey, p_size")
+_filter("terms_keyword", "orders", {"terms": {"o_orderstatus": ["F", "P"]}}, "o_orderstatus in ('F', 'P')", "o_orderkey, o_orderstatus")
+_filter("prefix_keyword", "part", {"prefix": {"p_type": "S"}}, "starts_with(p_type, 'S')", "p_partkey, p_type")
+_filter("wildcard_keyword", "part", {"wildcard": {"p_brand": "Brand#?2"}}, "regexp_full_match(p_brand, 'Brand#.2')", "p_partkey, p_brand")
+_filter("regexp_keyword", "part", {"regexp": {"p_brand": "Brand#[1-3]."}}, "regexp_full_match(p_brand, 'Brand#[1-3].')", "p_partkey, p_brand")
+_filter("fuzzy_keyword", "orders", {"fuzzy": {"o_orderpriority": {"value": "1-URGEN", "fuzziness": 1}}}, "levenshtein(o_orderpriority, '1-URGEN') <= 1", "o_orderkey, o_orderpriority")
+_filter("range_numeric", "lineitem", {"range": {"l_quantity": {"gte": 10, "lt": 20}}}, "l_quantity >= 10 and l_quantity < 20", "l_orderkey, l_linenumber, l_quantity")
+_filter("range_numeric_compat", "customer", {"range": {"c_acctbal": {"gte": -500, "lt": 500}}}, "c_acctbal > 0 and c_acctbal < 500", "c_custkey, c_acctbal")
+_filter("range_numeric_plain", "customer", {"range": {"c_acctbal": {"gte": -500, "lt": 500}}}, "c_acctbal >= -500 and c_acctbal < 500", "c_custkey, c_acctbal", compat=False)
+_filter("range_date", "orders", {"range": {"o_orderdate": {"gte": "1995-01-01", "lt": "1996-01-01"}}}, "o_orderdate >= timestamp '1995-01-01' and o_orderdate < timestamp '1996-01-01'", "o_orderkey")
+_filter("bool_nested", "orders", {"bool": {"must": [{"term": {"o_orderstatus": "O"}}], "must_not": [{"prefix": {"o_orderpriority": "5"}}], "filter": {"range": {"o_totalprice": {"gt": 1000}}}}}, "o_orderstatus = 'O' and not starts_with(o_orderpriority, '5') and o_totalprice > 1000", "o_orderkey")
+_filter("bool_msm", "lineitem", {"bool": {"should": [{"term": {"l_returnflag": "R"}}, {"term": {"l_linestatus": "F"}}, {"range": {"l_quantity": {"gt": 25}}}], "minimum_should_match": 2}}, "(l_returnflag = 'R')::int + (l_linestatus = 'F')::int + (l_quantity > 25)::int >= 2", "l_orderkey, l_linenumber")
+_add("ids", lambda s, d: (lambda df: df.where(Compiler(Schema.of(df.schema)).compile({"ids": {"values": ["1", "7", "99"]}}).pred).select("o_orderkey"))(_t(s, d, "orders").withColumn("_id", F.col("o_orderkey").cast("string"))), "select o_orderkey from orders where o_orderkey in (1, 7, 99)")
+
+# -- ranking
+_BM25 = f"""
+with t as (select doc_id, {_T} w from documents),
+s as (select count(*) filter (len(w) > 0) n, sum(len(w)) / count(*) filter (len(w) > 0) avg from t),
+d as (select count(*) filter (list_contains(w, 'with')) d1, count(*) filter (list_contains(w, 'thon')) d2 from t),
+f as (select doc_id, len(w) dl, len(list_filter(w, lambda x: x = 'with'))::double f1, len(list_filter(w, lambda x: x = 'thon'))::double f2 from t where list_has_any(w, ['with', 'thon']))
+select doc_id, round(ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * f1 / (f1 + 1.2 * (0.25 + 0.75 * dl / avg))
+                   + ln(1 + (n - d2 + 0.5) / (d2 + 0.5)) * f2 / (f2 + 1.2 * (0.25 + 0.75 * dl / avg)), 6) score
+from f, s, d order by score desc, doc_id limit 10
+"""
+
+
+def _bm25(s, d):
+    df = _t(s, d, "documents").select("doc_id", "text")
+    return search.search(df, {"query": {"match": {"text": "with thon"}}, "_source": False}, id_col="doc_id", text=("text",)).select("doc_id", F.round("_score", 6).alias("score"))
+
+
+_add("bm25_topk", _bm25, _BM25)
+_add("sort_paging", lambda s, d: search.search(_t(s, d, "orders"), {"query": {"term": {"o_orderstatus": "F"}}, "sort": ["-o_totalprice", {"o_orderdate": "asc"}], "from": 20, "size": 15, "_source": ["o_total*", "o_custkey"]}, id_col="o_orderkey").drop("_score"), "select o_orderkey, o_custkey, o_totalprice from orders where o_orderstatus = 'F' order by o_totalprice desc, o_orderdate, o_orderkey limit 15 offset 20")
+_add("highlight", lambda s, d: _t(s, d, "documents").select("doc_id", search.highlight(F.col("text"), ["with", "thon"]).alias("marked")), "select doc_id, regexp_replace(text, '(?i)\\b(thon|with)\\b', '<mark>\\1</mark>', 'g') marked from documents")
+_add("total_hits", lambda s, d: search.count(_t(s, d, "documents"), {"match": {"text": "with"}}, text=("text",)), f"select count(*) total from documents where {has('with')}")
+_add("search_v1", lambda s, d: search.search_v1(_t(s, d, "orders"), {"search_type": "prefix", "query": {"field": "o_orderpriority", "term": "2"}, "max_results": 12, "sort_fields": ["-o_totalprice"], "_source": ["o_totalprice"]}, id_col="o_orderkey").drop("_score"), "select o_orderkey, o_totalprice from orders where starts_with(o_orderpriority, '2') order by o_totalprice desc, o_orderkey limit 12")
+
+
+def _multi(s, d):
+    a = _t(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("_id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
+    b = _t(s, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal"))
+    return search.multi_search({"customer": a, "supplier": b}, "cust*,supplier", {"query": {"range": {"bal": {"gt": 9000}}}, "sort": ["-bal"], "size": 25}).select("_id", "name", "bal", "_index")
+
+
+_add("multi_index", _multi, "select * from (select 'c' || c_custkey _id, c_name name, c_acctbal bal, 'customer' _index from customer union all select 's' || s_suppkey, s_name, s_acctbal, 'supplier' from supplier) where bal > 9000 order by bal desc, _id limit 25")
+
+# -- aggregations
+_add("agg_metrics", lambda s, d: aggs.metrics(_t(s, d, "lineitem"), {"n": {"count": {}}, "avg_q": {"avg": {"field": "l_quantity"}}, "max_p": {"max": {"field": "l_extendedprice"}}, "min_p": {"min": {"field": "l_extendedprice"}}, "sum_q": {"sum": {"field": "l_quantity"}}, "parts": {"cardinality": {"field": "l_partkey", "exact": True}}}), "select count(*) n, avg(l_quantity) avg_q, max(l_extendedprice) max_p, min(l_extendedprice) min_p, sum(l_quantity) sum_q, count(distinct l_partkey) parts from lineitem")
+_add("agg_weighted_avg", lambda s, d: aggs.metrics(_t(s, d, "lineitem"), {"w": {"weighted_avg": {"field": "l_discount", "weight_field": "l_quantity"}}}).select(F.round("w", 6).alias("w")), "select round(sum(l_discount * l_quantity) / sum(l_quantity), 6) w from lineitem")
+_add("agg_cardinality", lambda s, d: aggs.metrics(_t(s, d, "lineitem"), {"n": {"cardinality": {"field": "l_suppkey"}}}).select((F.col("n") > 0).alias("any_seen")), "select count(distinct l_suppkey) > 0 any_seen from lineitem")
+_add("agg_terms", lambda s, d: aggs.terms(_t(s, d, "orders"), "o_orderpriority", aggs={"total": {"max": {"field": "o_totalprice"}}}), "select o_orderpriority key, count(*) doc_count, max(o_totalprice) total from orders group by 1")
+_add("agg_terms_nested", lambda s, d: aggs.nested_terms(_t(s, d, "lineitem"), "l_returnflag", "l_linenumber", 2, 3), "with p as (select l_returnflag key, count(*) parent_count from lineitem group by 1 order by 2 desc, 1 limit 2), c as (select l_returnflag key, l_linenumber child, count(*) doc_count from lineitem group by 1, 2) select key, child, doc_count, parent_count from c join p using (key) qualify row_number() over (partition by key order by doc_count desc, child) <= 3")
+_add("agg_range", lambda s, d: aggs.ranges(_t(s, d, "lineitem"), "l_quantity", [{"key": "low", "to": 10}, {"key": "mid", "from": 5, "to": 30}, {"key": "high", "from": 30, "to": 1000}]), "select 'low' key, count(*) filter (l_quantity >= 0 and l_quantity < 10) doc_count from lineitem union all select 'mid', count(*) filter (l_quantity >= 5 and l_quantity < 30) from lineitem union all select 'high', count(*) filter (l_quantity >= 30 and l_quantity < 1000) from lineitem")
+_add("agg_date_range", lambda s, d: aggs.ranges(_t(s, d, "orders"), "o_orderdate", [{"key": "old", "to": "1995-01-01"}, {"key": "new", "from": "1995-01-01"}], date=True), "select 'old' key, count(*) filter (o_orderdate < timestamp '1995-01-01') doc_count from orders union all select 'new', count(*) filter (o_orderdate >= timestamp '1995-01-01') from orders")
+_add("agg_histogram", lambda s, d: aggs.histogram(_t(s, d, "orders"), "o_totalprice", 7500.0, aggs={"top": {"max": {"field": "o_totalprice"}}}), "with b as (select floor(o_totalprice / 7500.0) i, count(*) c, max(o_totalprice) m from orders group by 1), e as (select min(i) lo, max(i) hi from b) select g.i * 7500.0::double key, coalesce(c, 0) doc_count, coalesce(m, 0) top from (select unnest(generate_series(lo::bigint, hi::bigint)) i from e) g left join b on b.i = g.i")
+_add("agg_date_histogram_hour", lambda s, d: aggs.date_histogram(_t(s, d, "events"), "ts", fixed="1h").select(F.col("key").cast("string"), "doc_count"), "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') key, count(*) doc_count from events group by 1 order by 1 limit 1000")
+for _u, _e in (("week", "date_trunc('day', o_orderdate) - interval 1 day * dayofweek(o_orderdate)"), ("month", "date_trunc('month', o_orderdate)"), ("quarter", "date_trunc('quarter', o_orderdate)"), ("year", "date_trunc('year', o_orderdate)")):
+    _add(f"agg_date_histogram_{_u}", lambda s, d, u=_u: aggs.date_histogram(_t(s, d, "orders"), "o_orderdate", calendar=u).select(F.col("key").cast("string"), "doc_count"), f"select strftime({_e}, '%Y-%m-%d %H:%M:%S') key, count(*) doc_count from orders group by 1 order by 1 limit 1000")
+_add("agg_auto_date_histogram", lambda s, d: aggs.auto_date_histogram(_t(s, d, "events"), "ts", 10).agg((F.count("*") <= 10).alias("few"), F.sum("doc_count").alias("n")), "select true few, count(*) n from events")
+
+# -- analysis
+for _n, _sql in (("regexp", _T), ("simple", "list_transform(regexp_extract_all(text, '\\p{L}+'), lambda x: lower(x))"), ("whitespace", "regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+')")):
+    _add(f"analyze_{_n}", lambda s, d, n=_n: _t(s, d, "benchmark").select("item_id", F.array_join(analysis.tokens(F.col("text"), n), "|").alias("tokens")), f"select item_id, array_to_string({_sql}, '|') tokens from benchmark")
+_add("analyze_shingle", lambda s, d: _t(s, d, "benchmark").select("item_id", F.array_join(analysis.shingle_tokens(analysis.tokens(F.col("text")), 2), "|").alias("tokens")), f"select item_id, array_to_string(list_transform(range(1, len({_T})), lambda i: {_T}[i] || ' ' || {_T}[i + 1]), '|') tokens from benchmark")
+_add("analyze_edge_ngram", lambda s, d: _t(s, d, "benchmark").select("item_id", F.array_join(analysis.edge_ngrams(analysis.tokens(F.col("text")), 2, 3), "|").alias("tokens")), f"select item_id, array_to_string(flatten(list_transform({_T}, lambda x: list_transform(list_filter([2, 3], lambda n: n <= length(x)), lambda n: substr(x, 1, n)))), '|') tokens from benchmark")
+for _n in ("standard", "en", "web"):
+    _add(f"analyze_{_n}", lambda s, d, n=_n: _t(s, d, "benchmark").select("item_id", F.array_join(analysis.analyze_udf(n)("text"), "|").alias("tokens")))
+
+# -- vectors
+_D = f"list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::double - {Q}[i]) * (embedding[i]::double - {Q}[i])))"
+_add("knn_flat", lambda s, d: vector.knn(_t(s, d, "embeddings"), Q, 10).select("vec_id", F.round("distance", 4).alias("distance"), F.round("score", 6).alias("score")), f"select vec_id, round({_D}, 4) distance, round(1 / (1 + {_D}), 6) score from embeddings order by {_D}, vec_id limit 10")
+_add("knn_filtered", lambda s, d: vector.knn(_t(s, d, "embeddings"), Q, 5, where=F.col("label") == 3).select("vec_id", F.round("distance", 4).alias("distance")), f"select vec_id, round({_D}, 4) distance from embeddings where label = 3 order by {_D}, vec_id limit 5")
+
+
+def _ivf(s, d):
+    e = _t(s, d, "embeddings")
+    c = vector.train_centroids(e, 16)
+    return vector.recall(vector.ivf_search(vector.with_centroid(e, c), c, Q, 10, 8), vector.knn(e, Q, 10))
+
+
+_add("knn_ivf_recall", _ivf)
+
+
+# -- mutations
+def _log(s, d):
+    e = _t(s, d, "events")
+    return e.select(F.col("user_id").cast("string").alias("_id"), F.col("event_id").alias("seq"), F.when(F.pmod("event_id", F.lit(7)) == 0, "delete").when(F.pmod("event_id", F.lit(3)) == 0, "insert").otherwise("update").alias("op"), "value")
+
+
+_LOG = "select user_id::varchar _id, event_id seq, case when event_id % 7 = 0 then 'delete' when event_id % 3 = 0 then 'insert' else 'update' end op, value from events"
+_COMPACT = f"with l as ({_LOG}), g as (select _id, arg_min(op, seq) f, arg_max(op, seq) l, max(seq) seq, arg_max(value, seq) v from l group by _id) select _id, seq, case when l = 'delete' then 'delete' when f = 'insert' then 'insert' else 'update' end op, v as value from g where not (f = 'insert' and l = 'delete')"
+_add("compaction", lambda s, d: ingest.compact(_log(s, d)), _COMPACT)
+_add("upsert", lambda s, d: ingest.apply_log(_t(s, d, "customer").select(F.col("c_custkey").cast("string").alias("_id"), F.col("c_acctbal").alias("value")), ingest.compact(_log(s, d))), f"with c as ({_COMPACT}) select c_custkey::varchar _id, c_acctbal as value from customer where c_custkey::varchar not in (select _id from c) union all select _id, value from c where op <> 'delete'")
+_add("delete_by_query", lambda s, d: ingest.delete_by_query(_t(s, d, "customer").select("c_custkey", "c_mktsegment"), F.col("c_mktsegment") == "BUILDING", "c_custkey", 10), "select c_custkey, c_mktsegment from customer where c_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING' order by c_custkey limit 10)")
+_add("catalogue_counts", lambda s, d: search.union({n: _t(s, d, n).select() for n in ("customer", "supplier", "part")}).groupBy("_index").agg(F.count("*").alias("doc_num")), "select 'customer' _index, count(*) doc_num from customer union all select 'supplier', count(*) from supplier union all select 'part', count(*) from part")
