@@ -12,6 +12,7 @@ from larkspur.llm.common import as_bytes, batches, mix
 BUCKETS = 1 << 12  # hashed byte trigrams of the text view
 LABELLED = 4096  # labelled documents fitted on at most: those of smallest hashed id
 POOL = 4096  # unlabelled documents that the views label for each other at most
+SCALE = 256  # frequencies are kept times this in half precision
 ROUNDS = 3
 SURE = 0.95  # calibrated probability from which a view passes a label on
 MOST = 512  # labels a view passes on in a round at most
@@ -84,11 +85,14 @@ def metadata(texts: list[bytes], source: list, lang: list) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 150, l2: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic regression on standardised columns by accelerated gradient steps; returns raw weights and bias."""
-    mean = x.mean(0)
-    scale = 1 / np.maximum(x.std(0), 1e-4 * max(1e-9, float(np.abs(x).max())))
-    z = ((x - mean) * scale).astype(np.float32)
+    z = x.astype(np.float32)  # the only copy; all below is in place
+    most = float(max(z.max(), -z.min()))
+    mean = z.mean(0, dtype=np.float64)
+    z -= mean.astype(np.float32)
+    scale = 1 / np.maximum(np.sqrt(np.einsum("ij,ij->j", z, z) / np.float32(len(z))), np.float32(1e-4 * max(1e-9, most)))
+    z *= scale
     norm = max(1.0, float(np.sqrt(np.einsum("ij,ij->", z, z) / len(z))))
-    z /= np.float32(norm)
+    z *= np.float32(1 / norm)
     factor = scale.astype(np.float64) / norm
     y = y.astype(np.float32)
     w, b = np.zeros(x.shape[1], np.float32), 0.0
@@ -106,6 +110,11 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 150, l2:
     return raw, b - float(raw @ mean)
 
 
+def scores(x: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    """x @ w + b, a few rows at a time, whatever precision x is kept in."""
+    return np.concatenate([np.zeros(0), *(x[i : i + 512].astype(np.float64) @ w + b for i in range(0, len(x), 512))])
+
+
 def calibrate(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Platt's sigmoid a*s + b on held-out scores, with his smoothed targets."""
     pos, neg = y.sum(), len(y) - y.sum()
@@ -159,19 +168,20 @@ def cotrain(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t: np.ndarray, p
             share = np.array([weight[target == 0].sum(), weight[target == 1].sum()])
             weight /= share[target.astype(int)]
             w, b = fit(rows, target, weight)
-            fits.append((w, b, *calibrate(x[hold] @ w + b, y[hold])))
+            del rows
+            fits.append((w, b, *calibrate(scores(x[hold], w, b), y[hold])))
         if k == ROUNDS:
             break
         for i in (0, 1):
             w, b, ca, cb = fits[i]
-            p = _sigmoid(ca * (views[i][1] @ w + b) + cb)
+            p = _sigmoid(ca * scores(views[i][1], w, b) + cb)
             for label, sure in ((1, p), (0, 1 - p)):
                 best = np.argsort(-sure, kind="stable")[: MOST // 2]
                 for j in best[sure[best] >= SURE].tolist():
                     given[1 - i].setdefault(j, label)
     model.text, model.meta = fits[0][:2], fits[1][:2]
     model.cal = [f[2:] for f in fits]
-    lt, lm = (np.clip(f[2] * (x[hold] @ f[0] + f[1]) + f[3], -20, 20) for f, (x, _) in zip(fits, views, strict=True))
+    lt, lm = (np.clip(f[2] * scores(x[hold], *f[:2]) + f[3], -20, 20) for f, (x, _) in zip(fits, views, strict=True))
     z, t = np.stack((lt, lm, np.ones(len(lt))), 1), y[hold]
     w = np.array([0.5, 0.5, 0.0])
     prior = w.copy()
@@ -199,16 +209,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 s = b.slice(k, 256)
                 t = as_bytes(s.column(2))
                 x, m = text_counts(t), metadata(t, s.column(3).to_pylist(), s.column(4).to_pylist())
-                yield pa.record_batch([s.column(0), s.column(1), pa.array([r.astype(np.float16).tobytes() for r in x * 256], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], names=["doc_id", "y", "x", "m"])
+                yield pa.record_batch([s.column(0), s.column(1), pa.array([r.astype(np.float16).tobytes() for r in x * SCALE], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], names=["doc_id", "y", "x", "m"])
 
     got = sample.mapInArrow(features, "doc_id long, y int, x binary, m binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     if not got.num_rows:
         return Model()
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32) / 256
-    m = np.frombuffer(b"".join(got["m"].to_pylist()), np.float64).reshape(-1, META)
+    x = np.empty((got.num_rows, BUCKETS), np.float16)
+    for i, v in enumerate(got["x"]):
+        x[i] = np.frombuffer(v.as_buffer(), np.float16)
+    m = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in got["m"]])
     y = np.array([np.nan if v is None else v for v in got["y"].to_pylist()])
+    del got
     known = ~np.isnan(y)
-    return cotrain(x[known], m[known], y[known], x[~known], m[~known])
+    parts = x[known], m[known], y[known], x[~known], m[~known]
+    del x, m
+    model = cotrain(*parts)
+    model.text = (model.text[0] * SCALE, model.text[1])  # weights of the frequencies themselves
+    return model
 
 
 def with_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
