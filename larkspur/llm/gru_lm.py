@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import as_bytes, durable
+from larkspur.llm.common import as_bytes, batches, durable
 
 H = 16  # hidden units
 CLASSES, MEMBERS = 32, 32
@@ -22,7 +22,7 @@ SPAN = 64  # steps scored at a time; the state is carried from span to span
 LANES = 512  # documents side by side
 ROUNDS = 2  # synchronisations; each trains on another part of the documents
 RATE = 0.01
-CACHE = 400_000  # words a task remembers before it starts anew
+CACHE = 400_000  # distinct words counted before they are passed on
 SAID = 8  # words met so often in a task are reported with their text, which spares others their hash
 CHUNK = 4096  # parameters of a row when models are averaged
 
@@ -30,21 +30,41 @@ CHUNK = 4096  # parameters of a row when models are averaged
 # -- counts --------------------------------------------------------------------------------------------------
 
 
-def _hash(w: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(w)
-    return h - (1 << 64) if h >= 1 << 63 else h
+_xx = xxhash.xxh3_64_intdigest
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.array([_xx(w) for w in words], np.uint64).view(np.int64)
+
+
+def _pack(w: bytes) -> tuple[int, int]:
+    w = w.ljust(16, b"\0")
+    return int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True)
+
+
+def _unpack(a: int | None, b: int | None) -> bytes | None:
+    return None if a is None or b is None else (a.to_bytes(8, "little", signed=True) + b.to_bytes(8, "little", signed=True)).rstrip(b"\0")
 
 
 def _count(it):
-    """(h, n, w): word counts by 64-bit hash, as many rows as a task has distinct words (or CACHE at a time)."""
+    """(h, n, w1, w2): word counts by 64-bit hash, as many rows as a task has distinct words (or CACHE at a time).
+
+    w1 and w2 hold the bytes of the words met often, if they are short: numbers that a hash aggregate can keep.
+    """
     from collections import Counter
 
     c: Counter = Counter()
 
     def out():
         words = list(c)
-        said = [w.decode() if c[w] >= SAID and len(w) <= 64 else None for w in words]
-        return pa.record_batch({"h": pa.array([_hash(w) for w in words], pa.int64()), "n": pa.array([c[w] for w in words], pa.int64()), "w": pa.array(said, pa.string())})
+        n = np.fromiter(c.values(), np.int64, len(words))
+        often = [i for i in np.flatnonzero(n >= SAID).tolist() if len(words[i]) <= 16 and b"\0" not in words[i]]
+        w = np.zeros((2, len(words)), np.int64)
+        none = np.ones(len(words), bool)
+        if often:
+            w[:, often] = np.array([_pack(words[i]) for i in often], np.int64).T
+            none[often] = False
+        return pa.record_batch({"h": _hashes(words), "n": n, "w1": pa.array(w[0], mask=none), "w2": pa.array(w[1], mask=none)})
 
     for b in it:
         for t in as_bytes(b.column(0)):
@@ -55,39 +75,37 @@ def _count(it):
     yield out()
 
 
-class Words(dict):
-    """Codes of words: their place among the frequent, or FREQUENT + k for the k-th other hash met."""
+class Words:
+    """Codes of words: their place among the frequent, or -1 and a hash."""
 
     def __init__(self, frequent: np.ndarray, said: list[bytes | None]):
-        super().__init__()
-        self.place = {h: i for i, h in enumerate(frequent.tolist())}
+        self.order = np.argsort(frequent)
+        self.sorted = frequent[self.order]
         self.said = {w: i for i, w in enumerate(said) if w is not None}
-        self.rare: list[int] = []
-        self.update(self.said)
-
-    def __missing__(self, w: bytes) -> int:
-        h = _hash(w)
-        code = self.place.get(h)
-        if code is None:
-            code = FREQUENT + len(self.rare)
-            self.rare.append(h)
-        self[w] = code
-        return code
-
-    def codes(self, text: bytes) -> np.ndarray:
-        w = text.lower().split()
-        return np.fromiter(map(self.__getitem__, w), np.int64, len(w))
 
-    def trim(self) -> None:
-        if len(self) > CACHE:
-            self.clear()
-            self.rare = []
-            self.update(self.said)
+    def codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of all texts' words, the hashes of those with code -1, and each text's number of words."""
+        words: list[bytes] = []
+        sizes = []
+        for t in texts:
+            w = t.lower().split()
+            words += w
+            sizes.append(len(w))
+        get = self.said.get
+        codes = np.array([get(w, -1) for w in words], np.int64)
+        miss = np.flatnonzero(codes < 0)
+        h = _hashes([words[i] for i in miss.tolist()])
+        if len(self.sorted):  # frequent words whose text is not known
+            at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+            hit = self.sorted[at] == h
+            codes[miss[hit]] = self.order[at[hit]]
+            h = h[~hit]
+        return codes, h, np.array(sizes, np.int64)
 
 
 def symbols(codes: np.ndarray) -> np.ndarray:
     """Symbols of a text's codes, and the end."""
-    s = np.where(codes < SYMBOLS - 2, codes + 2, 1)
+    s = np.where((codes >= 0) & (codes < SYMBOLS - 2), codes + 2, 1)
     return np.append(s, 0).astype(np.int32)
 
 
@@ -168,7 +186,10 @@ def run(p: dict, x: np.ndarray, start: np.ndarray, h: np.ndarray, keep: list | N
     gx = p["wx"][x]
     out = np.empty((*x.shape, H), np.float32)
     for t in range(len(x)):
-        h = np.where(start[t][:, None], np.float32(0), h)
+        fresh_lanes = np.flatnonzero(start[t])
+        if len(fresh_lanes):
+            h = h.copy()
+            h[fresh_lanes] = 0
         hu = h @ p["u"]
         rz = _sigmoid(gx[t, :, : 2 * H] + hu[:, : 2 * H])
         r, z = rz[:, :H], rz[:, H:]
@@ -181,7 +202,7 @@ def run(p: dict, x: np.ndarray, start: np.ndarray, h: np.ndarray, keep: list | N
 
 
 def _by_class(y: np.ndarray):
-    cls = y // MEMBERS
+    cls = (y // MEMBERS).astype(np.int16)  # sixteen bits are sorted by radix
     order = np.argsort(cls, kind="stable")
     edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
     for c in range(CLASSES):
@@ -247,8 +268,9 @@ def gradient(p: dict, x: np.ndarray, y: np.ndarray, start: np.ndarray, h0: np.nd
         dgx[s, :, :H], dgx[s, :, H : 2 * H], dgx[s, :, 2 * H :] = dr, dz, dn
         dhu = np.concatenate((dr, dz, dn * r), 1)
         g["u"] += h.T @ dhu
-        back = np.where(start[s][:, None], np.float32(0), back * z + dhu @ p["u"].T)
-    ids = x.ravel()
+        back = back * z + dhu @ p["u"].T
+        back[np.flatnonzero(start[s])] = 0
+    ids = x.ravel().astype(np.int16)
     order = np.argsort(ids, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], np.diff(ids[order]) > 0)))
     g["wx"] = np.zeros(SHAPES["wx"], np.float32)
@@ -319,14 +341,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10) == 0
     learn = d.where(~held)
-    counts = durable(learn.select("text").mapInArrow(_count, "h long, n long, w string").groupBy("h").agg(F.sum("n").alias("c"), F.max("w").alias("w")), "counts")
+    counts = durable(learn.select("text").mapInArrow(_count, "h long, n long, w1 long, w2 long").groupBy("h").agg(F.sum("n").alias("c"), F.max("w1").alias("w1"), F.max("w2").alias("w2")), "counts")
     ends = learn.count()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()  # bounded by FREQUENT
     freq_h, freq_c = (np.array([r[i] for r in top], np.int64) for i in (0, 1))
     n_train, vocabulary = total + ends, distinct + (ends > 0)
     z = n_train + 0.1 * (vocabulary + 1)
-    said = [None if r[2] is None else r[2].encode() for r in top]
+    said = [_unpack(r[2], r[3]) for r in top]
     known = min(len(top), SYMBOLS - 2)
     others = total - int(freq_c[:known].sum())
     z_other = others + 0.1 * (distinct - known + 1)
@@ -349,14 +371,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             held_out = b.column(2)
             rows: list[tuple] = []
             texts = []
-            for t in as_bytes(b.column(1)):
-                words.trim()
-                c = words.codes(t)
-                texts.append(symbols(c))
-                f, rare = c[c < FREQUENT], c[c >= FREQUENT]
-                oov = f[f >= SYMBOLS - 2]
-                h, n = np.unique(np.fromiter(map(words.rare.__getitem__, (rare - FREQUENT).tolist()), np.int64, len(rare)), return_counts=True)
-                rows.append((len(c) + 1, len(f), logs[f].sum(), len(oov) + len(rare), logs[oov].sum(), h, n.astype(np.int32)))
+            raw = as_bytes(b.column(1))
+            for i, j in batches(raw):
+                codes, hashes, sizes = words.codes(raw[i:j])
+                at, seen = 0, 0
+                for n in sizes.tolist():
+                    c = codes[at : at + n]
+                    at += n
+                    texts.append(symbols(c))
+                    f = c[c >= 0]
+                    oov = f[f >= SYMBOLS - 2]
+                    n_rare = n - len(f)
+                    h, k = np.unique(hashes[seen : seen + n_rare], return_counts=True)
+                    seen += n_rare
+                    rows.append((n + 1, len(f), logs[f].sum(), len(oov) + n_rare, logs[oov].sum(), h, k.astype(np.int32)))
             net = score(p, texts) if texts else np.zeros(0)
             col = lambda i, k: pa.array([r[i] for r in rows], k)
             yield pa.record_batch([b.column(0), held_out, col(0, pa.int64()), col(1, pa.int64()), col(2, pa.float64()), pa.array(net, pa.float64()), col(3, pa.int64()), col(4, pa.float64()), _lists(rows, 5, pa.int64()), _lists(rows, 6, pa.int32())], names=[x.split()[0] for x in schema.split(", ")])
@@ -391,9 +419,8 @@ def _round(learn: DataFrame, k: int, flat: np.ndarray, freq: np.ndarray, said: l
         for b in it:
             texts = []
             for t in as_bytes(b.column(0)):
-                if plain is None:
-                    words.trim()
-                    texts.append(symbols(words.codes(t)))
+                if plain is None:  # some frequent word is too long to be known by its text
+                    texts.append(symbols(words.codes([t])[0]))
                 else:
                     texts.append(np.array([*[plain.get(w, 1) for w in t.lower().split()], 0], np.int32))
             if texts:
