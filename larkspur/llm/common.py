@@ -42,11 +42,6 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Deal rows round the cores where a small table would come as one partition."""
-    return df
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component the smallest node reachable.
 

@@ -67,10 +67,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     c = g.groupBy("g").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("g"))
     c = durable(every.join(c, "g", "left").select("g", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")).coalesce(1), "grams")
-    n = c.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
-    r = c.crossJoin(F.broadcast(n)).select(  # one row of totals
-        "g", F.when(F.col("n_target") == 0, 0.0).otherwise(
-            F.log((F.col("target") + SMOOTH) / (F.col("n_target") + SMOOTH * BUCKETS)) - F.log((F.col("raw") + SMOOTH) / (F.col("n_raw") + SMOOTH * BUCKETS))).alias("r"))
+    n_raw, n_target = c.agg(F.sum("raw")).scalar(), c.agg(F.sum("target")).scalar()
+    r = c.select(
+        "g", F.when(n_target == 0, 0.0).otherwise(
+            F.log((F.col("target") + SMOOTH) / (n_target + SMOOTH * BUCKETS)) - F.log((F.col("raw") + SMOOTH) / (n_raw + SMOOTH * BUCKETS))).alias("r"))
     return r.agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "r"))), lambda x: x["r"]).alias("ratios"))
 
 
@@ -88,7 +88,7 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     """
     ratios = log_ratios(docs, trusted, id_col, text_col)
     d = with_statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    d = d.crossJoin(F.broadcast(ratios))  # one row of BUCKETS doubles
+    d = d.withColumn("ratios", ratios.scalar())  # BUCKETS doubles, a scalar subquery
     d = d.withColumn("llr", F.expr("case when size(grams) = 0 then 0D else aggregate(grams, 0D, (a, g) -> a + ratios[g]) / size(grams) end"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "llr", (~failed & (F.col("llr") >= threshold)).alias("kept"))

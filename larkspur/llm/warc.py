@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import discard, durable, shared_dir
 
 END = "\r\n\r\n"
-FILE_BYTES = 16 << 20  # text bytes of an archive file, about
+FILE_BYTES = 64 << 20  # of an archive file before compression, about; its reader holds a whole file
 
 
 def _uuid(kind: str, page: Column) -> Column:
@@ -48,6 +48,8 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = 0, gzip: bool
     p = p.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("hex", F.sha1(F.col("html").cast("binary")))
     # digests first: the texts are shuffled once, with what they need beside them
     keys = durable(p.select("page_id", "bytes", "hex").distinct().mapInArrow(_base32, "page_id long, bytes long, hex string, sha1 string"), "digests")
+    mean = keys.agg(F.avg("bytes")).first()[0] or 0
+    per_file = 3 * max(1, min(20_000, int(FILE_BYTES / (mean + 2000))))  # three records a page
     first = keys.where(F.col("bytes") >= min_payload).groupBy("hex", "bytes").agg(F.min("page_id").alias("first"))
     p = p.join(keys.join(first, ["hex", "bytes"], "left").drop("bytes"), ["page_id", "hex"])
     page = F.concat_ws("/", "page_id", "hex")
@@ -65,7 +67,7 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = 0, gzip: bool
     request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", _uuid("request", page)), ("WARC-Concurrent-To", id_), *base, ("Content-Type", F.lit("application/http;msgtype=request"))], ask)
     meta = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _uuid("metadata", page)), ("WARC-Concurrent-To", id_), *base, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("pageId: "), F.col("page_id").cast("string"), F.lit("\r\n")))
     records = p.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), meta)).alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip" if gzip else "none").option("maxRecordsPerFile", 20000).text(path)
+    records.write.option("lineSep", END).option("compression", "gzip" if gzip else "none").option("maxRecordsPerFile", per_file).text(path)
     discard(keys)
 
 
