@@ -21,37 +21,39 @@ def _shift(a: str, n: int, op: str) -> str:
     return f"zip_with(slice({a}, 1, greatest(size({a}) - {n}, 0)), slice({a}, {n} + 1, greatest(size({a}) - {n}, 0)), (x, y) -> {op})"
 
 
+def with_hashes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs plus _w, the words, _h, their hashes, and _2, the hashes of adjacent pairs: the n-grams are _h and _2.
+
+    Each is a column of its own, so that what is used more than once is computed once.
+    """
+    d = docs.withColumn("_w", words_of(F.col(text_col).cast("string")))
+    d = d.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
+    return d.withColumn("_2", F.expr(_shift("_h", 1, "xxhash64(x, y)")))
+
+
+def bucket(gram: str) -> str:
+    return f"cast(pmod({gram}, {BUCKETS}) as int)"
+
+
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and `grams`, the hashed n-grams.
+    """docs plus _h, _2, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
 
-    Word hashes are combined by three shifted passes into hashes of 8-word windows. Only where some
+    Pair hashes are combined by two more shifted passes into hashes of 8-word windows. Only where some
     window hash repeats are (hash, position) pairs sorted, and the words under repeated windows counted
     as the union of their intervals. No row is exploded or shuffled.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = docs.withColumn("_w", words_of(text)).withColumn("n_words", F.size("_w").cast("long"))
-    d = d.withColumn("word_chars", F.coalesce(F.char_length(F.array_join("_w", "")), F.lit(0)).cast("long"))
+    d = with_hashes(docs, text_col).withColumn("n_words", F.size("_w").cast("long"))
+    d = d.withColumn("word_chars", F.coalesce(F.char_length(F.array_join("_w", "")), F.lit(0)).cast("long")).drop("_w")
     d = d.withColumn("n_symbols", F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(WORD_RE)))
-    d = d.withColumn("_l", lines).withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
-    d = d.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-    d = d.withColumn("_2", F.expr(_shift("_h", 1, "xxhash64(x, y)"))).withColumn("_4", F.expr(_shift("_2", 2, "xxhash64(x, y)"))).withColumn("_8", F.expr(_shift("_4", 4, "xxhash64(x, y)")))
-    d = d.withColumn("_s", F.when(F.size(F.array_distinct("_8")) < F.size("_8"), F.expr("array_sort(transform(_8, (h, i) -> struct(h as h, i as i)))")))
+    d = d.withColumn("_l", lines).withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long")).drop("_l", text_col)
+    d = d.withColumn("_8", F.expr(_shift("_2", 2, "xxhash64(x, y)"))).withColumn("_8", F.expr(_shift("_8", 4, "xxhash64(x, y)")))
+    d = d.withColumn("_s", F.when(F.size(F.array_distinct("_8")) < F.size("_8"), F.expr("array_sort(transform(_8, (h, i) -> struct(h as h, i as i)))"))).drop("_8")
     near = "(k > 0 and _s[k - 1].h = x.h) or (k + 1 < size(_s) and _s[k + 1].h = x.h)"
-    d = d.withColumn("_p", F.expr(f"array_sort(transform(filter(_s, (x, k) -> {near}), x -> x.i))"))
+    d = d.withColumn("_p", F.expr(f"array_sort(transform(filter(_s, (x, k) -> {near}), x -> x.i))")).drop("_s")
     covered = "aggregate(_p, struct(0L as n, -8 as last), (a, p) -> struct(a.n + least(8, p - a.last) as n, p as last), a -> a.n)"
-    d = d.withColumn("n_repeat_words", F.coalesce(F.expr(covered), F.lit(0)).cast("long"))
-    low = F.transform("_w", lambda w: F.pmod(F.xxhash64(F.lower(w)), F.lit(BUCKETS)).cast("int"))
-    d = d.withColumn("_u", low)
-    d = d.withColumn("grams", F.concat("_u", F.expr(_shift("_u", 1, f"cast(pmod(xxhash64(x, y), {BUCKETS}) as int)"))))
-    return d.drop("_w", "_l", "_h", "_2", "_4", "_8", "_s", "_p", "_u")
-
-
-def hashed_grams(text: Column) -> Column:
-    """Buckets of the lower-cased words and adjacent word pairs."""
-    u = F.transform(words_of(text), lambda w: F.pmod(F.xxhash64(F.lower(w)), F.lit(BUCKETS)).cast("int"))
-    n = F.greatest(F.size(u) - 1, F.lit(0))
-    return F.concat(u, F.zip_with(F.slice(u, 1, n), F.slice(u, 2, n), lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(BUCKETS)).cast("int")))
+    return d.withColumn("n_repeat_words", F.coalesce(F.expr(covered), F.lit(0)).cast("long")).drop("_p")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,8 +65,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     t = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_t", F.lit(1))
     # only ids are joined; texts never leave their partition when the ids fit a broadcast
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_x")).join(_sized(t), "_id", "left")
-    g = d.select(F.explode(hashed_grams(F.col("_x"))).alias("g"), F.coalesce("_t", F.lit(0)).alias("t"))
-    c = g.groupBy("g").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
+    g = with_hashes(d, "_x").select(F.explode(F.concat("_h", "_2")).alias("g"), F.coalesce("_t", F.lit(0)).alias("t"))
+    c = g.groupBy(F.expr(bucket("g")).alias("g")).agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("g"))
     c = durable(every.join(c, "g", "left").select("g", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")).coalesce(1), "grams")
     n_raw, n_target = c.agg(F.sum("raw")).scalar(), c.agg(F.sum("target")).scalar()
@@ -89,6 +91,6 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     ratios = log_ratios(docs, trusted, id_col, text_col)
     d = with_statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     d = d.withColumn("ratios", ratios.scalar())  # BUCKETS doubles, a scalar subquery
-    d = d.withColumn("llr", F.expr("case when size(grams) = 0 then 0D else aggregate(grams, 0D, (a, g) -> a + ratios[g]) / size(grams) end"))
+    d = d.withColumn("llr", F.expr(f"case when n_words = 0 then 0D else aggregate(_2, aggregate(_h, 0D, (a, g) -> a + ratios[{bucket('g')}]), (a, g) -> a + ratios[{bucket('g')}]) / (size(_h) + size(_2)) end"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "llr", (~failed & (F.col("llr") >= threshold)).alias("kept"))
