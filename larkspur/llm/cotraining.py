@@ -201,7 +201,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     ids = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64(F.lit(6), "doc_id"), "doc_id").limit(POOL + LABELLED).collect()
     pool = [i for i in dict.fromkeys(r[0] for r in ids) if i not in chosen][:POOL]
     rows = docs.sparkSession.createDataFrame([(i, v) for i, v in chosen.items()] + [(i, None) for i in pool], "_id long, _y int")
-    sample = docs.join(F.broadcast(rows), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "text", "source", "lang")
+    own = docs.select("doc_id", "text", "source", "lang")
+    sample = own.join(F.broadcast(rows), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "text", "source", "lang")
 
     def features(it):
         for b in it:

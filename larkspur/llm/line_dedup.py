@@ -151,7 +151,8 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A line's key is the stripped, A-Z-lowered line. Keys of LEAST_CHARS code points or more that at least
     two documents hold lose all their lines except in the smallest id; other lines stay, joined by newlines.
     Null text counts as one empty line. Rows that repeat an id are one document and keep the same lines.
-    Null ids are judged by no one: their lines stay and count for nothing. Columns of any name are kept.
+    Null ids are judged by no one: their lines stay and count for nothing. All columns are kept but those
+    named _n_lines, _n_dropped (replaced), _doc and _gone (dropped).
 
     1. (key, id) pairs, distinct in each row, are counted by partial aggregation.
     2. Keys held by a large share of all lines are few (see HOT) and go to every task as sorted arrays.
@@ -160,6 +161,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     4. What each document drops comes back as one row of hashes beside its text.
     """
     spark = docs.sparkSession
+    docs = docs.drop("_n_lines", "_n_dropped", "_doc", "_gone")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     pairs = durable(d.mapInArrow(_keys, "doc_id long, a long, b long"), "lines")
     counts = pairs.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")

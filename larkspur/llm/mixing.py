@@ -74,9 +74,8 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
 
 
 def emit(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of docs."""
-    cols = docs.columns
-    d = docs.withColumn("_size", word_count(F.col("text")))
-    m = with_rates(d.select(*[F.col(c) for c in cols], F.col("_size").alias("size")) if "size" not in cols else d.withColumn("size", F.col("_size")), **how)
-    m = m.withColumn("_n", copies(F.col("rate"), F.col("doc_id"), F.xxhash64("text")).cast("int"))
-    return m.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*cols)
+    """The mix itself: each document as often as it is taken, with the columns of docs, whatever their names."""
+    d = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    n = copies(F.col("rate"), F.col("row.doc_id"), F.xxhash64("row.text")).cast("int")
+    m = with_rates(d, **how).withColumn("n", n).where("n > 0")
+    return m.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
