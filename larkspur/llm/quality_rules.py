@@ -68,7 +68,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     g = with_hashes(d, "_x").select(F.explode(F.concat("_h", "_2")).alias("g"), F.coalesce("_t", F.lit(0)).alias("t"))
     c = g.groupBy(F.expr(bucket("g")).alias("g")).agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("g"))
-    c = durable(every.join(c, "g", "left").select("g", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")).coalesce(1), "grams")
+    c = durable(every.join(c, "g", "left").select("g", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")), "grams")
     n_raw, n_target = c.agg(F.sum("raw")).scalar(), c.agg(F.sum("target")).scalar()
     r = c.select(
         "g", F.when(n_target == 0, 0.0).otherwise(
