@@ -221,6 +221,63 @@ def _camel(t: str) -> list[str]:
     return regex.findall(r"\p{Lu}+(?!\p{Ll})|\p{Lu}?\p{Ll}+|\p{N}+|[^\p{L}\p{N}]+", t)
 
 
+# The letters that normalisers rewrite, and the articles that Italian and Irish elide.
+ELISION_IT = frozenset("c l all dall dell nell sull coll pell gl agl dagl degl negl sugl un m t s v d".split())
+ELISION_GA = frozenset("d m b".split())
+_NORMAL = {
+    "ar": str.maketrans("آأإىة", "ااايه", "ـًٌٍَُِّْ"),
+    "fa": str.maketrans("یېےکۀہ", "يييكهه", "ٔ"),
+    "ckb": str.maketrans("يىكة", "ییکە", "ـًٌٍَُِّْ"),
+    "hi": str.maketrans("ँऑआईऊॠऐऔीूॄॢैौ", "ंओअइउऋएओिुृृेो", "़‌‍"),
+}
+
+
+def normalise(lang: str, w: str) -> str:
+    """Letter variants of a language written as one."""
+    if lang == "de":
+        w = re.sub("(?<![aeiouyq])ue", "u", w.replace("ae", "a").replace("oe", "o"))
+        return w.translate(str.maketrans("äöü", "aou")).replace("ß", "ss")
+    return w.translate(_NORMAL[lang])
+
+
+def light_stem(lang: str, w: str) -> str:
+    """Savoy's light stemmers of German, Spanish and Italian, and his minimal one of French."""
+    n = len(w)
+    if lang == "fr":
+        if n < 6:
+            return w
+        if w.endswith("x"):
+            return w[:-2] + "l" if w.endswith("aux") else w[:-1]
+        for end in "sreé":
+            w = w.removesuffix(end)
+        return w[:-1] if w[-1] == w[-2] else w
+    w = "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c) or c == "\u0303" and lang == "es")
+    w, n = unicodedata.normalize("NFC", w), len(w)
+    if lang == "de":
+        for cut in (("ern", 6), ("em", 5), ("en", 5), ("er", 5), ("es", 5), ("e", 4)), (("est", 6), ("er", 5), ("en", 5)):
+            end = next((e for e, least in cut if len(w) >= least and w.endswith(e)), "")
+            if not end and len(w) >= (4 if cut[0][0] == "ern" else 5):
+                tail = "s" if cut[0][0] == "ern" else "st"
+                end = tail if w.endswith(tail) and w[-len(tail) - 1] in "bdfghklmnt" else ""
+            w = w[: len(w) - len(end)]
+        return w
+    if lang == "es":
+        if n < 5:
+            return w
+        if w[-1] in "oae":
+            return w[:-1]
+        if w.endswith("eses"):
+            return w[:-2]
+        if w.endswith("ces"):
+            return w[:-3] + "z"
+        return w[:-2] if w[-1] == "s" and w[-2] in "oae" else w
+    if n < 6:  # Italian
+        return w
+    if w[-1] in "ei":
+        return w[:-2] if w[-2] in "ih" else w[:-1]
+    return w[:-2] if w[-1] in "ao" and w[-2] == "i" else w[:-1] if w[-1] in "ao" else w
+
+
 def token_filter(name: str, o: dict):
     each = lambda f: lambda t: [f(x) for x in t]
     num = lambda k, d: int(o.get(k) or d)
@@ -248,7 +305,7 @@ def token_filter(name: str, o: dict):
             return lambda t: [x[i : i + n] for x in t for i in range(len(x)) for n in range(lo, hi + 1) if i + n <= len(x)]
         return lambda t: [x[len(x) - n :] if back else x[:n] for x in t for n in range(lo, hi + 1) if n <= len(x)]
     if name in ("elision", "elision_fr", "elision_ga", "elision_it"):
-        arts = frozenset(o.get("articles") or ELISION_FR)
+        arts = frozenset(o.get("articles") or {"elision_it": ELISION_IT, "elision_ga": ELISION_GA}.get(name, ELISION_FR))
         return each(lambda x: next((x[m.end() :] for m in [re.match(r"(\w+)['’]", x)] if m and m.group(1).lower() in arts), x))
     if name in ("keyword", "keyword_marker"):
         marks = set(o.get("keywords", []))
@@ -262,6 +319,10 @@ def token_filter(name: str, o: dict):
         return each(lambda x: type(x)(x.upper()))
     if name in ("porter", "stemmer", "stemmer_en"):
         return each(lambda x: x if isinstance(x, Marked) else porter(x))
+    if m := re.fullmatch("(?:normalization|normalizer)_(ar|ckb|de|fa|hi)|(ar|ckb|de|fa|hi)_normalization", name):
+        return each(lambda x: type(x)(normalise(m[1] or m[2], x)))
+    if m := re.fullmatch("stemmer_(de|es|it|fr)(?:_light|_minimal)?|(de|es|it|fr)_(?:light|minimal)_stemmer", name):
+        return each(lambda x: x if isinstance(x, Marked) else light_stem(m[1] or m[2], x))
     if name == "possessive_en":
         return each(lambda x: re.sub("['’]s$", "", x, flags=re.I))
     if name == "reverse":
@@ -303,11 +364,23 @@ ANALYZERS: dict[str, dict] = {
     "whitespace": {"tokenizer": "whitespace"},
     "en": {"tokenizer": "standard", "token_filter": ["possessive_en", "lower_case", "stop", "porter"]},
     "cjk": {"tokenizer": "standard", "token_filter": ["cjk_width", "lower_case", "cjk_bigram"]},
+    "de": {"tokenizer": "standard", "token_filter": ["lower_case", "de_normalization", "de_light_stemmer"]},
+    "fr": {"tokenizer": "standard", "token_filter": ["elision_fr", "lower_case", "fr_minimal_stemmer"]},
+    "es": {"tokenizer": "standard", "token_filter": ["lower_case", "es_light_stemmer"]},
+    "it": {"tokenizer": "standard", "token_filter": ["elision_it", "lower_case", "it_light_stemmer"]},
+    "ar": {"tokenizer": "standard", "token_filter": ["lower_case", "ar_normalization"]},
+    "ckb": {"tokenizer": "standard", "token_filter": ["ckb_normalization", "lower_case"]},
+    "fa": {"tokenizer": "standard", "char_filter": ["zero_width_non_joiner"], "token_filter": ["lower_case", "ar_normalization", "fa_normalization"]},
+    "hi": {"tokenizer": "standard", "token_filter": ["lower_case", "hi_normalization"]},
     "gse_standard": {"tokenizer": "gse_standard", "token_filter": ["lower_case"]},
     "gse_search": {"tokenizer": "gse_search", "token_filter": ["lower_case"]},
 }
 
 
+for _lang in ("da", "fi", "hu", "nl", "no", "pt", "ro", "ru", "sv", "tr"):  # no stemmers here: give a token_filter of your own
+    ANALYZERS[_lang] = {"tokenizer": "standard", "token_filter": ["lower_case"]}
+
+
 def _named(x, custom: dict | None) -> tuple[str, dict]:
     if isinstance(x, dict):
         return x["type"], x

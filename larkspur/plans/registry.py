@@ -122,7 +122,7 @@ for _n, _sql in (("regexp", _T), ("simple", "list_transform(regexp_extract_all(t
     _add(f"analyze_{_n}", lambda s, d, n=_n: _t(s, d, "benchmark").select("item_id", F.array_join(analysis.tokens(F.col("text"), n), "|").alias("tokens")), f"select item_id, array_to_string({_sql}, '|') tokens from benchmark")
 _add("analyze_shingle", lambda s, d: _t(s, d, "benchmark").select("item_id", F.array_join(analysis.shingle_tokens(analysis.tokens(F.col("text")), 2), "|").alias("tokens")), f"select item_id, array_to_string(list_transform(range(1, len({_T})), lambda i: {_T}[i] || ' ' || {_T}[i + 1]), '|') tokens from benchmark")
 _add("analyze_edge_ngram", lambda s, d: _t(s, d, "benchmark").select("item_id", F.array_join(analysis.edge_ngrams(analysis.tokens(F.col("text")), 2, 3), "|").alias("tokens")), f"select item_id, array_to_string(flatten(list_transform({_T}, lambda x: list_transform(list_filter([2, 3], lambda n: n <= length(x)), lambda n: substr(x, 1, n)))), '|') tokens from benchmark")
-for _n in ("standard", "en", "web"):
+for _n in ("standard", "en", "web", "de", "fr", "es", "it"):
     _add(f"analyze_{_n}", lambda s, d, n=_n: _t(s, d, "benchmark").select("item_id", F.array_join(analysis.analyze_udf(n)("text"), "|").alias("tokens")))
 
 # -- vectors

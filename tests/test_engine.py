@@ -37,6 +37,15 @@ def test_analyzers():
     assert analysis.analyze("東京 都", "cjk") == ["東京", "京都"]
 
 
+def test_languages():
+    assert analysis.analyze("Die schönen Häuser, große Bücher", "de") == ["die", "schon", "haus", "gross", "buch"]
+    assert analysis.analyze("l'avion les chevaux nationale", "fr") == ["avion", "les", "cheval", "national"]
+    assert analysis.analyze("las canciones felices del niño", "es") == ["las", "cancion", "feliz", "del", "niñ"]
+    assert analysis.analyze("dell'amico le ragazze", "it") == ["amico", "le", "ragazz"]
+    assert analysis.analyze("أَحْمَد مدرسة", "ar") == ["احمد", "مدرسه"]
+    assert all(isinstance(analysis.analyze("Abc déf", x), list) for x in analysis.ANALYZERS if not x.startswith("gse"))
+
+
 def test_schema():
     assert schema.flatten({"a": {"b": 1, "c": [1, 2]}, "d": [{"x": 1}, {"x": 2}], "e": []}) == {"a.b": 1, "a.c": [1, 2], "d.0.x": 1, "d.1.x": 2}
     assert schema.unflatten({"a.b": 1, "c": 2}) == {"a": {"b": 1}, "c": 2}
