@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from larkspur.llm.common import discard, durable, shared_dir
 
@@ -39,8 +40,8 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = 0, gzip: bool
 
     Null html is an empty payload, a null url an empty one; line breaks in a url become %0D and %0A. Of
     pages whose payloads of at least min_payload bytes are equal, the smallest page_id is the response and
-    the others revisit it. Null ids are refused, since nothing could refer to them. Rows that repeat a
-    page_id are one capture each, told apart by a number in their record ids.
+    the others revisit it. Null ids are refused, since nothing could refer to them. Rows that repeat a page_id are one capture each;
+    those whose payloads are equal too are numbered by url in their record ids.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.where(F.expr("assert_true(page_id is not null, 'page_id is null') is null"))
@@ -51,10 +52,12 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = 0, gzip: bool
     mean = keys.agg(F.avg("bytes")).first()[0] or 0
     per_file = 3 * max(1, min(20_000, int(FILE_BYTES / (mean + 2000))))  # three records a page
     first = keys.where(F.col("bytes") >= min_payload).groupBy("hex", "bytes").agg(F.min("page_id").alias("first"))
-    p = p.join(keys.join(first, ["hex", "bytes"], "left").drop("bytes"), ["page_id", "hex"])
-    page = F.concat_ws("/", "page_id", "hex")
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("key")
+    p = p.select("*", key).join(keys.join(first, ["hex", "bytes"], "left").select(key, "hex", "sha1", "first"), ["key", "hex"])
+    p = p.withColumn("n", F.row_number().over(Window.partitionBy("key", "hex").orderBy("url")))
+    page = F.concat_ws("/", "page_id", "hex", F.when(F.col("n") > 1, F.col("n")).cast("string"))
     id_, ref = _uuid("response", page), _uuid("response", F.concat_ws("/", "first", "hex"))
-    revisit = F.coalesce(F.col("first") < F.col("page_id"), F.lit(False))
+    revisit = F.col("first").isNotNull() & F.coalesce(F.col("first") < F.col("page_id"), F.lit(True))
     digest = F.concat(F.lit("sha1:"), F.col("sha1"))
     date = F.lit("1970-01-01T00:00:00Z")
     after = F.regexp_extract("url", r"^[^:]*://([^/?#]*)(.*)$", 2)
@@ -65,7 +68,7 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = 0, gzip: bool
     response = _record([("WARC-Type", F.lit("response")), ("WARC-Record-ID", id_), *base, ("WARC-Payload-Digest", digest), ("Content-Type", F.lit("application/http;msgtype=response"))], full)
     again = _record([("WARC-Type", F.lit("revisit")), ("WARC-Record-ID", id_), *base, ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", ref), ("WARC-Payload-Digest", digest), ("Content-Type", F.lit("application/http;msgtype=response"))], http)
     request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", _uuid("request", page)), ("WARC-Concurrent-To", id_), *base, ("Content-Type", F.lit("application/http;msgtype=request"))], ask)
-    meta = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _uuid("metadata", page)), ("WARC-Concurrent-To", id_), *base, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("pageId: "), F.col("page_id").cast("string"), F.lit("\r\n")))
+    meta = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _uuid("metadata", page)), ("WARC-Concurrent-To", id_), *base, ("Content-Type", F.lit("application/warc-fields"))], F.coalesce(F.concat(F.lit("pageId: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("")))
     records = p.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), meta)).alias("value"))
     records.write.option("lineSep", END).option("compression", "gzip" if gzip else "none").option("maxRecordsPerFile", per_file).text(path)
     discard(keys)
@@ -155,7 +158,7 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame, min_payload: int =
     write_archive(pages, path, min_payload)
     t = transactions(read_archive(spark, path, bodies=False))
     got = durable(t.select(
-        "record_id", F.regexp_extract(F.col("metadata.body").cast("string"), r"pageId: (-?\d+)", 1).cast("long").alias("page_id"),
+        "record_id", F.regexp_extract(F.col("metadata.body").cast("string"), r"pageId: (-?\d+)", 1).try_cast("long").alias("page_id"),
         F.col("response.content_length").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("ref"), F.col("response.uri").alias("url"), F.col("response.digest_ok").alias("digest_ok")), "captures")
     to = got.where("record_type = 'response'").select(F.col("record_id").alias("ref"), F.col("page_id").alias("refers_to"))

@@ -129,3 +129,10 @@ def test_lines_with_hot_keys_and_clashing_columns(spark, monkeypatch):
     got = {r.doc_id: (r.text, r._n_lines, r._n_dropped) for r in line_dedup.drop_lines(df).collect()}
     assert got[0] == (rows[0][1], 3, 0) and got[1] == ("own line number 1", 3, 2) and got[None] == ("a line that all share", 1, 0)
     assert got[2] == ("own line number 2\nhalf of them 1", 3, 1)
+
+
+def test_repeated_pages_against_sql(spark, tmp_path):
+    rows = [(1, "http://a/1", "<p>a</p>"), (1, "http://a/1", "<p>a</p>"), (1, "http://a/2", "<p>a</p>"), (1, "http://a/1", "other"), (2, None, "<p>a</p>"), (2, None, "<p>a</p>"), (3, "u", None), (3, "u", "")]
+    ids, urls, html = zip(*rows, strict=True)
+    path = cases.write(tmp_path / "r", pages=pa.table({"page_id": pa.array(ids, pa.int64()), "url": pa.array(urls), "html": pa.array(html)}))
+    assert compare(spark, path, "op3_warc").count() == len(rows)
