@@ -40,11 +40,11 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = 0, gzip: bool
 
     Null html is an empty payload, a null url an empty one; line breaks in a url become %0D and %0A. Of
     pages whose payloads of at least min_payload bytes are equal, the smallest page_id is the response and
-    the others revisit it. Null ids are refused, since nothing could refer to them. Rows that repeat a page_id are one capture each;
+    the others revisit it. A null id revisits too, but nothing refers to it: without an equal payload under
+    an id it is a response, and its metadata name no page. Rows that repeat a page_id are one capture each;
     those whose payloads are equal too are numbered by url in their record ids.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    p = p.where(F.expr("assert_true(page_id is not null, 'page_id is null') is null"))
     p = p.withColumn("url", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")))
     p = p.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("hex", F.sha1(F.col("html").cast("binary")))
     # digests first: the texts are shuffled once, with what they need beside them

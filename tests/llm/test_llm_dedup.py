@@ -136,3 +136,11 @@ def test_repeated_pages_against_sql(spark, tmp_path):
     ids, urls, html = zip(*rows, strict=True)
     path = cases.write(tmp_path / "r", pages=pa.table({"page_id": pa.array(ids, pa.int64()), "url": pa.array(urls), "html": pa.array(html)}))
     assert compare(spark, path, "op3_warc").count() == len(rows)
+
+
+def test_pages_without_id(spark, tmp_path):
+    rows = [(None, "http://a/1", "<p>a</p>"), (None, "http://a/1", "<p>a</p>"), (4, "http://a/4", "<p>a</p>"), (None, "u", "alone"), (None, "u", "alone"), (None, None, None)]
+    ids, urls, html = zip(*rows, strict=True)
+    path = cases.write(tmp_path / "r", pages=pa.table({"page_id": pa.array(ids, pa.int64()), "url": pa.array(urls), "html": pa.array(html)}))
+    got = [(r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in queries.queries()["op3_warc"](spark, path).collect()]
+    assert sorted(got) == [(0, 0, "response", 0), (0, 5, "response", 0), (0, 5, "response", 0), (0, 8, "revisit", 4), (0, 8, "revisit", 4), (4, 8, "response", 0)]
