@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import log10
+from math import isqrt, log10
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import as_bytes, batches, durable
 
 H = 16  # hidden units
-CLASSES, MEMBERS = 32, 32
-SYMBOLS = CLASSES * MEMBERS  # 0: end, 1: any other word, then the most frequent words
+SIDE = 32  # classes, and members of each, at least; side() grows with the distinct training words
+SYMBOLS = SIDE * SIDE  # 0: end, then the most frequent words, then buckets that all other words are hashed to
 FREQUENT = 1 << 16  # words whose counts go to every task; all others are joined
 WINDOW = 16  # steps of truncated backpropagation
 PIECE = 512  # symbols after which training on a long text starts from a fresh state, so that lanes stay even
@@ -75,10 +75,22 @@ def _count(it):
     yield out()
 
 
+def side(distinct: int) -> int:
+    """Classes, and members of each: their product, the symbols, grows with the root of the distinct words."""
+    return max(SIDE, int(np.ceil(4 * distinct**0.25)))
+
+
+def split(symbols: int, distinct: int) -> tuple[int, int]:
+    """Words with a symbol of their own, all if they fit and else half of the symbols, and buckets for the others."""
+    own = distinct if distinct <= symbols - 2 else min(symbols // 2, FREQUENT)
+    return own, symbols - 1 - own
+
+
 class Words:
-    """Codes of words: their place among the frequent, or -1 and a hash."""
+    """Codes of words: their place among the frequent, or -1 and a hash; and their symbols."""
 
-    def __init__(self, frequent: np.ndarray, said: list[bytes | None]):
+    def __init__(self, frequent: np.ndarray, said: list[bytes | None], own: int, buckets: int):
+        self.frequent, self.own, self.buckets = frequent, own, buckets
         self.order = np.argsort(frequent)
         self.sorted = frequent[self.order]
         self.said = {w: i for i, w in enumerate(said) if w is not None}
@@ -103,22 +115,30 @@ class Words:
         return codes, h, np.array(sizes, np.int64)
 
 
-def symbols(codes: np.ndarray) -> np.ndarray:
-    """Symbols of a text's codes, and the end."""
-    s = np.where((codes >= 0) & (codes < SYMBOLS - 2), codes + 2, 1)
-    return np.append(s, 0).astype(np.int32)
+    def symbols(self, codes: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Symbols of codes, h the hashes of those with code -1."""
+        s = codes + 1
+        s[codes < 0] = self.own + 1 + h % self.buckets
+        tail = np.flatnonzero(codes >= self.own)
+        s[tail] = self.own + 1 + self.frequent[codes[tail]] % self.buckets
+        return s.astype(np.int32)
 
 
 # -- the network ---------------------------------------------------------------------------------------------
 
-SHAPES = {"wx": (SYMBOLS, 3 * H), "u": (H, 3 * H), "wc": (H, CLASSES), "bc": (CLASSES,), "wo": (CLASSES, H, MEMBERS), "bo": (CLASSES, MEMBERS)}
+
+
+def shapes(n: int) -> dict[str, tuple[int, ...]]:
+    """Shapes of the parameters with n classes of n members."""
+    return {"wx": (n * n, 3 * H), "u": (H, 3 * H), "wc": (H, n), "bc": (n,), "wo": (n, H, n), "bo": (n, n)}
 
 
 def fresh(counts: np.ndarray) -> dict[str, np.ndarray]:
     """Parameters that start as the unigram model of the symbol counts."""
     rng = np.random.default_rng(11)
-    p = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in SHAPES.items()}
-    c = (counts.astype(np.float64) + 0.1).reshape(CLASSES, MEMBERS)
+    n = isqrt(len(counts))
+    p = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes(n).items()}
+    c = (counts.astype(np.float64) + 0.1).reshape(n, n)
     p["bc"] = np.log(c.sum(1) / c.sum()).astype(np.float32)
     p["bo"] = np.log(c / c.sum(1, keepdims=True)).astype(np.float32)
     p["wc"] *= 0
@@ -127,14 +147,15 @@ def fresh(counts: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def pack(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in SHAPES]).astype(np.float32)
+    return np.concatenate([p[k].ravel() for k in shapes(0)]).astype(np.float32, copy=False)
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in SHAPES.items():
+    a, b, c = 4 * H + 1, H + 1, 3 * H * H - len(flat)  # the length is a*n*n + b*n + 3*H*H
+    for k, s in shapes(round(((b * b - 4 * a * c) ** 0.5 - b) / (2 * a))).items():
         n = int(np.prod(s))
-        out[k] = np.array(flat[at : at + n], np.float32).reshape(s)
+        out[k] = np.asarray(flat[at : at + n], np.float32).reshape(s)
         at += n
     return out
 
@@ -201,11 +222,11 @@ def run(p: dict, x: np.ndarray, start: np.ndarray, h: np.ndarray, keep: list | N
     return out
 
 
-def _by_class(y: np.ndarray):
-    cls = (y // MEMBERS).astype(np.int16)  # sixteen bits are sorted by radix
+def _by_class(y: np.ndarray, n: int):
+    cls = (y // n).astype(np.int16)  # sixteen bits are sorted by radix
     order = np.argsort(cls, kind="stable")
-    edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
+    edge = np.searchsorted(cls[order], np.arange(n + 1))
+    for c in range(n):
         if edge[c] < edge[c + 1]:
             yield c, order[edge[c] : edge[c + 1]]
 
@@ -222,12 +243,13 @@ def _logits(w: np.ndarray, b: np.ndarray, h: np.ndarray) -> np.ndarray:
 def log_probs(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probabilities of targets y given states h (H, n): log P(class) + log P(member | class)."""
     out = np.empty(len(y), np.float32)
+    n = len(p["bc"])
     a = _logits(p["wc"], p["bc"], h)
-    out[:] = a[y // MEMBERS, np.arange(len(y))]
+    out[:] = a[y // n, np.arange(len(y))]
     out -= np.log(np.exp(a, out=a).sum(0))
-    for c, k in _by_class(y):
+    for c, k in _by_class(y, n):
         a = _logits(p["wo"][c], p["bo"][c], h[:, k])
-        said = a[y[k] % MEMBERS, np.arange(len(k))]
+        said = a[y[k] % n, np.arange(len(k))]
         out[k] += said - np.log(np.exp(a, out=a).sum(0))
     return out
 
@@ -245,13 +267,14 @@ def gradient(p: dict, x: np.ndarray, y: np.ndarray, start: np.ndarray, h0: np.nd
     hs = run(p, x, start, h0, steps)
     ok = np.flatnonzero(y.ravel() >= 0)
     flat, t = np.ascontiguousarray(hs.reshape(-1, H)[ok].T), y.ravel()[ok]
-    g = {k: np.zeros(s, np.float32) for k, s in SHAPES.items() if k != "wx"}
-    d = _softmax_gradient(_logits(p["wc"], p["bc"], flat), t // MEMBERS)
+    size = len(p["bc"])
+    g = {k: np.zeros(s, np.float32) for k, s in shapes(size).items()}
+    d = _softmax_gradient(_logits(p["wc"], p["bc"], flat), t // size)
     g["wc"], g["bc"] = flat @ d.T, d.sum(1)
     dh = p["wc"] @ d
-    for c, k in _by_class(t):
+    for c, k in _by_class(t, size):
         hk = flat[:, k]
-        d = _softmax_gradient(_logits(p["wo"][c], p["bo"][c], hk), t[k] % MEMBERS)
+        d = _softmax_gradient(_logits(p["wo"][c], p["bo"][c], hk), t[k] % size)
         g["wo"][c], g["bo"][c] = hk @ d.T, d.sum(1)
         dh[:, k] += p["wo"][c] @ d
     every = np.zeros((y.size, H), np.float32)
@@ -270,10 +293,9 @@ def gradient(p: dict, x: np.ndarray, y: np.ndarray, start: np.ndarray, h0: np.nd
         g["u"] += h.T @ dhu
         back = back * z + dhu @ p["u"].T
         back[np.flatnonzero(start[s])] = 0
-    ids = x.ravel().astype(np.int16)
+    ids = x.ravel().astype(np.uint16 if size <= 256 else np.int32)
     order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], np.diff(ids[order]) > 0)))
-    g["wx"] = np.zeros(SHAPES["wx"], np.float32)
+    first = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
     g["wx"][ids[order][first]] = np.add.reduceat(dgx.reshape(-1, 3 * H)[order], first)
     for k in g:
         g[k] /= max(1, len(ok))
@@ -289,10 +311,20 @@ class Adam:
         if norm > 1:
             g = g / np.float32(norm)
         self.t += 1
-        self.m = 0.9 * self.m + 0.1 * g
-        self.v = 0.99 * self.v + 0.01 * g * g
+        if self.t == 1:
+            self.m, self.v = np.zeros_like(g), np.zeros_like(g)
+        self.m *= np.float32(0.9)
+        self.m += np.float32(0.1) * g
+        self.v *= np.float32(0.99)
+        g = g * g
+        g *= np.float32(0.01)
+        self.v += g
         rate = RATE * (1 - 0.99**self.t) ** 0.5 / (1 - 0.9**self.t)
-        return (flat - rate * self.m / (np.sqrt(self.v) + 1e-6)).astype(np.float32)
+        np.sqrt(self.v, out=g)
+        g += np.float32(1e-6)
+        np.divide(self.m, g, out=g)
+        g *= np.float32(rate)
+        return flat - g
 
 
 def train(flat: np.ndarray, texts: list[np.ndarray], adam: Adam) -> np.ndarray:
@@ -329,8 +361,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents whose crc32 of the id as text leaves a remainder other than 0 modulo 10 are trained on; a null
     id counts as the empty text. Tokens are A-Z-lowered words and one end; null text has the end alone.
-    base_score is the smoothed unigram log10 probability. score is the network's: a symbol for each of the
-    most frequent words and one for all others, under which a word has its smoothed share of their counts,
+    base_score is the smoothed unigram log10 probability. score is the network's: its symbols grow with the
+    distinct training words (side). The most frequent words have one each; all others are hashed to buckets,
+    seen as input and predicted from context as those, and have their smoothed share of the bucket's counts,
     so that the probabilities of all texts sum to at most 1. Repeated rows are scored each.
 
     Word counts are sums of per-task counts over all training documents. The FREQUENT largest go to all
@@ -349,23 +382,27 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_train, vocabulary = total + ends, distinct + (ends > 0)
     z = n_train + 0.1 * (vocabulary + 1)
     said = [_unpack(r[2], r[3]) for r in top]
-    known = min(len(top), SYMBOLS - 2)
-    others = total - int(freq_c[:known].sum())
-    z_other = others + 0.1 * (distinct - known + 1)
-    sym = np.zeros(SYMBOLS, np.int64)
-    sym[0], sym[1], sym[2 : 2 + known] = ends, others, freq_c[:known]
+    size = side(distinct) ** 2
+    own, buckets = split(size, distinct)
+    sym, kinds = np.zeros(size, np.int64), np.zeros(buckets, np.int64)
+    for b, c, k in counts.groupBy(F.pmod("h", F.lit(buckets)).cast("int")).agg(F.sum("c"), F.count("*")).collect():  # bounded by the symbols
+        sym[own + 1 + b], kinds[b] = c, k
+    np.subtract.at(sym, own + 1 + freq_h[:own] % buckets, freq_c[:own])
+    np.subtract.at(kinds, freq_h[:own] % buckets, 1)
+    sym[0], sym[1 : own + 1] = ends, freq_c[:own]
+    shares = np.log10(sym[own + 1 :] + 0.1 * (kinds + 1))
 
     spark = docs.sparkSession
     flat = pack(fresh(sym))
     for k in range(ROUNDS):
-        flat = _round(learn, k, flat, freq_h[:known], said[:known])
-    sent = spark.sparkContext.broadcast((flat, freq_h, freq_c, said))
+        flat = _round(learn, k, flat, freq_h, said, own, buckets)
+    sent = spark.sparkContext.broadcast((flat, freq_h, freq_c, said, shares))
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_freq long, base double, net double, n_other long, other double, rare_h array<long>, rare_n array<int>"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_freq long, base double, net double, other double, rare_h array<long>, rare_n array<int>"
 
     def work(it):
-        params, fh, fc, fw = sent.value
-        p, words = unpack(params), Words(fh, fw)
+        params, fh, fc, fw, share = sent.value
+        p, words = unpack(params), Words(fh, fw, own, buckets)
         logs = np.log10(np.append(fc, 0) + 0.1)
         for b in it:
             held_out = b.column(2)
@@ -374,32 +411,33 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             raw = as_bytes(b.column(1))
             for i, j in batches(raw):
                 codes, hashes, sizes = words.codes(raw[i:j])
+                every = words.symbols(codes, hashes)
                 at, seen = 0, 0
                 for n in sizes.tolist():
-                    c = codes[at : at + n]
+                    c, s = codes[at : at + n], every[at : at + n]
                     at += n
-                    texts.append(symbols(c))
+                    texts.append(np.append(s, np.int32(0)))
                     f = c[c >= 0]
-                    oov = f[f >= SYMBOLS - 2]
+                    oov = f[f >= own]
                     n_rare = n - len(f)
                     h, k = np.unique(hashes[seen : seen + n_rare], return_counts=True)
                     seen += n_rare
-                    rows.append((n + 1, len(f), logs[f].sum(), len(oov) + n_rare, logs[oov].sum(), h, k.astype(np.int32)))
+                    rows.append((n + 1, len(f), logs[f].sum(), logs[oov].sum() - share[s[s > own] - own - 1].sum(), h, k.astype(np.int32)))
             net = score(p, texts) if texts else np.zeros(0)
             col = lambda i, k: pa.array([r[i] for r in rows], k)
-            yield pa.record_batch([b.column(0), held_out, col(0, pa.int64()), col(1, pa.int64()), col(2, pa.float64()), pa.array(net, pa.float64()), col(3, pa.int64()), col(4, pa.float64()), _lists(rows, 5, pa.int64()), _lists(rows, 6, pa.int32())], names=[x.split()[0] for x in schema.split(", ")])
+            yield pa.record_batch([b.column(0), held_out, col(0, pa.int64()), col(1, pa.int64()), col(2, pa.float64()), pa.array(net, pa.float64()), col(3, pa.float64()), _lists(rows, 4, pa.int64()), _lists(rows, 5, pa.int32())], names=[x.split()[0] for x in schema.split(", ")])
 
     rows = d.select("doc_id", "text", held.alias("held_out")).mapInArrow(work, schema)
     rows = durable(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.expr("inline(arrays_zip(rare_h, rare_n))")).join(counts.select("h", "c"), F.col("rare_h") == F.col("h"), "left")
     rare = rare.groupBy("row").agg(F.sum(F.col("rare_n") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("lr"), F.sum(F.when(F.col("c") > 0, F.col("rare_n")).otherwise(0)).alias("kr"))
     end = log10(ends + 0.1)
-    lz, lo = log10(z), log10(z_other)
+    lz = log10(z)
     lr = F.coalesce("lr", F.lit(0.0))
     return rows.drop("rare_h", "rare_n").join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_freq") + F.coalesce("kr", F.lit(0)) + (1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + lr + end - F.col("n_tokens") * lz).alias("base_score"),
-        (F.col("net") + F.col("other") + lr - F.col("n_other") * lo).alias("score"))
+        (F.col("net") + F.col("other") + lr).alias("score"))
 
 
 def _lists(rows: list[tuple], i: int, kind: pa.DataType) -> pa.ListArray:
@@ -407,22 +445,20 @@ def _lists(rows: list[tuple], i: int, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *(r[i] for r in rows)]).astype(kind.to_pandas_dtype()), kind))
 
 
-def _round(learn: DataFrame, k: int, flat: np.ndarray, freq: np.ndarray, said: list[bytes | None]) -> np.ndarray:
+def _round(learn: DataFrame, k: int, flat: np.ndarray, freq: np.ndarray, said: list[bytes | None], own: int, buckets: int) -> np.ndarray:
     """Train on the k-th part in every task, and average the models."""
     part = learn.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k).select("text")
     sent = learn.sparkSession.sparkContext.broadcast((flat, freq, said))
 
     def work(it):
         mine, fh, fw = sent.value
-        words, adam, tokens = Words(fh, fw), Adam(), 0
-        plain = None if any(w is None for w in fw) else dict(zip(fw, range(2, len(fw) + 2), strict=True))
+        words, adam, tokens = Words(fh, fw, own, buckets), Adam(), 0
         for b in it:
             texts = []
-            for t in as_bytes(b.column(0)):
-                if plain is None:  # some frequent word is too long to be known by its text
-                    texts.append(symbols(words.codes([t])[0]))
-                else:
-                    texts.append(np.array([*[plain.get(w, 1) for w in t.lower().split()], 0], np.int32))
+            raw = as_bytes(b.column(0))
+            for i, j in batches(raw):
+                codes, h, sizes = words.codes(raw[i:j])
+                texts += [np.append(s, np.int32(0)) for s in np.split(words.symbols(codes, h), np.cumsum(sizes)[:-1])]
             if texts:
                 mine = train(mine, texts, adam)
                 tokens += sum(map(len, texts))

@@ -117,6 +117,18 @@ def test_language_model_learns_order_and_sums_to_one():
     assert np.exp(every.astype(float)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_symbols_grow_with_the_vocabulary():
+    assert gru_lm.side(500) == 32 and gru_lm.side(84_013) ** 2 > 4 * gru_lm.SYMBOLS and gru_lm.side(10**8) > 2 * gru_lm.side(10**6)
+    said = [f"w{i}".encode() for i in range(20_000)]
+    own, buckets = gru_lm.split(gru_lm.side(len(said)) ** 2, len(said))
+    words = gru_lm.Words(gru_lm._hashes(said), [w if i % 2 else None for i, w in enumerate(said)], own, buckets)
+    s = words.symbols(*words.codes([b" ".join(said)])[:2])
+    assert (s[:own] == np.arange(1, own + 1)).all() and s[own:].min() > own and s.max() < gru_lm.side(len(said)) ** 2
+    assert len(set(s.tolist())) > 2 * gru_lm.SYMBOLS
+    unknown = gru_lm.Words(gru_lm._hashes(said[:own]), said[:own], own, buckets)  # the others hashed as rare words
+    assert (unknown.symbols(*unknown.codes([b" ".join(said)])[:2]) == s).all()
+
+
 def test_language_model_gradient():
     rng = np.random.default_rng(3)
     p = {k: v.astype(np.float64) for k, v in gru_lm.unpack((rng.standard_normal(len(gru_lm.pack(gru_lm.fresh(np.ones(gru_lm.SYMBOLS))))) * 0.2).astype(np.float32)).items()}
