@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import as_bytes, batches, mix
+from larkspur.llm.common import as_bytes, batches
 
 BUCKETS = 1 << 12  # hashed byte trigrams of the text view
 LABELLED = 4096  # labelled documents fitted on at most: those of smallest hashed id
@@ -16,7 +17,7 @@ SCALE = 256  # frequencies are kept times this in half precision
 ROUNDS = 3
 SURE = 0.95  # calibrated probability from which a view passes a label on
 MOST = 512  # labels a view passes on in a round at most
-SOURCES, LANGS, KINDS = 32, 16, 9
+SOURCES, LANGS, KINDS = 1024, 128, 9  # half of the columns of sources and of languages for each of a value's two hashes
 META = SOURCES + LANGS + KINDS + 5
 
 _KIND = np.zeros(256, np.int64)  # letter, upper, digit, space, newline, common punctuation, other symbol, control, non-ASCII
@@ -58,7 +59,7 @@ def text_scores(texts: list[bytes], w: np.ndarray) -> np.ndarray:
 
 
 def metadata(texts: list[bytes], source: list, lang: list) -> np.ndarray:
-    """Hashed source and language, and the layout of a page: shares of character kinds, sizes, lines."""
+    """Source and language, each hashed whole to two columns, and the layout of a page: shares of character kinds, sizes, lines."""
     out = np.zeros((len(texts), META))
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     for i, j in batches(texts):
@@ -70,7 +71,8 @@ def metadata(texts: list[bytes], source: list, lang: list) -> np.ndarray:
         place: dict = {}
         for k, v in enumerate(col):
             if v not in place:
-                place[v] = at + int(mix(np.array([len(str(v)) * 1315423911 + sum(ord(c) * 31**p % (1 << 40) for p, c in enumerate(str(v)[:12]))], np.uint64))[0] % np.uint64(width))
+                h, half = xxhash.xxh3_64_intdigest("" if v is None else str(v)), width // 2
+                place[v] = [at + h % half, at + half + (h >> 32) % half]
             out[k, place[v]] = 1
     lines = [t.count(b"\n") + 1 for t in texts]
     tail = SOURCES + LANGS + KINDS
@@ -210,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 s = b.slice(k, 256)
                 t = as_bytes(s.column(2))
                 x, m = text_counts(t), metadata(t, s.column(3).to_pylist(), s.column(4).to_pylist())
-                yield pa.record_batch([s.column(0), s.column(1), pa.array([r.astype(np.float16).tobytes() for r in x * SCALE], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], names=["doc_id", "y", "x", "m"])
+                yield pa.record_batch([s.column(0), s.column(1), pa.array([r.astype(np.float16).tobytes() for r in x * SCALE], pa.binary()), pa.array([r.astype(np.float32).tobytes() for r in m], pa.binary())], names=["doc_id", "y", "x", "m"])
 
     got = sample.mapInArrow(features, "doc_id long, y int, x binary, m binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     if not got.num_rows:
@@ -218,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     x = np.empty((got.num_rows, BUCKETS), np.float16)
     for i, v in enumerate(got["x"]):
         x[i] = np.frombuffer(v.as_buffer(), np.float16)
-    m = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in got["m"]])
+    m = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in got["m"]])
     y = np.array([np.nan if v is None else v for v in got["y"].to_pylist()])
     del got
     known = ~np.isnan(y)
@@ -240,7 +242,10 @@ def with_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         model = sent.value
         for b in it:
             t = as_bytes(b.column("text"))
-            p = model.probabilities(text_scores(t, model.text[0]) + model.text[1], metadata(t, b.column("source").to_pylist(), b.column("lang").to_pylist()) @ model.meta[0] + model.meta[1])
+            source, lang = b.column("source").to_pylist(), b.column("lang").to_pylist()
+            cut = [slice(i, i + 512) for i in range(0, len(t), 512)]
+            meta = np.concatenate([np.zeros(0), *(metadata(t[c], source[c], lang[c]) @ model.meta[0] for c in cut)])
+            p = model.probabilities(text_scores(t, model.text[0]) + model.text[1], meta + model.meta[1])
             yield pa.record_batch([*b.columns, *(pa.array(v, pa.float64()) for v in p)], names=[*b.schema.names, *SCORES])
 
     out = docs.drop(*SCORES)

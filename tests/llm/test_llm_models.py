@@ -37,6 +37,13 @@ def test_classifier_learns(spark):
     assert len(got) == 600 and np.mean([r.kept == (r.doc_id % 3 > 0) for r in got]) > 0.97
 
 
+def test_metadata_tells_sources_apart():
+    names = [f"src{i}" for i in range(40)] + ["commoncrawl-2019", "commoncrawl-2023", "commoncrawl-junk"] + [f"http://www.{x}.org" for x in ("aa", "ab", "ba")]
+    assert len({r.tobytes() for r in cotraining.metadata([b""] * len(names), names, [""] * len(names))}) == len(names)
+    langs = ["en", "de", "fr", "es", "it", "nl", "pt"]
+    assert len({r.tobytes() for r in cotraining.metadata([b""] * len(langs), [""] * len(langs), langs)}) == len(langs)
+
+
 def test_classifier_on_odd_rows(spark, docs, path):
     y = spark.read.parquet(f"{path}/labels.parquet")
     twice = docs.union(docs).withColumn("_y", F.lit("x"))
