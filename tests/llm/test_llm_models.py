@@ -38,26 +38,105 @@ def test_classifier_learns(spark):
 
 
 def test_metadata_tells_sources_apart():
-    names = [f"src{i}" for i in range(40)] + ["commoncrawl-2019", "commoncrawl-2023", "commoncrawl-junk"] + [f"http://www.{x}.org" for x in ("aa", "ab", "ba")]
-    assert len({r.tobytes() for r in cotraining.metadata([b""] * len(names), names, [""] * len(names))}) == len(names)
+    names = [None, "", *(f"src{i}" for i in range(40)), "commoncrawl-2019", "commoncrawl-2023", "commoncrawl-junk", *(f"http://www.{x}.org" for x in ("aa", "ab", "ba"))]
+    n = [0] * len(names)
+    assert len({r.tobytes() for r in cotraining.metadata([b""] * len(names), names, n, n)}) == len(names)
     langs = ["en", "de", "fr", "es", "it", "nl", "pt"]
-    assert len({r.tobytes() for r in cotraining.metadata([b""] * len(langs), [""] * len(langs), langs)}) == len(langs)
+    assert len({r.tobytes() for r in cotraining.metadata([b""] * len(langs), [""] * len(langs), langs, n[: len(langs)])}) == len(langs)
+
+
+def _two_views(n, labelled, seed=0):
+    """Documents whose words and whose source each tell their class most of the time, in many variants."""
+    rng = np.random.default_rng(seed)
+    words = [["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(60)] for _ in range(2)]
+    rows = []
+    for i in range(n):
+        y = i % 2
+        text = " ".join(words[y][k] if rng.random() < 0.8 else words[1 - y][k] for k in rng.integers(0, 60, 12))
+        rows.append((i, text, "en", f"s{int(rng.integers(60)) * 2 + (y if rng.random() < 0.95 else 1 - y)}", 1))
+    return rows, [(i, 1 - i % 2) for i in range(labelled)]
+
+
+def test_views_teach_each_other(spark):
+    """With scarce labels the exchange lifts the metadata view, which has seen few of the sources, and both together."""
+    rows, y = _two_views(3000, 80)
+    df, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(y, "doc_id long, quality int")
+    right = {}
+    for rounds in (0, 3):
+        got = cotraining.judge(df, labels, rounds=rounds, sure=0.9).where("doc_id >= 80").collect()
+        right[rounds] = [np.mean([(getattr(r, c) >= 0.5) == (r.doc_id % 2 == 0) for r in got]) for c in ("p_text", "p_meta", "p_quality")]
+    assert right[3][1] > right[0][1] + 0.1 and right[3][2] >= right[0][2] and right[3][2] > 0.95, right
+
+
+def test_cotraining_against_brute_force(spark):
+    rows, y = _two_views(500, 200, 4)
+    df, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(y, "doc_id long, quality int")
+    hold = {r[0]: r[1] for r in labels.selectExpr("doc_id", "pmod(xxhash64(5, doc_id), 5) = 0").collect()}
+    label = dict(y)
+    grams = {i: Counter(((a | b << 8 | c << 16) * 2654435761 % 2**32) >> (32 - cotraining.BITS) for a, b, c in zip(t, t[1:], t[2:])) for i, t in ((r[0], b"\n" + r[1].encode() + b"\n") for r in rows)}
+    meta = {r[0]: cotraining.metadata([r[1].encode()], [r[3]], [r[2]], [r[4]])[0].tolist() for r in rows}
+    t, m = ({0: Counter(), 1: Counter()} for _ in range(2))
+
+    def ratios(c, size, parts):
+        out = [0.0] * size
+        for part in parts:
+            g, b = sum(c[1][k] for k in part), sum(c[0][k] for k in part)
+            for k in part:
+                out[k] = math.log((c[1][k] + 4 * g / (g + b)) / (c[0][k] + 4 * b / (g + b))) - math.log(g / b)
+        return out
+
+    def model():
+        wt = ratios(t, cotraining.BUCKETS, [range(cotraining.BUCKETS)])
+        wm = ratios(m, cotraining.META, [range(a, a + w) for a, w in zip(cotraining.STARTS.tolist(), cotraining.WIDTHS.tolist())])
+        st = {i: sum(wt[k] * n for k, n in g.items()) / g.total() for i, g in grams.items()}
+        sm = {i: sum(wm[k] * f for k, f in zip(b, cotraining.FACTOR.tolist())) for i, b in meta.items()}
+        bin_ = lambda s, most: min(255, max(0, math.floor((s / most + 1) / 2 * 256)))
+        cells = Counter((bin_(st[i], 2.0), bin_(sm[i], 24.0), label[i]) for i in label if hold[i])
+        return cotraining.calibrated(np.array(wt), np.array(wm), sorted((*k, n) for k, n in cells.items())), st, sm
+
+    for i in label:
+        if not hold[i]:
+            t[label[i]].update({k: 8 * n for k, n in grams[i].items()})
+            m[label[i]].update({k: 8 for k in meta[i]})
+    now, st, sm = model()
+    given = [{}, {}]
+    for _ in range(cotraining.ROUNDS):
+        for i in grams:
+            if i not in label:
+                p = [float(x[0]) for x in now.probabilities(np.array([st[i]]), np.array([sm[i]]))[:2]]
+                for v, (view, items) in enumerate(((m, dict.fromkeys(meta[i], 1)), (t, grams[i]))):
+                    y = 1 if p[v] >= 0.75 else 0 if p[v] <= 0.25 else None
+                    if y is not None and i not in given[v]:
+                        given[v][i] = y
+                        view[y].update(items)
+        now, st, sm = model()
+    assert min(map(len, given)) > 30
+    want = now.probabilities(np.array(list(st.values())), np.array(list(sm.values())))
+    got = {r.doc_id: r for r in cotraining.judge(df, labels, sure=0.75).collect()}
+    for k, i in enumerate(st):
+        assert (got[i].p_text, got[i].p_meta, got[i].p_quality) == pytest.approx(tuple(float(p[k]) for p in want), abs=1e-6)
 
 
 def test_classifier_on_odd_rows(spark, docs, path):
     y = spark.read.parquet(f"{path}/labels.parquet")
-    twice = docs.union(docs).withColumn("_y", F.lit("x"))
+    long = spark.createDataFrame([(None, "x" * 3_000_000, None, None, None), (None, None, None, None, None)], DOCS)
+    twice = docs.union(docs).union(long).withColumns({c: F.lit("x") for c in ("_y", "_id", "_hold", "_in0", "k")})
     got = cotraining.with_scores(twice, y)
     rows = got.collect()
-    assert got.columns == [*twice.columns, *cotraining.SCORES] and len(rows) == 2 * docs.count() and all(0 <= r._p <= 1 for r in rows)
+    assert got.columns == [*twice.columns, *cotraining.SCORES] and len(rows) == 2 * docs.count() + 2 and all(0 <= r._p <= 1 for r in rows)
+    by = {}
+    for r in rows:
+        assert by.setdefault((r.doc_id, r.text), r._p) == r._p  # repeated rows and reruns agree
     assert cotraining.judge(docs, y.limit(0)).where("not kept").count() == 0
     assert cotraining.judge(docs.limit(0), y).count() == 0
 
 
 def test_text_scores_equal_counts():
     w = np.random.default_rng(1).standard_normal(cotraining.BUCKETS)
-    t = [b"", b"a", "é b".encode(), b"some longer text\nwith lines"]
-    assert np.allclose(cotraining.text_scores(t, w), cotraining.text_counts(t).astype(float) @ w, atol=1e-5)
+    t = [b"", b"a", "é b".encode(), b"", b"some longer text\nwith lines", b""]
+    want = [float(cotraining.text_counts([x]) @ w) / max(1, len(x)) for x in t]
+    assert np.allclose(cotraining.text_scores(t, w), want) and np.array_equal(cotraining.text_counts(t), sum(cotraining.text_counts([x]) for x in t))
+    assert cotraining.text_counts(t).sum() == sum(map(len, t)) and len(cotraining.text_scores([], w)) == 0
 
 
 def _xx(v, seed=42):
