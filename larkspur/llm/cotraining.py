@@ -295,15 +295,18 @@ def with_scores(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **how))
     out = docs.drop(*SCORES)
     names = out.columns
-    extra = [c.alias(f"_in{i}") for i, c in enumerate(_inputs(docs))]
+    own = "_in"
+    while any(c.lower().startswith(own) for c in names):
+        own += "_"
+    extra = [c.alias(f"{own}{i}") for i, c in enumerate(_inputs(docs))]
 
     def run(it):
         model = sent.value
         for b in it:
-            t = as_bytes(b.column("_in0"))
+            t = as_bytes(b.column(f"{own}0"))
             p = [np.zeros(0)], [np.zeros(0)], [np.zeros(0)]
             for k in range(0, len(t), 4096):
-                m = metadata(t[k : k + 4096], *(b.column(f"_in{i}").slice(k, 4096).to_pylist() for i in (1, 2, 3)))
+                m = metadata(t[k : k + 4096], *(b.column(f"{own}{i}").slice(k, 4096).to_pylist() for i in (1, 2, 3)))
                 for into, v in zip(p, model.probabilities(*model.raw(t[k : k + 4096], m)), strict=True):
                     into.append(v)
             yield pa.record_batch([*(b.column(c) for c in names), *(pa.array(np.concatenate(v), pa.float64()) for v in p)], names=[*names, *SCORES])
