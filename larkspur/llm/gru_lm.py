@@ -17,7 +17,7 @@ SIDE = 32  # classes, and members of each, at least; side() grows with the disti
 SYMBOLS = SIDE * SIDE  # 0: end, then the most frequent words, then buckets that all other words are hashed to
 FREQUENT = 1 << 16  # words whose counts go to every task; all others are joined
 WINDOW = 16  # steps of truncated backpropagation
-PIECE = 512  # symbols after which training on a long text starts from a fresh state, so that lanes stay even
+PIECE = 2048  # symbols of a long text that one lane trains on; the next piece starts from the state this one ends in
 SPAN = 64  # steps scored at a time; the state is carried from span to span
 LANES = 512  # documents side by side
 ROUNDS = 2  # synchronisations; each trains on another part of the documents
@@ -77,7 +77,7 @@ def _count(it):
 
 def side(distinct: int) -> int:
     """Classes, and members of each: their product, the symbols, grows with the root of the distinct words."""
-    return max(SIDE, int(np.ceil(4 * distinct**0.25)))
+    return max(SIDE, int(np.ceil(2 * distinct**0.25)))
 
 
 def split(symbols: int, distinct: int) -> tuple[int, int]:
@@ -174,19 +174,23 @@ def lanes(texts: list[np.ndarray], most: int) -> list[list[int]]:
     return sorted(out, key=lambda x: -sum(len(texts[i]) for i in x))
 
 
-def windows(texts: list[np.ndarray], most: int, window: int = WINDOW):
+def windows(texts: list[np.ndarray], most: int, window: int = WINDOW, before: np.ndarray | None = None):
     """Yield (inputs, targets, starts, owners) of `window` steps by the lanes still running.
 
-    starts marks where a text begins (the state is reset); target -1 pads a lane's last window.
+    starts marks where a text begins (its lane takes that text's first state); target -1 pads a lane's last
+    window. before holds the input at each text's start, by default the end symbol.
     """
     deal = lanes(texts, most)
     order = [i for x in deal for i in x]
     size = np.fromiter((len(texts[i]) for i in order), np.int64, len(order))
     target = np.concatenate([texts[i] for i in order])
     owner = np.repeat(order, size)
-    given = np.zeros(len(target), np.int32)  # the input at a text's start is the end symbol, which comes nowhere else
+    given = np.zeros(len(target), np.int32)
     given[1:] = target[:-1]
-    given[np.cumsum(size) - size] = 0
+    first = np.cumsum(size) - size
+    given[first] = 0 if before is None else before[order]
+    begins = np.zeros(len(target), bool)
+    begins[first] = True
     end = np.cumsum(np.fromiter((sum(len(texts[i]) for i in x) for x in deal), np.int64, len(deal)))
     begin = np.concatenate(([0], end[:-1]))
     for t in range(0, int(end[0]), window):
@@ -194,23 +198,25 @@ def windows(texts: list[np.ndarray], most: int, window: int = WINDOW):
         at = begin[:live] + t + np.arange(window)[:, None]
         ok = at < end[:live]
         at = np.where(ok, at, 0)
-        x = np.where(ok, given[at], 0)
-        yield x, np.where(ok, target[at], -1), x == 0, owner[at]
+        yield np.where(ok, given[at], 0), np.where(ok, target[at], -1), begins[at] & ok, owner[at]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def run(p: dict, x: np.ndarray, start: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States after each step (steps, lanes, H); keep collects what backpropagation needs."""
+def run(p: dict, x: np.ndarray, start: np.ndarray, h: np.ndarray, keep: list | None = None, first: np.ndarray | None = None) -> np.ndarray:
+    """States after each step (steps, lanes, H); keep collects what backpropagation needs.
+
+    first (steps, lanes, H) holds the states that lanes take where start says so, by default zeros.
+    """
     gx = p["wx"][x]
     out = np.empty((*x.shape, H), np.float32)
     for t in range(len(x)):
         fresh_lanes = np.flatnonzero(start[t])
         if len(fresh_lanes):
             h = h.copy()
-            h[fresh_lanes] = 0
+            h[fresh_lanes] = 0 if first is None else first[t, fresh_lanes]
         hu = h @ p["u"]
         rz = _sigmoid(gx[t, :, : 2 * H] + hu[:, : 2 * H])
         r, z = rz[:, :H], rz[:, H:]
@@ -222,61 +228,80 @@ def run(p: dict, x: np.ndarray, start: np.ndarray, h: np.ndarray, keep: list | N
     return out
 
 
-def _by_class(y: np.ndarray, n: int):
+def _by_class(y: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that puts targets of a class next to each other, and (class, from, to) of the classes that occur."""
     cls = (y // n).astype(np.int16)  # sixteen bits are sorted by radix
     order = np.argsort(cls, kind="stable")
-    edge = np.searchsorted(cls[order], np.arange(n + 1))
-    for c in range(n):
-        if edge[c] < edge[c + 1]:
-            yield c, order[edge[c] : edge[c + 1]]
+    edge = np.searchsorted(cls[order], np.arange(n + 1)).tolist()
+    return order, [(c, edge[c], edge[c + 1]) for c in range(n) if edge[c] < edge[c + 1]]
 
 
 LIMIT = np.float32(60)  # logits are held within it, so that no exponential overflows
 
 
-def _logits(w: np.ndarray, b: np.ndarray, h: np.ndarray) -> np.ndarray:
+def _reach(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The largest logit that states within -1 and 1 can give, for each class."""
+    return (np.abs(w).sum(-2) + np.abs(b)).max(-1)
+
+
+def _logits(w: np.ndarray, b: np.ndarray, h: np.ndarray, reach: float) -> np.ndarray:
     """Outcomes by rows, states by columns: sums over outcomes then run along memory."""
-    a = w.T @ h + b[:, None]
-    return np.clip(a, -LIMIT, LIMIT, out=a)
+    a = w.T @ h
+    a += b[:, None]
+    return a if reach < LIMIT else np.clip(a, -LIMIT, LIMIT, out=a)
 
 
 def log_probs(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probabilities of targets y given states h (H, n): log P(class) + log P(member | class)."""
-    out = np.empty(len(y), np.float32)
     n = len(p["bc"])
-    a = _logits(p["wc"], p["bc"], h)
-    out[:] = a[y // n, np.arange(len(y))]
-    out -= np.log(np.exp(a, out=a).sum(0))
-    for c, k in _by_class(y, n):
-        a = _logits(p["wo"][c], p["bo"][c], h[:, k])
-        said = a[y[k] % n, np.arange(len(k))]
-        out[k] += said - np.log(np.exp(a, out=a).sum(0))
+    order, parts = _by_class(y, n)
+    y, h = y[order], np.ascontiguousarray(h[:, order])
+    at = np.arange(len(y))
+    a = _logits(p["wc"], p["bc"], h, float(_reach(p["wc"], p["bc"])))
+    lp = a[y // n, at]
+    lp -= np.log(np.exp(a, out=a).sum(0))
+    reach = _reach(p["wo"], p["bo"]).tolist()
+    member = y % n
+    for c, i, j in parts:
+        a = _logits(p["wo"][c], p["bo"][c], h[:, i:j], reach[c])
+        lp[i:j] += a[member[i:j], at[: j - i]]
+        lp[i:j] -= np.log(np.exp(a, out=a).sum(0))
+    out = np.empty(len(y), np.float32)
+    out[order] = lp
     return out
 
 
-def _softmax_gradient(a: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _softmax_gradient(a: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     np.exp(a, out=a)
     a /= a.sum(0)
-    a[y, np.arange(len(y))] -= 1
+    a[y, at] -= 1
     return a
 
 
-def gradient(p: dict, x: np.ndarray, y: np.ndarray, start: np.ndarray, h0: np.ndarray) -> tuple[dict, np.ndarray]:
-    """Mean gradient of a window (truncated at its start), and the state to carry on."""
+def gradient(p: dict, x: np.ndarray, y: np.ndarray, start: np.ndarray, h0: np.ndarray, first: np.ndarray | None = None) -> tuple[dict, np.ndarray]:
+    """Mean gradient of a window (truncated at its start), and the state to carry on.
+
+    That of wx is sparse: the symbols that occur, and their rows.
+    """
     steps: list = []
-    hs = run(p, x, start, h0, steps)
+    hs = run(p, x, start, h0, steps, first)
+    size = len(p["bc"])
     ok = np.flatnonzero(y.ravel() >= 0)
+    order, parts = _by_class(y.ravel()[ok], size)
+    ok = ok[order]
     flat, t = np.ascontiguousarray(hs.reshape(-1, H)[ok].T), y.ravel()[ok]
-    size = len(p["bc"])
-    g = {k: np.zeros(s, np.float32) for k, s in shapes(size).items()}
-    d = _softmax_gradient(_logits(p["wc"], p["bc"], flat), t // size)
+    at = np.arange(len(t))
+    g = {k: np.zeros(s, np.float32) for k, s in shapes(size).items() if k not in ("wx", "wc", "bc")}
+    d = _softmax_gradient(_logits(p["wc"], p["bc"], flat, float(_reach(p["wc"], p["bc"]))), t // size, at)
     g["wc"], g["bc"] = flat @ d.T, d.sum(1)
     dh = p["wc"] @ d
-    for c, k in _by_class(t, size):
-        hk = flat[:, k]
-        d = _softmax_gradient(_logits(p["wo"][c], p["bo"][c], hk), t[k] % size)
+    reach = _reach(p["wo"], p["bo"]).tolist()
+    member = t % size
+    for c, i, j in parts:
+        hk = flat[:, i:j]
+        d = _softmax_gradient(_logits(p["wo"][c], p["bo"][c], hk, reach[c]), member[i:j], at[: j - i])
         g["wo"][c], g["bo"][c] = hk @ d.T, d.sum(1)
-        dh[:, k] += p["wo"][c] @ d
+        dh[:, i:j] += p["wo"][c] @ d
     every = np.zeros((y.size, H), np.float32)
     every[ok] = dh.T
     every = every.reshape(*y.shape, H)
@@ -295,47 +320,91 @@ def gradient(p: dict, x: np.ndarray, y: np.ndarray, start: np.ndarray, h0: np.nd
         back[np.flatnonzero(start[s])] = 0
     ids = x.ravel().astype(np.uint16 if size <= 256 else np.int32)
     order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
-    g["wx"][ids[order][first]] = np.add.reduceat(dgx.reshape(-1, 3 * H)[order], first)
+    edge = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
+    g["wx"] = np.add.reduceat(dgx.reshape(-1, 3 * H)[order], edge)
     for k in g:
         g[k] /= max(1, len(ok))
-    return g, hs[-1]
+    return g | {"rows": ids[order[edge]].astype(np.int64)}, hs[-1]
 
 
 class Adam:
-    def __init__(self) -> None:
-        self.m, self.v, self.t = np.float32(0), np.float32(0), 0
+    """Adam's steps in place; rows of wx move only when their symbol occurs."""
 
-    def step(self, flat: np.ndarray, g: np.ndarray) -> np.ndarray:
-        norm = float(np.sqrt((g * g).sum()))
-        if norm > 1:
-            g = g / np.float32(norm)
+    def __init__(self) -> None:
+        self.m: dict[str, np.ndarray] = {}
+        self.v: dict[str, np.ndarray] = {}
+        self.t = 0
+
+    def step(self, p: dict, g: dict) -> None:
+        rows, names = g["rows"], list(shapes(0))
+        norm = float(sum(np.vdot(g[k], g[k]) for k in names)) ** 0.5
+        shrink = np.float32(1 / max(1.0, norm))
         self.t += 1
-        if self.t == 1:
-            self.m, self.v = np.zeros_like(g), np.zeros_like(g)
-        self.m *= np.float32(0.9)
-        self.m += np.float32(0.1) * g
-        self.v *= np.float32(0.99)
-        g = g * g
-        g *= np.float32(0.01)
-        self.v += g
-        rate = RATE * (1 - 0.99**self.t) ** 0.5 / (1 - 0.9**self.t)
-        np.sqrt(self.v, out=g)
-        g += np.float32(1e-6)
-        np.divide(self.m, g, out=g)
-        g *= np.float32(rate)
-        return flat - g
+        rate = np.float32(RATE * (1 - 0.99**self.t) ** 0.5 / (1 - 0.9**self.t))
+        for k in names:
+            if k not in self.m:
+                self.m[k], self.v[k] = np.zeros_like(p[k]), np.zeros_like(p[k])
+            x = g[k]
+            x *= shrink
+            m, v = (self.m[k][rows], self.v[k][rows]) if k == "wx" else (self.m[k], self.v[k])
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * x
+            v *= np.float32(0.99)
+            x *= x
+            x *= np.float32(0.01)
+            v += x
+            if k == "wx":
+                self.m[k][rows], self.v[k][rows] = m, v
+            np.sqrt(v, out=x)
+            x += np.float32(1e-6)
+            np.divide(m, x, out=x)
+            x *= rate
+            if k == "wx":
+                p[k][rows] -= x
+            else:
+                p[k] -= x
+
+
+def pieces(p: dict, texts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Texts cut to PIECE symbols, and for each piece the symbol before it and the state the text has reached there.
+
+    The states of long texts are found by running the network over them, side by side, without backpropagation.
+    """
+    out, before, states = [], [], []
+    long = sorted((t for t in texts if len(t) > PIECE), key=len, reverse=True)
+    for t in texts:
+        if len(t) <= PIECE:
+            out.append(t)
+            before.append(0)
+            states.append(np.zeros(H, np.float32))
+    for g in range(0, len(long), LANES):
+        live, h = long[g : g + LANES], np.zeros((len(long[g : g + LANES]), H), np.float32)
+        for k in range(0, len(live[0]), PIECE):
+            live = [t for t in live if len(t) > k]
+            h = h[: len(live)]
+            for i, t in enumerate(live):
+                out.append(t[k : k + PIECE])
+                before.append(int(t[k - 1]) if k else 0)
+                states.append(h[i].copy())
+            live = [t for t in live if len(t) > k + PIECE]
+            if not live:
+                break
+            h = h[: len(live)]
+            x = np.stack([np.concatenate((t[k - 1 : k] if k else [0], t[k : k + PIECE - 1])) for t in live], 1).astype(np.int32)
+            for s in range(0, PIECE, SPAN):
+                h = run(p, x[s : s + SPAN], np.zeros(x[s : s + SPAN].shape, bool), h)[-1]
+    return out, np.array(before, np.int32), np.stack(states)
 
 
 def train(flat: np.ndarray, texts: list[np.ndarray], adam: Adam) -> np.ndarray:
-    """One pass over texts (symbols with ends): a step a window, the state carried to the next."""
-    h = np.zeros((0, H), np.float32)
-    texts = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
-    for x, y, start, _ in windows(texts, LANES):
-        p = unpack(flat)
+    """One pass over texts (symbols with ends): a step a window, the state carried to the next and through whole texts."""
+    flat = flat.copy()
+    p, h = unpack(flat), np.zeros((0, H), np.float32)
+    texts, before, states = pieces(p, texts)
+    for x, y, start, owner in windows(texts, LANES, before=before):
         h = np.zeros((x.shape[1], H), np.float32) if not len(h) else h[: x.shape[1]]
-        g, h = gradient(p, x, y, start, h)
-        flat = adam.step(flat, pack(g))
+        g, h = gradient(p, x, y, start, h, states[owner] if start.any() else None)
+        adam.step(p, g)  # p are views of flat
     return flat
 
 
