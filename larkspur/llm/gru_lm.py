@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import isqrt, log10
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import as_bytes, batches, durable
@@ -21,7 +22,7 @@ PIECE = 2048  # symbols of a long text that one lane trains on; the next piece s
 SPAN = 64  # steps scored at a time; the state is carried from span to span
 LANES = 512  # documents side by side
 ROUNDS = 2  # synchronisations; each trains on another part of the documents
-RATE = 0.01
+RATE = 0.015
 CACHE = 400_000  # distinct words counted before they are passed on
 SAID = 8  # words met so often in a task are reported with their text, which spares others their hash
 CHUNK = 4096  # parameters of a row when models are averaged
@@ -77,7 +78,7 @@ def _count(it):
 
 def side(distinct: int) -> int:
     """Classes, and members of each: their product, the symbols, grows with the root of the distinct words."""
-    return max(SIDE, int(np.ceil(2 * distinct**0.25)))
+    return max(SIDE, int(np.ceil(distinct**0.25)))
 
 
 def split(symbols: int, distinct: int) -> tuple[int, int]:
@@ -291,7 +292,7 @@ def gradient(p: dict, x: np.ndarray, y: np.ndarray, start: np.ndarray, h0: np.nd
     ok = ok[order]
     flat, t = np.ascontiguousarray(hs.reshape(-1, H)[ok].T), y.ravel()[ok]
     at = np.arange(len(t))
-    g = {k: np.zeros(s, np.float32) for k, s in shapes(size).items() if k not in ("wx", "wc", "bc")}
+    g = {k: np.zeros(s, np.float32) for k, s in shapes(size).items() if k in ("wo", "bo")}
     d = _softmax_gradient(_logits(p["wc"], p["bc"], flat, float(_reach(p["wc"], p["bc"]))), t // size, at)
     g["wc"], g["bc"] = flat @ d.T, d.sum(1)
     dh = p["wc"] @ d
@@ -305,19 +306,25 @@ def gradient(p: dict, x: np.ndarray, y: np.ndarray, start: np.ndarray, h0: np.nd
     every = np.zeros((y.size, H), np.float32)
     every[ok] = dh.T
     every = every.reshape(*y.shape, H)
-    dgx = np.empty((*x.shape, 3 * H), np.float32)
-    back = np.zeros((x.shape[1], H), np.float32)
+    # what does not depend on the later steps is computed for all steps at once
+    h, r, z, n, hn = (np.stack(v) for v in zip(*steps, strict=True))
+    to_z, to_n, to_r = (h - n) * z * (1 - z), (1 - z) * (1 - n * n), hn * r * (1 - r)
+    dgx, dhu = np.empty((*x.shape, 3 * H), np.float32), np.empty((*x.shape, 3 * H), np.float32)
+    back, back_u = np.zeros((x.shape[1], H), np.float32), np.ascontiguousarray(p["u"].T)
     for s in range(len(x) - 1, -1, -1):
-        h, r, z, n, hn = steps[s]
-        back = back + every[s]
-        dz = back * (h - n) * z * (1 - z)
-        dn = back * (1 - z) * (1 - n * n)
-        dr = dn * hn * r * (1 - r)
-        dgx[s, :, :H], dgx[s, :, H : 2 * H], dgx[s, :, 2 * H :] = dr, dz, dn
-        dhu = np.concatenate((dr, dz, dn * r), 1)
-        g["u"] += h.T @ dhu
-        back = back * z + dhu @ p["u"].T
-        back[np.flatnonzero(start[s])] = 0
+        back += every[s]
+        v = dhu[s]
+        dn = back * to_n[s]
+        np.multiply(back, to_z[s], out=v[:, H : 2 * H])
+        np.multiply(dn, to_r[s], out=v[:, :H])
+        np.multiply(dn, r[s], out=v[:, 2 * H :])
+        dgx[s, :, 2 * H :] = dn
+        back *= z[s]
+        back += v @ back_u
+        if start[s].any():
+            back[start[s]] = 0
+    dgx[:, :, : 2 * H] = dhu[:, :, : 2 * H]
+    g["u"] = h.reshape(-1, H).T @ dhu.reshape(-1, 3 * H)
     ids = x.ravel().astype(np.uint16 if size <= 256 else np.int32)
     order = np.argsort(ids, kind="stable")
     edge = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
@@ -425,33 +432,40 @@ def score(p: dict, texts: list[np.ndarray]) -> np.ndarray:
 # -- the operator --------------------------------------------------------------------------------------------
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
+@dataclass
+class Model:
+    """A fitted network with the counts it needs: those of frequent words, and of all words as a table (h, c)."""
 
-    Documents whose crc32 of the id as text leaves a remainder other than 0 modulo 10 are trained on; a null
-    id counts as the empty text. Tokens are A-Z-lowered words and one end; null text has the end alone.
-    base_score is the smoothed unigram log10 probability. score is the network's: its symbols grow with the
-    distinct training words (side). The most frequent words have one each; all others are hashed to buckets,
-    seen as input and predicted from context as those, and have their smoothed share of the bucket's counts,
-    so that the probabilities of all texts sum to at most 1. Repeated rows are scored each.
+    flat: np.ndarray
+    words: tuple  # hashes and texts of the frequent words, words with a symbol of their own, buckets
+    freq_c: np.ndarray
+    shares: np.ndarray  # log10 of each bucket's smoothed count
+    counts: DataFrame
+    ends: int
+    train_tokens: int
+    vocabulary: int
 
-    Word counts are sums of per-task counts over all training documents. The FREQUENT largest go to all
-    tasks; every other word of a document is joined with its count by hash. Training reads all training
+
+def _learned(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return d, (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10) == 0
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", symbols: int | None = None) -> Model:
+    """The model of the documents that are not held out. symbols: those of the network, a square; by default as side() says.
+
+    Word counts are sums of per-task counts over all training documents. Training reads all training
     documents: each of ROUNDS parts is trained on in parallel from the last mean of the models, and the
     models are averaged, weighted by tokens, chunk by chunk on the executors.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10) == 0
+    d, held = _learned(docs, id_col, text_col)
     learn = d.where(~held)
     counts = durable(learn.select("text").mapInArrow(_count, "h long, n long, w1 long, w2 long").groupBy("h").agg(F.sum("n").alias("c"), F.max("w1").alias("w1"), F.max("w2").alias("w2")), "counts")
     ends = learn.count()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()  # bounded by FREQUENT
     freq_h, freq_c = (np.array([r[i] for r in top], np.int64) for i in (0, 1))
-    n_train, vocabulary = total + ends, distinct + (ends > 0)
-    z = n_train + 0.1 * (vocabulary + 1)
-    said = [_unpack(r[2], r[3]) for r in top]
-    size = side(distinct) ** 2
+    size = symbols or side(distinct) ** 2
     own, buckets = split(size, distinct)
     sym, kinds = np.zeros(size, np.int64), np.zeros(buckets, np.int64)
     for b, c, k in counts.groupBy(F.pmod("h", F.lit(buckets)).cast("int")).agg(F.sum("c"), F.count("*")).collect():  # bounded by the symbols
@@ -459,19 +473,38 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     np.subtract.at(sym, own + 1 + freq_h[:own] % buckets, freq_c[:own])
     np.subtract.at(kinds, freq_h[:own] % buckets, 1)
     sym[0], sym[1 : own + 1] = ends, freq_c[:own]
-    shares = np.log10(sym[own + 1 :] + 0.1 * (kinds + 1))
-
-    spark = docs.sparkSession
+    words = (freq_h, [_unpack(r[2], r[3]) for r in top], own, buckets)
     flat = pack(fresh(sym))
     for k in range(ROUNDS):
-        flat = _round(learn, k, flat, freq_h, said, own, buckets)
-    sent = spark.sparkContext.broadcast((flat, freq_h, freq_c, said, shares))
+        flat = _round(learn, k, flat, words)
+    return Model(flat, words, freq_c, np.log10(sym[own + 1 :] + 0.1 * (kinds + 1)), counts, ends, total + ends, distinct + (ends > 0))
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
+
+    Documents whose crc32 of the id as text leaves a remainder other than 0 modulo 10 are trained on; a null
+    id counts as the empty text. Tokens are A-Z-lowered words and one end; null text has the end alone.
+    base_score is the smoothed unigram log10 probability. score is the network's: its symbols grow with the
+    distinct training words (side). The most frequent words have one each; all others are hashed to buckets,
+    seen as input and predicted from context as those, and have their smoothed share of the bucket's counts,
+    so that the probabilities of all texts sum to at most 1. Repeated rows are scored each, words of equal
+    counts are ranked by hash, and very long texts are scored whole, the state carried through. Other columns,
+    whatever their names, are ignored. An empty table gives no rows.
+
+    The FREQUENT largest counts go to all tasks; every other word of a document is joined with its count.
+    """
+    d, held = _learned(docs, id_col, text_col)
+    m = model or fit(docs, id_col, text_col)
+    ends, n_train, counts = m.ends, m.train_tokens, m.counts
+    z = n_train + 0.1 * (m.vocabulary + 1)
+    sent = docs.sparkSession.sparkContext.broadcast((m.flat, m.words, m.freq_c, m.shares))
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_freq long, base double, net double, other double, rare_h array<long>, rare_n array<int>"
 
     def work(it):
-        params, fh, fc, fw, share = sent.value
-        p, words = unpack(params), Words(fh, fw, own, buckets)
+        params, known, fc, share = sent.value
+        p, words, own = unpack(params), Words(*known), known[2]
         logs = np.log10(np.append(fc, 0) + 0.1)
         for b in it:
             held_out = b.column(2)
@@ -514,14 +547,14 @@ def _lists(rows: list[tuple], i: int, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *(r[i] for r in rows)]).astype(kind.to_pandas_dtype()), kind))
 
 
-def _round(learn: DataFrame, k: int, flat: np.ndarray, freq: np.ndarray, said: list[bytes | None], own: int, buckets: int) -> np.ndarray:
+def _round(learn: DataFrame, k: int, flat: np.ndarray, known: tuple) -> np.ndarray:
     """Train on the k-th part in every task, and average the models."""
     part = learn.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k).select("text")
-    sent = learn.sparkSession.sparkContext.broadcast((flat, freq, said))
+    sent = learn.sparkSession.sparkContext.broadcast((flat, known))
 
     def work(it):
-        mine, fh, fw = sent.value
-        words, adam, tokens = Words(fh, fw, own, buckets), Adam(), 0
+        mine, frequent = sent.value
+        words, adam, tokens = Words(*frequent), Adam(), 0
         for b in it:
             texts = []
             raw = as_bytes(b.column(0))
