@@ -22,7 +22,7 @@ PIECE = 2048  # symbols of a long text that one lane trains on; the next piece s
 SPAN = 64  # steps scored at a time; the state is carried from span to span
 LANES = 512  # documents side by side
 ROUNDS = 2  # synchronisations; each trains on another part of the documents
-RATE = 0.015
+RATE = 0.02
 CACHE = 400_000  # distinct words counted before they are passed on
 SAID = 8  # words met so often in a task are reported with their text, which spares others their hash
 CHUNK = 4096  # parameters of a row when models are averaged
@@ -203,7 +203,10 @@ def windows(texts: list[np.ndarray], most: int, window: int = WINDOW, before: np
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    x = np.tanh(x * np.float32(0.5))
+    x *= np.float32(0.5)
+    x += np.float32(0.5)
+    return x
 
 
 def run(p: dict, x: np.ndarray, start: np.ndarray, h: np.ndarray, keep: list | None = None, first: np.ndarray | None = None) -> np.ndarray:
@@ -253,10 +256,10 @@ def _logits(w: np.ndarray, b: np.ndarray, h: np.ndarray, reach: float) -> np.nda
 
 
 def log_probs(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of targets y given states h (H, n): log P(class) + log P(member | class)."""
+    """Natural log probabilities of targets y given states h (n, H): log P(class) + log P(member | class)."""
     n = len(p["bc"])
     order, parts = _by_class(y, n)
-    y, h = y[order], np.ascontiguousarray(h[:, order])
+    y, h = y[order], np.ascontiguousarray(h[order].T)
     at = np.arange(len(y))
     a = _logits(p["wc"], p["bc"], h, float(_reach(p["wc"], p["bc"])))
     lp = a[y // n, at]
@@ -424,7 +427,7 @@ def score(p: dict, texts: list[np.ndarray]) -> np.ndarray:
         hs = run(p, x, start, h)
         h = hs[-1]
         ok = np.flatnonzero(y.ravel() >= 0)
-        lp = log_probs(p, np.ascontiguousarray(hs.reshape(-1, H)[ok].T), y.ravel()[ok])
+        lp = log_probs(p, hs.reshape(-1, H)[ok], y.ravel()[ok])
         out += np.bincount(owner.ravel()[ok], lp.astype(np.float64), len(texts))
     return out / np.log(10)
 
@@ -505,7 +508,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def work(it):
         params, known, fc, share = sent.value
         p, words, own = unpack(params), Words(*known), known[2]
-        logs = np.log10(np.append(fc, 0) + 0.1)
+        logs = np.log10(np.append(fc, 0) + 0.1)  # the last, at -1, is not used
         for b in it:
             held_out = b.column(2)
             rows: list[tuple] = []
@@ -514,17 +517,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for i, j in batches(raw):
                 codes, hashes, sizes = words.codes(raw[i:j])
                 every = words.symbols(codes, hashes)
-                at, seen = 0, 0
-                for n in sizes.tolist():
-                    c, s = codes[at : at + n], every[at : at + n]
-                    at += n
-                    texts.append(np.append(s, np.int32(0)))
-                    f = c[c >= 0]
-                    oov = f[f >= own]
-                    n_rare = n - len(f)
-                    h, k = np.unique(hashes[seen : seen + n_rare], return_counts=True)
-                    seen += n_rare
-                    rows.append((n + 1, len(f), logs[f].sum(), logs[oov].sum() - share[s[s > own] - own - 1].sum(), h, k.astype(np.int32)))
+                at = np.concatenate(([0], np.cumsum(sizes)))
+                rare = codes < 0
+                lost = np.concatenate(([0], np.cumsum(rare)))[at]  # rare words before each text
+                owner = np.repeat(np.arange(j - i), sizes)
+                base = np.bincount(owner, np.where(rare, 0.0, logs[codes]), j - i)
+                k = np.flatnonzero(every > own)
+                tail = np.bincount(owner[k], np.where(rare[k], 0.0, logs[codes[k]]) - share[every[k] - own - 1], j - i)
+                texts += [np.append(t, np.int32(0)) for t in np.split(every, at[1:-1])] if len(sizes) else []
+                for n, x, y, known_sum, other in zip(sizes.tolist(), lost[:-1].tolist(), lost[1:].tolist(), base.tolist(), tail.tolist(), strict=True):
+                    h, c = np.unique(hashes[x:y], return_counts=True)
+                    rows.append((n + 1, n - (y - x), known_sum, other, h, c.astype(np.int32)))
             net = score(p, texts) if texts else np.zeros(0)
             col = lambda i, k: pa.array([r[i] for r in rows], k)
             yield pa.record_batch([b.column(0), held_out, col(0, pa.int64()), col(1, pa.int64()), col(2, pa.float64()), pa.array(net, pa.float64()), col(3, pa.float64()), _lists(rows, 4, pa.int64()), _lists(rows, 5, pa.int32())], names=[x.split()[0] for x in schema.split(", ")])

@@ -265,8 +265,8 @@ def test_language_model_learns_order_and_sums_to_one():
     p0 = gru_lm.fresh(counts)
     p1 = gru_lm.unpack(gru_lm.train(gru_lm.pack(p0), cycle * 20, gru_lm.Adam()))
     assert gru_lm.score(p1, cycle[:1])[0] > 0.5 * gru_lm.score(p0, cycle[:1])[0]
-    h = rng.standard_normal((gru_lm.H, 1)).astype(np.float32)
-    every = gru_lm.log_probs(p1, np.repeat(h, gru_lm.SYMBOLS, 1), np.arange(gru_lm.SYMBOLS))
+    h = rng.standard_normal((1, gru_lm.H)).astype(np.float32)
+    every = gru_lm.log_probs(p1, np.repeat(h, gru_lm.SYMBOLS, 0), np.arange(gru_lm.SYMBOLS))
     assert np.exp(every.astype(float)).sum() == pytest.approx(1, abs=1e-4)
 
 
@@ -288,7 +288,7 @@ def test_language_model_gradient():
     x, y = rng.integers(2, 40, (5, 3)), rng.integers(0, 40, (5, 3))
     start, h0 = np.zeros((5, 3), bool), np.zeros((3, gru_lm.H))
     g, _ = gru_lm.gradient(p, x, y, start, h0)
-    loss = lambda: -gru_lm.log_probs(p, gru_lm.run(p, x, start, h0).astype(np.float64).reshape(-1, gru_lm.H).T, y.ravel()).astype(float).mean()
+    loss = lambda: -gru_lm.log_probs(p, gru_lm.run(p, x, start, h0).astype(np.float64).reshape(-1, gru_lm.H), y.ravel()).astype(float).mean()
     for k, at in (("u", (2, 5)), ("wc", (1, 0)), ("wo", (0, 3, 7)), ("wx", (int(x[1, 1]), 20)), ("bo", (1, 2))):
         old = p[k][at]
         p[k][at] = old + 1e-2
