@@ -62,11 +62,28 @@ def test_tile_bounds_are_rigorous():
     a = rng.standard_normal((300, 12))
     a[150:] = a[:150] + 0.3 * rng.standard_normal((150, 12))
     n = a / np.linalg.norm(a, axis=1)[:, None]
+    codes = embedding_dedup.quantise(embedding_dedup.units(a))
+    assert codes[0].dtype == np.int8
+    part = lambda z: tuple(x[z] for x in codes)
+
+    def links(x, y, t, lo):
+        out = set()
+        for r, c, doubt in embedding_dedup.code_links(x, y, t):
+            cos = embedding_dedup.cosines(a, r, a, c + lo)
+            assert (cos[~doubt] >= t).all()
+            out |= {(i, j) for i, j, k in zip(r.tolist(), c.tolist(), cos >= t, strict=True) if k}
+        return out
+
     for t in (0.8, 0.95):
         want = {(i, j) for i, j in itertools.combinations(range(300), 2) if n[i] @ n[j] >= t}
-        assert {(i, j) for r, c in embedding_dedup.tile_links(a, None, t) for i, j in zip(r.tolist(), c.tolist(), strict=True)} == want
-        both = {(i, j) for r, c in embedding_dedup.tile_links(a[:100], a[100:], t) for i, j in zip(r.tolist(), c.tolist(), strict=True)}
-        assert both == {(i, j - 100) for i, j in want if i < 100 <= j}
+        assert links(codes, None, t, 0) == want
+        assert links(part(slice(0, 100)), part(slice(100, 300)), t, 100) == {(i, j - 100) for i, j in want if i < 100 <= j}
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (3, [0.01, 1.0]), (None, [1.0, 0.0]), (4, [1.0] * 3000), (5, [1.0] * 2999 + [1.01])]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (5, 1, 4, False)]
 
 
 def test_vectors_over_many_blocks(spark, monkeypatch):
