@@ -14,7 +14,6 @@ from larkspur.llm.common import SPACES, as_bytes, durable, mix
 
 LEAST_CHARS = 10
 SHARD_KEYS = 100_000  # probes of a shard, about
-HOT = 10_000  # keys that hold more than 1/HOT of all lines are fewer than HOT, and are sent to every task
 SEEDS = 24  # levels of the minimal perfect hash
 
 
@@ -139,7 +138,7 @@ def _probe(probes: pa.Table, index: pa.Table) -> pa.Table:
     """The probes (doc_id, a, b) whose line another document of smaller id holds."""
     if not probes.num_rows or not index.num_rows:
         return probes.slice(0, 0).select(["doc_id", "a", "b"])
-    shard = Shard({k: index[k][0].as_py() for k in index.column_names if k != "shard"})
+    shard = Shard({k: index[k][0].as_py() for k in index.column_names if k not in ("shard", "salt")})
     a, b, ids = (probes[c].to_numpy() for c in ("a", "b", "doc_id"))
     at = shard.find(a, b)
     return probes.select(["doc_id", "a", "b"]).filter(pa.array((at >= 0) & (shard.values[at] < ids)))
@@ -151,86 +150,59 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A line's key is the stripped, A-Z-lowered line. Keys of LEAST_CHARS code points or more that at least
     two documents hold lose all their lines except in the smallest id; other lines stay, joined by newlines.
     Null text counts as one empty line. Rows that repeat an id are one document and keep the same lines.
-    Null ids are judged by no one: their lines stay and count for nothing. All columns are kept but those
-    named _n_lines, _n_dropped (replaced), _doc and _gone (dropped).
+    Null ids are judged by no one: their lines stay and count for nothing. Texts of any length are split
+    whole. All columns are kept but those named _n_lines and _n_dropped, which are replaced. An empty table
+    gives no rows.
 
     1. (key, id) pairs, distinct in each row, are counted by partial aggregation.
-    2. Keys held by a large share of all lines are few (see HOT) and go to every task as sorted arrays.
-    3. All other repeated keys are indexed in shards by a minimal perfect hash; the documents' compact
-       probes (no line text) meet their shard's arrays.
-    4. What each document drops comes back as one row of hashes beside its text.
+    2. All repeated keys are indexed in shards by a minimal perfect hash; the documents' compact probes (no
+       line text) meet their shard's arrays. A shard with more than twice SHARD_KEYS probes, as one has that
+       holds a very common line, is copied, and its probes are dealt to the copies by document: a task holds
+       about SHARD_KEYS probes whatever the lines, and the copies weigh less than the probes.
+    3. What each document drops comes back as one row of hashes beside its text.
     """
     spark = docs.sparkSession
-    docs = docs.drop("_n_lines", "_n_dropped", "_doc", "_gone")
+    docs = docs.drop("_n_lines", "_n_dropped")
+    own = "_own"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    doc, gone_col = f"{own}doc", f"{own}gone"
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     pairs = durable(d.mapInArrow(_keys, "doc_id long, a long, b long"), "lines")
     counts = pairs.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
-    counts = durable(counts, "repeated")
-    total = pairs.count()
-    hot = counts.where(F.col("n") > max(1, total // HOT)).select("a", "b", "first")
-    hot_rows = np.array([tuple(r) for r in hot.collect()] if total >= HOT else [], np.int64).reshape(-1, 3)
-    hot_rows = hot_rows[np.lexsort((hot_rows[:, 1], hot_rows[:, 0]))]
-    shards = max(1, -(-total // SHARD_KEYS), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # a 31-bit part of the first half that no level of the hash uses as it is
+    shards = max(1, -(-pairs.count() // SHARD_KEYS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     shard = F.pmod(F.xxhash64(F.lit(1), "a"), F.lit(shards)).cast("int").alias("shard")
-    cold = counts if total < HOT else counts.where(F.col("n") <= total // HOT)
-    index = build_index(cold.select(shard, "a", "b", "first", "n"))
-
-    sent = spark.sparkContext.broadcast(hot_rows)
-
-    def split(it):
-        for b in it:
-            if len(sent.value):
-                ids, x, y = (b.column(i).to_numpy() for i in range(3))
-                at = _hot_at(sent.value, x, y)
-                b = b.filter(pa.array(at < 0))
-            yield b
-
-    probes = pairs.mapInArrow(split, "doc_id long, a long, b long").select(shard, "doc_id", "a", "b")
-    gone = probes.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe, "doc_id long, a long, b long")
-    drops = gone.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
-    both = docs.withColumn("_n_lines", F.lit(0).cast("long")).withColumn("_n_dropped", F.lit(0).cast("long")).join(drops.withColumnRenamed("doc_id", "_doc"), F.col(id_col) == F.col("_doc"), "left").drop("_doc")
-    schema = docs.select(*[F.col(text_col).cast("string").alias(c) if c == text_col else F.col(c) for c in docs.columns]).withColumn("_n_lines", F.lit(0).cast("long")).withColumn("_n_dropped", F.lit(0).cast("long")).schema
+    many = pairs.groupBy(shard).agg(F.count("*").alias("c")).where(F.col("c") > 2 * SHARD_KEYS)
+    many = durable(many.select("shard", F.ceil(F.col("c") / SHARD_KEYS).cast("int").alias("salts")), "salts")
+    index = build_index(counts.select(shard, "a", "b", "first", "n")).join(many, "shard", "left")
+    index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).select("salt", *[c.split()[0] for c in INDEX.split(", ")])
+    probes = pairs.withColumn("shard", shard).join(many, "shard", "left")
+    probes = probes.select("shard", F.coalesce(F.pmod(F.xxhash64(F.lit(2), "doc_id"), "salts"), F.lit(0)).cast("int").alias("salt"), "doc_id", "a", "b")
+    gone = probes.groupBy("shard", "salt").cogroup(index.groupBy("shard", "salt")).applyInArrow(_probe, "doc_id long, a long, b long")
+    drops = gone.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set(F.struct("a", "b")).alias(gone_col))
+    out = docs.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in docs.columns], F.lit(0).cast("long").alias("_n_lines"), F.lit(0).cast("long").alias("_n_dropped"))
+    both = out.join(drops, F.col(id_col) == F.col(doc), "left").drop(doc)
 
     def cut(it):
         for b in it:
             texts, n_lines, n_dropped = [], [], []
-            ids = b.column(id_col).to_pylist()
-            for i, raw, t, g in zip(ids, b.column(text_col).to_pylist(), as_bytes(b.column(text_col)), b.column("_gone"), strict=True):
-                at, h = _hashes(t)
-                dead: set[int] = set()
-                if h and i is not None:
-                    x, y = _signed(h, 0), _signed(h, 64)
-                    if g.is_valid:
-                        mine = {(z["a"], z["b"]) for z in g.as_py()}
-                        dead = {p for p, u, v in zip(at, x.tolist(), y.tolist(), strict=True) if (u, v) in mine}
-                    if len(sent.value):
-                        k = _hot_at(sent.value, x, y)
-                        dead |= {at[j] for j in np.flatnonzero((k >= 0) & (sent.value[k, 2] < i)).tolist()}
+            raw = b.column(text_col)
+            for before, t, g in zip(raw.to_pylist(), as_bytes(raw), b.column(gone_col), strict=True):
                 lines = t.split(b"\n")
+                dead: set[int] = set()
+                if g.is_valid:
+                    mine = {(z["a"], z["b"]) for z in g.as_py()}
+                    at, h = _hashes(t)
+                    dead = {p for p, u, v in zip(at, _signed(h, 0).tolist(), _signed(h, 64).tolist(), strict=True) if (u, v) in mine}
                 n_lines.append(len(lines))
                 n_dropped.append(len(dead))
-                texts.append(b"\n".join(x for j, x in enumerate(lines) if j not in dead).decode() if dead else raw)
-            out = b.drop_columns(["_gone"])
+                texts.append(b"\n".join(x for j, x in enumerate(lines) if j not in dead).decode() if dead else before)
+            o = b.drop_columns([gone_col])
             for name, v in ((text_col, pa.array(texts, pa.string())), ("_n_lines", pa.array(n_lines, pa.int64())), ("_n_dropped", pa.array(n_dropped, pa.int64()))):
-                out = out.set_column(out.schema.get_field_index(name), name, v)
-            yield out
-
-    return both.mapInArrow(cut, schema)
-
-
-def _hot_at(hot: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row of each key (a, b) in the sorted hot keys, -1 where it isn't there."""
-    out = np.full(len(a), -1, np.int64)
-    if not len(hot):
-        return out
-    lo = np.searchsorted(hot[:, 0], a)
-    for step in range(4):  # equal first halves are next to each other; more than four don't occur
-        at = lo + step
-        ok = at < len(hot)
-        ok[ok] = (hot[at[ok], 0] == a[ok]) & (hot[at[ok], 1] == b[ok])
-        out[ok] = at[ok]
-    return out
+                o = o.set_column(o.schema.get_field_index(name), name, v)
+            yield o
+
+    return both.mapInArrow(cut, out.schema)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

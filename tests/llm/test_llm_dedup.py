@@ -140,12 +140,19 @@ def test_perfect_hash():
 
 
 def test_lines_with_hot_keys_and_clashing_columns(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "HOT", 20)
-    rows = [(i, f"a line that all share\nown line number {i}\nhalf of them {i // 2}", "x") for i in range(40)] + [(None, "a line that all share", "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, _gone string")
-    got = {r.doc_id: (r.text, r._n_lines, r._n_dropped) for r in line_dedup.drop_lines(df).collect()}
-    assert got[0] == (rows[0][1], 3, 0) and got[1] == ("own line number 1", 3, 2) and got[None] == ("a line that all share", 1, 0)
-    assert got[2] == ("own line number 2\nhalf of them 1", 3, 1)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 10)
+    rows = [(i, f"a line that all share\nown line number {i}\nhalf of them {i // 2}", "x", "y") for i in range(400)] + [(None, "a line that all share", "x", "y"), (2, "a line that all share", "x", "y"), (500, None, "x", "y"), (501, "z" * 2_000_000, "x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone string, _doc string")
+    out = line_dedup.drop_lines(df)
+    assert out.columns == [*df.columns, "_n_lines", "_n_dropped"] and {(r._gone, r._doc) for r in out.select("_gone", "_doc").collect()} == {("x", "y")}
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.doc_id, []).append((r.text, r._n_lines, r._n_dropped))
+    assert got[0] == [(rows[0][1], 3, 0)] and got[None] == [("a line that all share", 1, 0)] and got[500] == [(None, 1, 0)] and got[501] == [("z" * 2_000_000, 1, 0)]
+    assert sorted(got[2]) == [("", 1, 1), ("own line number 2\nhalf of them 1", 3, 1)]
+    for i in range(1, 400):
+        if i != 2:
+            assert got[i] == [(f"own line number {i}" + ("" if i % 2 else f"\nhalf of them {i // 2}"), 3, 1 + i % 2)]
 
 
 def test_repeated_pages_against_sql(spark, tmp_path):
