@@ -300,15 +300,49 @@ def test_language_model_gradient():
         assert found == pytest.approx(slope, abs=2e-3)
 
 
-def test_mixing(docs):
-    assert mixing.reshare([10, 10, 100], [5, 2, 1], 180, 2) == [20, 20, 140]
+def reshare(sizes, weights, total, most):
+    """Targets by weight, one source at a time: those above most times their size stop, the rest is shared anew."""
+    out, free, left = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s], total
+    while free:
+        w = sum(weights[i] for i in free)
+        over = [i for i in free if left * weights[i] / w > most * sizes[i]]
+        for i in over:
+            out[i] = most * sizes[i]
+        if not over:
+            for i in free:
+                out[i] = left * weights[i] / w
+            break
+        left -= sum(out[i] for i in over)
+        free = [i for i in free if i not in over]
+    return out
+
+
+def test_mixing_of_very_many_sources(spark, monkeypatch):
+    """More sources than are ever sent to a task, one of them hot."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1000)
+    df = spark.range(100_500).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 5 as int)) as text", "case when id % 3 = 0 then 'hot' when id = 7 then null else concat('é', id) end as source")
+    got = mixing.mix(df).collect()
+    assert len(got) == 100_500
+    size = {r.source: r.source_size for r in got}
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    want = dict(zip(order, reshare([size[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(size.values()), 2), strict=True))
+    assert len(order) > 60_000 and all(r.target == pytest.approx(want[r.source]) for r in got)
+    assert sum(r.size for r in got if r.source == "hot") == size["hot"]
+
+
+def test_mixing(spark, docs):
+    t = mixing.targets(spark.createDataFrame([("a", 10), ("b", 10), ("c", 100), ("d", 0)], "source string, source_size long"), (5, 2, 1), 1.5, 2)
+    assert sorted(map(tuple, t.collect())) == [("a", 10, 20), ("b", 10, 20), ("c", 100, 140), ("d", 0, 0)]
+    odd = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "x y z"), (1, "x y z"), (2, None), (3, "w " * 200_000)], "doc_id long, text string").withColumn("source", F.lit("s"))
+    rows = sorted((r.doc_id or 0, r.size, r.taken) for r in mixing.mix(odd).collect())
+    assert len(rows) == 6 and rows[0] == rows[1] and rows[2] == rows[3] and {r[1] for r in rows} == {0, 2, 3, 200_000}
     got = mixing.mix(docs).collect()
     size = {r.doc_id: len(cases.words(r.text)) for r in docs.collect()}
     by = Counter()
     for r in got:
         by[r.source] += size[r.doc_id]
     order = sorted(by, key=lambda s: (s is None, s or ""))
-    want = dict(zip(order, mixing.reshare([by[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(by.values()), 2), strict=True))
+    want = dict(zip(order, reshare([by[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(by.values()), 2), strict=True))
     for r in got:
         rate = want[r.source] / by[r.source] if by[r.source] else 0
         assert r.size == size[r.doc_id] and r.source_size == by[r.source] and r.target == pytest.approx(want[r.source])
