@@ -411,12 +411,19 @@ def analyze(text: str, spec: str | dict = "standard", settings: dict | None = No
     return [str(t) for t in out if t != ""]
 
 
+_CJK_JVM = r"[\p{IsHan}\p{IsHiragana}]"
+_RUN_JVM = r"(?:(?!" + _CJK_JVM + r")[\p{L}\p{M}\p{N}_])+"
+_STANDARD_JVM = _CJK_JVM + "|" + _RUN_JVM + "(?:['\u2019.:\u00b7]" + _RUN_JVM + ")*"
+
+
 def tokens(text: Column, name: str = "regexp") -> Column:
     """Tokens as a JVM-side array column, for the analyzers that expressions can say."""
     t = F.coalesce(text, F.lit(""))
     low = lambda a: F.transform(a, F.lower)
     if name in ("regexp", "pattern"):
         return low(F.regexp_extract_all(t, F.lit(r"\w+"), F.lit(0)))
+    if name == "standard":
+        return low(F.regexp_extract_all(t, F.lit(_STANDARD_JVM), F.lit(0)))
     if name == "simple":
         return low(F.regexp_extract_all(t, F.lit(r"\p{L}+"), F.lit(0)))
     if name == "stop":

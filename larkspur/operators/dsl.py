@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions import analysis
+from larkspur.sources import schema as times
 
 
 class QueryError(ValueError):
@@ -20,11 +21,19 @@ class QueryError(ValueError):
 
 @dataclass
 class Schema:
-    """Kinds of columns (text, keyword, numeric, bool, date) and analyzers of text columns."""
+    """Kinds of columns (text, keyword, numeric, bool, date), analyzers of text columns, and their Spark types.
+
+    search_analyzers analyse query text where a field has one, formats are layouts of date fields, multi names
+    the columns that hold arrays, any value of which may match.
+    """
 
     kinds: dict[str, str]
     analyzers: dict[str, str] = field(default_factory=dict)
-    default: str = "regexp"
+    default: str = "standard"
+    search_analyzers: dict[str, str] = field(default_factory=dict)
+    formats: dict[str, str] = field(default_factory=dict)
+    types: dict[str, str] = field(default_factory=dict)
+    multi: frozenset[str] = frozenset()
     #: compat keeps the surprising bounds of ranges (see num_range and date_range); otherwise they mean what they say
     compat: bool = True
 
@@ -40,13 +49,19 @@ class Schema:
                 return "date"
             return "text" if f.name in text else "keyword"
 
-        return cls({f.name: kind(f) for f in schema.fields}, **how)
+        multi = frozenset(f.name for f in schema.fields if isinstance(f.dataType, T.ArrayType))
+        return cls({f.name: kind(f) for f in schema.fields}, types={f.name: f.dataType.simpleString() for f in schema.fields}, multi=multi, **how)
 
     def analyzer(self, f: str) -> str:
         return self.analyzers.get(f, self.default)
 
     def tokens(self, f: str) -> Column:
-        return analysis.tokens(F.col(f), self.analyzer(f)) if self.kinds.get(f) == "text" else F.when(F.col(f).isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col(f).cast("string")))
+        c = F.col(f)
+        if self.kinds.get(f) != "text":
+            return F.when(c.isNull(), F.array().cast("array<string>")).otherwise(c.cast("array<string>") if f in self.multi else F.array(c.cast("string")))
+        if f not in self.multi:
+            return analysis.tokens(c, self.analyzer(f))
+        return analysis.tokens(F.array_join(c, "\n"), self.analyzer(f))
 
 
 @dataclass
@@ -63,13 +78,20 @@ class Node:
         return Node(self.pred, [(f, t, w * b) for f, t, w in self.terms], [(c, w * b) for c, w in self.const])
 
 
-ALL, NOTHING = F.lit, F.lit
-
-
 def safe(c: Column) -> Column:
+    """Null as false, for negations alone: elsewhere a null test already rejects, and a bare one reaches the scan."""
     return F.coalesce(c, F.lit(False))
 
 
+def number(v) -> int | float:
+    """A numeric literal, whole if it is: a scan can compare it with whole columns of any size."""
+    if isinstance(v, bool):
+        return int(v)
+    if isinstance(v, str):
+        v = int(v) if re.fullmatch(r"\s*[+-]?\d+\s*", v) else float(v)
+    return int(v) if isinstance(v, float) and v.is_integer() and abs(v) < 2**63 else v
+
+
 def min_should(n: int, spec) -> int:
     """How many of n clauses must match: integer, percentage, or conditional forms such as "2<75% 9<-3"."""
     if n == 0:
@@ -87,9 +109,8 @@ def min_should(n: int, spec) -> int:
     s = str(spec).strip()
     if "<" in s:
         value = n
-        for part in s.split():
-            k, _, expr = part.partition("<")
-            if n <= int(k):
+        for k, expr in sorted((int(k), expr) for k, _, expr in (part.partition("<") for part in s.split())):
+            if n <= k:
                 break
             value = one(expr)
     else:
@@ -146,8 +167,23 @@ class Compiler:
         if f not in self.s.kinds:
             return F.lit(False)
         if self.s.kinds[f] == "text":
-            return safe(F.exists(self.s.tokens(f), test))
-        return safe(test(F.col(f).cast("string")))
+            return F.exists(self.s.tokens(f), test)
+        return self._any(f, lambda c: test(c if self.s.kinds[f] == "keyword" else c.cast("string")))
+
+    def _any(self, f: str, test) -> Column:
+        """A test of the bare column, which a scan can take, or of any value of an array; null where there is none."""
+        return F.exists(F.col(f), test) if f in self.s.multi else test(F.col(f))
+
+    def _instant(self, f: str, v, layout: str | None = None, zone: str | None = None) -> Column:
+        """A date as a literal of the column's own type."""
+        layout = layout or self.s.formats.get(f)
+        try:
+            t = times.parse_time(v, layout, zone)
+        except (ValueError, TypeError) as e:
+            raise QueryError(f"{v!r} is no date of {f}") from e
+        kind = self.s.types.get(f, "timestamp")
+        kind = kind[6:-1] if kind.startswith("array<") else kind
+        return F.lit(t).cast(kind if kind in ("timestamp", "timestamp_ntz") else "timestamp")
 
     def _const(self, pred: Column, boost=None) -> Node:
         return Node(pred, const=[(pred, 1.0)]).boosted(boost)
@@ -157,18 +193,18 @@ class Compiler:
         if kind is None:
             return Node(F.lit(False))
         if kind == "numeric":
-            return self._const(safe(F.col(f).cast("double") == float(v)), boost)
+            return self._const(self._any(f, lambda c: c == number(v)), boost)
         if kind == "bool":
-            return self._const(safe(F.col(f) == (v if isinstance(v, bool) else str(v).lower() in ("1", "t", "true"))), boost)
+            return self._const(self._any(f, lambda c: c == (v if isinstance(v, bool) else str(v).lower() in ("1", "t", "true"))), boost)
         if kind == "date":
-            return self._const(safe(F.col(f) == F.lit(str(v)).cast("timestamp")), boost)
-        pred = safe(F.array_contains(self.s.tokens(f), str(v))) if kind == "text" else safe(F.col(f) == str(v))
+            return self._const(self._any(f, lambda c: c == self._instant(f, v)), boost)
+        pred = F.array_contains(self.s.tokens(f), str(v)) if kind == "text" else self._any(f, lambda c: c == str(v))
         return Node(pred, [(f, str(v), 1.0)]).boosted(boost)
 
     def _analyzed(self, f: str, text: str, analyzer: str | None) -> list[str]:
         if self.s.kinds.get(f) != "text":
             return [str(text)]
-        return analysis.analyze(str(text), analyzer or self.s.analyzer(f))
+        return analysis.analyze(str(text), analyzer or self.s.search_analyzers.get(f) or self.s.analyzer(f))
 
     # -- leaves
 
@@ -190,14 +226,16 @@ class Compiler:
         if kind is None or not values:
             return Node(F.lit(False))
         if kind == "text":
-            pred = safe(F.arrays_overlap(self.s.tokens(f), F.array(*[F.lit(str(v)) for v in values])))
+            pred = F.arrays_overlap(self.s.tokens(f), F.array(*[F.lit(str(v)) for v in values]))
             return Node(pred, [(f, str(v), 1.0) for v in values]).boosted(boost)
-        return self._const(safe((F.col(f).cast("double") if kind == "numeric" else F.col(f)).isin(*values)), boost)
+        say = {"numeric": number, "bool": lambda v: v if isinstance(v, bool) else str(v).lower() in ("1", "t", "true"), "date": lambda v: self._instant(f, v)}.get(kind, str)
+        return self._const(self._any(f, lambda c: c.isin(*[say(v) for v in values])), boost)
 
     def q_ids(self, body) -> Node:
         values = body["values"] if "values" in body else next(iter(body.values())) if isinstance(body, dict) else body
         values = values if isinstance(values, list) else [values]
-        return self._const(safe(F.col("_id").cast("string").isin(*[str(v) for v in values])))
+        c = F.col("_id")
+        return self._const((c if self.s.kinds.get("_id") == "keyword" else c.cast("string")).isin(*[str(v) for v in values]))
 
     def q_range(self, body) -> Node:
         f, o = self._field(body)
@@ -210,36 +248,33 @@ class Compiler:
 
     def num_range(self, f: str, o: dict) -> Column:
         """compat: bounds of 0 or less count as missing, a missing lower bound is 0 exclusive, inclusive wins."""
-        c = F.col(f).cast("double")
         lo, hi = (o.get("gte"), True) if "gte" in o else (o.get("gt"), False), (o.get("lte"), True) if "lte" in o else (o.get("lt"), False)
         if self.s.compat:
-            lo = lo if lo[0] is not None and float(lo[0]) > 0 else (0.0, False)
-            hi = hi if hi[0] is not None and float(hi[0]) > 0 else (float(2**63 - 1), False)
-        out = c.isNotNull()
-        if lo[0] is not None:
-            out = out & (c >= float(lo[0]) if lo[1] else c > float(lo[0]))
-        if hi[0] is not None:
-            out = out & (c <= float(hi[0]) if hi[1] else c < float(hi[0]))
-        return safe(out)
+            lo = lo if lo[0] is not None and float(lo[0]) > 0 else (0, False)
+            hi = hi if hi[0] is not None and float(hi[0]) > 0 else (2**63 - 1, False)
+
+        def test(c: Column) -> Column:
+            out = c.isNotNull()
+            if lo[0] is not None:
+                out = out & (c >= number(lo[0]) if lo[1] else c > number(lo[0]))
+            if hi[0] is not None:
+                out = out & (c <= number(hi[0]) if hi[1] else c < number(hi[0]))
+            return out
+
+        return self._any(f, test)
 
     def date_range(self, f: str, o: dict) -> Column:
-        """compat: a missing upper bound is the present, exclusive."""
-
-        def at(v) -> Column:
-            if o.get("format") == "epoch_millis" or isinstance(v, int | float):
-                return F.timestamp_millis(F.lit(int(v)).cast("long"))
-            t = F.lit(str(v)).cast("timestamp")
-            zone = o.get("time_zone")
-            return F.to_utc_timestamp(t, zone) if zone and not re.search(r"(Z|[+-]\d\d:?\d\d)$", str(v)) else t
-
-        c = F.col(f).cast("timestamp")
-        out = c.isNotNull()
-        for k, op in (("gte", "__ge__"), ("gt", "__gt__"), ("lte", "__le__"), ("lt", "__lt__")):
-            if k in o and not (k == "gt" and "gte" in o) and not (k == "lt" and "lte" in o):
-                out = out & getattr(c, op)(at(o[k]))
-        if self.s.compat and "lt" not in o and "lte" not in o:
-            out = out & (c < F.lit(self.now))
-        return safe(out)
+        """format: a layout or epoch_millis, else the field's; compat: a missing upper bound is the present, exclusive."""
+        at = lambda v: self._instant(f, v, o.get("format"), o.get("time_zone"))
+
+        def test(c: Column) -> Column:
+            out = c.isNotNull()
+            for k, op in (("gte", "__ge__"), ("gt", "__gt__"), ("lte", "__le__"), ("lt", "__lt__")):
+                if k in o and not (k == "gt" and "gte" in o) and not (k == "lt" and "lte" in o):
+                    out = out & getattr(c, op)(at(o[k]))
+            return out & (c < at(self.now.timestamp() * 1000 if o.get("format") == "epoch_millis" else self.now)) if self.s.compat and "lt" not in o and "lte" not in o else out
+
+        return self._any(f, test)
 
     def q_match(self, body) -> Node:
         f, o = self._field(body, "query")
@@ -269,14 +304,11 @@ class Compiler:
         return Node(pred, [t for s in subs for t in s.terms], [c for s in subs for c in s.const])
 
     def _phrase(self, f: str, t: list[str]) -> Column:
-        """Tokens at consecutive positions."""
+        """Tokens at consecutive positions: one search in the tokens joined by a control character that none holds."""
         if not t or f not in self.s.kinds:
             return F.lit(False)
-        a = self.s.tokens(f)
-        n = len(t)
-        want = F.array(*[F.lit(x) for x in t])
-        # the sequence is only made where all tokens are present
-        return safe(F.forall(want, lambda x: F.array_contains(a, x)) & (F.size(a) >= n) & F.exists(F.sequence(F.lit(1), F.greatest(F.size(a) - (n - 1), F.lit(1))), lambda i: F.slice(a, i, n) == want))
+        sep = "\x1f"
+        return F.contains(F.concat(F.lit(sep), F.array_join(self.s.tokens(f), sep), F.lit(sep)), F.lit(sep + sep.join(t) + sep))
 
     def q_match_phrase(self, body) -> Node:
         f, o = self._field(body, "query")
@@ -396,7 +428,8 @@ def from_v1(search: dict) -> dict:
     leaf = {
         "wildcard": {"wildcard": {f: {"value": term} | b}}, "fuzzy": {"fuzzy": {f: {"value": term} | b}}, "term": {"term": {f: {"value": term} | b}},
         "match": {"match": {f: {"query": term} | b}}, "matchphrase": {"match_phrase": {f: {"query": term} | b}}, "prefix": {"prefix": {f: {"value": term} | b}},
-        "querystring": {"query_string": {"query": term}},
+        "querystring": {"query_string": {"query": term}}, "matchall": {"match_all": {}}, "alldocuments": {"match_all": {}},
+        "multiphrase": {"match_phrase": {f: {"query": " ".join(x[0] if isinstance(x, list) else x for x in q.get("terms") or [term])} | b}}, "daterange": {"match_all": {}},
     }.get(kind, {"match_all": {}})
     parts = [leaf]
     if q.get("start_time") or q.get("end_time"):

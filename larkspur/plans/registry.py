@@ -30,7 +30,7 @@ def _t(spark, d, name):
 def _pred(table: str, query: dict, cols: list[str], compat: bool = True):
     def run(spark, d):
         df = _t(spark, d, table)
-        return df.where(Compiler(Schema.of(df.schema, ("text",), compat=compat)).compile(query).pred).select(*cols)
+        return df.where(Compiler(Schema.of(df.schema, ("text",), compat=compat, default="regexp")).compile(query).pred).select(*cols)
 
     return run
 
@@ -85,13 +85,13 @@ from f, s, d order by score desc, doc_id limit 10
 
 def _bm25(s, d):
     df = _t(s, d, "documents").select("doc_id", "text")
-    return search.search(df, {"query": {"match": {"text": "with thon"}}, "_source": False}, id_col="doc_id", text=("text",)).select("doc_id", F.round("_score", 6).alias("score"))
+    return search.search(df, {"query": {"match": {"text": "with thon"}}, "_source": False}, Schema.of(df.schema, ("text",), default="regexp"), id_col="doc_id").select("doc_id", F.round("_score", 6).alias("score"))
 
 
 _add("bm25_topk", _bm25, _BM25)
 _add("sort_paging", lambda s, d: search.search(_t(s, d, "orders"), {"query": {"term": {"o_orderstatus": "F"}}, "sort": ["-o_totalprice", {"o_orderdate": "asc"}], "from": 20, "size": 15, "_source": ["o_total*", "o_custkey"]}, id_col="o_orderkey").drop("_score"), "select o_orderkey, o_custkey, o_totalprice from orders where o_orderstatus = 'F' order by o_totalprice desc, o_orderdate, o_orderkey limit 15 offset 20")
 _add("highlight", lambda s, d: _t(s, d, "documents").select("doc_id", search.highlight(F.col("text"), ["with", "thon"]).alias("marked")), "select doc_id, regexp_replace(text, '(?i)\\b(thon|with)\\b', '<mark>\\1</mark>', 'g') marked from documents")
-_add("total_hits", lambda s, d: search.count(_t(s, d, "documents"), {"match": {"text": "with"}}, text=("text",)), f"select count(*) total from documents where {has('with')}")
+_add("total_hits", lambda s, d: search.count(_t(s, d, "documents"), {"match": {"text": "with"}}, Schema.of(_t(s, d, "documents").schema, ("text",), default="regexp")), f"select count(*) total from documents where {has('with')}")
 _add("search_v1", lambda s, d: search.search_v1(_t(s, d, "orders"), {"search_type": "prefix", "query": {"field": "o_orderpriority", "term": "2"}, "max_results": 12, "sort_fields": ["-o_totalprice"], "_source": ["o_totalprice"]}, id_col="o_orderkey").drop("_score"), "select o_orderkey, o_totalprice from orders where starts_with(o_orderpriority, '2') order by o_totalprice desc, o_orderkey limit 12")
 
 

@@ -129,6 +129,8 @@ def strptime_format(layout: str) -> str:
 
 def parse_time(v, layout: str | None = None, zone: str | None = None) -> datetime:
     """An instant from ISO text, a layout, or a number whose unit is told by its size (ns, us, ms, s)."""
+    if isinstance(v, datetime):
+        return v if v.tzinfo else v.replace(tzinfo=UTC)
     if isinstance(v, int | float) or isinstance(v, str) and re.fullmatch(r"-?\d+", v) and (layout in (None, "epoch_millis")):
         n = float(v)
         n = n / 1e3 if layout == "epoch_millis" else n / (1e9 if n > 1e18 else 1e6 if n > 1e15 else 1e3 if n > 1e12 else 1)
