@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import time
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators import aggs
 from larkspur.operators.dsl import Compiler, Node, Schema, from_v1
 
 K1, B = 1.2, 0.75
@@ -95,6 +98,75 @@ def search(df: DataFrame, body: dict, schema: Schema | None = None, id_col: str
     return hits.select(id_col, *keep, "_score", *marks)
 
 
+@dataclass
+class Response:
+    """What a request gives: its page of hits, their total and greatest score over all matches, and its aggregations."""
+
+    hits: DataFrame
+    totals: DataFrame  # one row: total, max_score
+    aggregations: DataFrame | None
+    took: float = 0.0
+
+
+def respond(df: DataFrame, body: dict, schema: Schema | None = None, id_col: str = "_id", text: tuple[str, ...] = (), missing: bool = False) -> Response:
+    """A whole request: hits as `search` gives them, and `aggs` over all matching rows, whatever the page."""
+    began = time.time()
+    schema = schema or Schema.of(df.schema, text)
+    node = Compiler(schema).compile(body.get("query"))
+    matched = df.where(node.pred)
+    scored = bm25(df, node, schema, id_col)
+    totals = scored.agg(F.count("*").alias("total"), F.coalesce(F.max("_score"), F.lit(0.0)).alias("max_score"))
+    wanted = body.get("aggs") or body.get("aggregations")
+    found = aggs.tree(matched, wanted, missing) if wanted else None
+    return Response(search(df, body, schema, id_col), totals, found, time.time() - began)
+
+
+def explanation(df: DataFrame, node: Node, schema: Schema, id_col: str = "_id") -> DataFrame:
+    """id, field, term, boost, idf, tf, score of every scoring term of every hit: their sum is its _score."""
+    out = []
+    for f, t, w in node.terms:
+        one = bm25(df, Node(node.pred, [(f, t, w)]), schema, id_col)
+        n_tokens = schema.tokens(f)
+        out.append(one.select(id_col, F.lit(f).alias("field"), F.lit(t).alias("term"), F.lit(float(w)).alias("boost"), _times(n_tokens, t).cast("long").alias("frequency"), F.size(n_tokens).cast("long").alias("length"), F.col("_score").alias("score")))
+    return reduce(lambda a, b: a.unionByName(b), out) if out else df.where(node.pred).select(id_col, F.lit("").alias("field"), F.lit("").alias("term"), F.lit(1.0).alias("boost"), F.lit(0).cast("long").alias("frequency"), F.lit(0).cast("long").alias("length"), F.lit(1.0).alias("score"))
+
+
+def fields(df: DataFrame, spec: list) -> dict[str, Column]:
+    """The `fields` of a hit: each named value (or prefix*) in an array; dates by their format, a layout or epoch_millis."""
+    out: dict[str, Column] = {}
+    for x in spec:
+        name, layout = (x, None) if isinstance(x, str) else (x["field"], x.get("format"))
+        for c in source_columns(df.columns, name):
+            kind = df.schema[c].dataType.typeName()
+            v = F.col(c)
+            if kind in ("timestamp", "timestamp_ntz", "date"):
+                v = aggs._day(v.cast("timestamp"), {"format": layout})
+            out[c] = v if kind == "array" else F.array(v)
+    return out
+
+
+def shape(hits: DataFrame, index: str = "", id_col: str = "_id", source: list[str] | None = None, fields_spec: list | None = None) -> DataFrame:
+    """Hits as (_index, _type, _id, _score, _source, fields, highlight): source, fields and highlights as JSON text."""
+    own = [c for c in hits.columns if c not in (id_col, "_score", "_index") and not c.startswith("highlight_")]
+    keep = [c for c in own if source is None or c in source]
+    marks = [c for c in hits.columns if c.startswith("highlight_")]
+    say = lambda cols: F.to_json(F.struct(*cols)) if cols else F.lit("{}")
+    return hits.select(
+        F.col("_index") if "_index" in hits.columns else F.lit(index).alias("_index"), F.lit("_doc").alias("_type"), F.col(id_col).cast("string").alias("_id"),
+        F.col("_score") if "_score" in hits.columns else F.lit(0.0).alias("_score"), say([F.col(c) for c in keep]).alias("_source"),
+        say([c.alias(n) for n, c in fields(hits.select(own), fields_spec).items()]).alias("fields") if fields_spec else F.lit("{}").alias("fields"),
+        say([F.array(c).alias(c.removeprefix("highlight_")) for c in marks]).alias("highlight"))
+
+
+def get_document(df: DataFrame, key, id_col: str = "_id") -> DataFrame:
+    """The document of an id, if there is one: a filter that the scan takes."""
+    return df.where(F.col(id_col) == F.lit(key)).limit(1)
+
+
+def respond_v1(df: DataFrame, body: dict, **how) -> Response:
+    return respond(df, from_v1(body), **how)
+
+
 def search_v1(df: DataFrame, body: dict, **how) -> DataFrame:
     return search(df, from_v1(body), **how)
 
@@ -137,6 +209,20 @@ def multi_search(tables: dict[str, DataFrame], target: str, body: dict, aliases:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).orderBy(*order, "_index", id_col).offset(start).limit(size)
 
 
+def multi_aggregate(tables: dict[str, DataFrame], target: str, query: dict | None, wanted: dict, aliases: dict | None = None, text: tuple[str, ...] = ()) -> DataFrame:
+    """Aggregations over the matches of several indexes: buckets of one key are one bucket, whatever the index."""
+    names = resolve(sorted(tables), target, aliases)
+    every = union({n: tables[n] for n in names})
+    return aggs.tree(every.where(Compiler(Schema.of(every.schema, text)).compile(query).pred), wanted)
+
+
+def search_each(requests: dict[str, tuple[DataFrame, dict]], id_col: str = "_id", text: tuple[str, ...] = ()) -> DataFrame:
+    """A query of its own for each index, one ranking: the best `size` of the first request over all."""
+    size = min(int(next(iter(requests.values()))[1].get("size", 10)), MOST)
+    parts = [search(df.withColumn("_index", F.lit(n)), body | {"from": 0, "size": size}, id_col=id_col, text=text) for n, (df, body) in requests.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).orderBy(F.desc("_score"), "_index", id_col).limit(size)
+
+
 def msearch(requests: list[tuple[DataFrame, dict]], **how) -> list[DataFrame]:
     """Independent searches in order."""
     return [search(df, body, **how) for df, body in requests]
