@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from larkspur.sources import ingest
 QUERIES: dict = {}
 ORACLES: dict = {}
 Q = [round(math.sin(i + 1), 3) for i in range(64)]
+_STANDARD = "list_transform(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+(?:[''’.:·][\\p{L}\\p{M}\\p{N}_]+)*'), lambda x: lower(x))"
 _T = "list_transform(regexp_extract_all(text, '\\w+'), lambda x: lower(x))"
 
 
@@ -106,7 +108,7 @@ _add("multi_index", _multi, "select * from (select 'c' || c_custkey _id, c_name
 # -- aggregations
 _add("agg_metrics", lambda s, d: aggs.metrics(_t(s, d, "lineitem"), {"n": {"count": {}}, "avg_q": {"avg": {"field": "l_quantity"}}, "max_p": {"max": {"field": "l_extendedprice"}}, "min_p": {"min": {"field": "l_extendedprice"}}, "sum_q": {"sum": {"field": "l_quantity"}}, "parts": {"cardinality": {"field": "l_partkey", "exact": True}}}), "select count(*) n, avg(l_quantity) avg_q, max(l_extendedprice) max_p, min(l_extendedprice) min_p, sum(l_quantity) sum_q, count(distinct l_partkey) parts from lineitem")
 _add("agg_weighted_avg", lambda s, d: aggs.metrics(_t(s, d, "lineitem"), {"w": {"weighted_avg": {"field": "l_discount", "weight_field": "l_quantity"}}}).select(F.round("w", 6).alias("w")), "select round(sum(l_discount * l_quantity) / sum(l_quantity), 6) w from lineitem")
-_add("agg_cardinality", lambda s, d: aggs.metrics(_t(s, d, "lineitem"), {"n": {"cardinality": {"field": "l_suppkey"}}}).select((F.col("n") > 0).alias("any_seen")), "select count(distinct l_suppkey) > 0 any_seen from lineitem")
+_add("agg_cardinality", lambda s, d: aggs.metrics(_t(s, d, "lineitem"), {"n": {"cardinality": {"field": "l_partkey", "exact": True}}, "e": {"cardinality": {"field": "l_partkey"}}}).select("n", (F.abs(F.col("e") - F.col("n")) <= 0.15 * F.col("n")).alias("near")), "select count(distinct l_partkey) n, true near from lineitem")
 _add("agg_terms", lambda s, d: aggs.terms(_t(s, d, "orders"), "o_orderpriority", aggs={"total": {"max": {"field": "o_totalprice"}}}), "select o_orderpriority key, count(*) doc_count, max(o_totalprice) total from orders group by 1")
 _add("agg_terms_nested", lambda s, d: aggs.nested_terms(_t(s, d, "lineitem"), "l_returnflag", "l_linenumber", 2, 3), "with p as (select l_returnflag key, count(*) parent_count from lineitem group by 1 order by 2 desc, 1 limit 2), c as (select l_returnflag key, l_linenumber child, count(*) doc_count from lineitem group by 1, 2) select key, child, doc_count, parent_count from c join p using (key) qualify row_number() over (partition by key order by doc_count desc, child) <= 3")
 _add("agg_range", lambda s, d: aggs.ranges(_t(s, d, "lineitem"), "l_quantity", [{"key": "low", "to": 10}, {"key": "mid", "from": 5, "to": 30}, {"key": "high", "from": 30, "to": 1000}]), "select 'low' key, count(*) filter (l_quantity >= 0 and l_quantity < 10) doc_count from lineitem union all select 'mid', count(*) filter (l_quantity >= 5 and l_quantity < 30) from lineitem union all select 'high', count(*) filter (l_quantity >= 30 and l_quantity < 1000) from lineitem")
@@ -115,7 +117,34 @@ _add("agg_histogram", lambda s, d: aggs.histogram(_t(s, d, "orders"), "o_totalpr
 _add("agg_date_histogram_hour", lambda s, d: aggs.date_histogram(_t(s, d, "events"), "ts", fixed="1h").select(F.col("key").cast("string"), "doc_count"), "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') key, count(*) doc_count from events group by 1 order by 1 limit 1000")
 for _u, _e in (("week", "date_trunc('day', o_orderdate) - interval 1 day * dayofweek(o_orderdate)"), ("month", "date_trunc('month', o_orderdate)"), ("quarter", "date_trunc('quarter', o_orderdate)"), ("year", "date_trunc('year', o_orderdate)")):
     _add(f"agg_date_histogram_{_u}", lambda s, d, u=_u: aggs.date_histogram(_t(s, d, "orders"), "o_orderdate", calendar=u).select(F.col("key").cast("string"), "doc_count"), f"select strftime({_e}, '%Y-%m-%d %H:%M:%S') key, count(*) doc_count from orders group by 1 order by 1 limit 1000")
-_add("agg_auto_date_histogram", lambda s, d: aggs.auto_date_histogram(_t(s, d, "events"), "ts", 10).agg((F.count("*") <= 10).alias("few"), F.sum("doc_count").alias("n")), "select true few, count(*) n from events")
+_LADDER = ", ".join(f"({aggs.micros(x)})" for x in aggs.LADDER)
+_add("agg_auto_date_histogram", lambda s, d: aggs.auto_date_histogram(_t(s, d, "events"), "ts", 10).select(F.unix_micros(F.col("key").cast("timestamp")).alias("key"), "doc_count"), f"with e as (select epoch_us(ts) u from events), x as (select min(u) lo, max(u) hi from e), p as (select min(s) s from (values {_LADDER}) l(s), x where hi // s - lo // s + 1 <= 10), b as (select u // s i, count(*) c from e, p group by 1) select g.i * s as key, coalesce(c, 0) doc_count from (select unnest(generate_series(lo // s, hi // s)) i, s from x, p) g left join b on b.i = g.i")
+_add("agg_histogram_fraction", lambda s, d: aggs.histogram(_t(s, d, "customer").select((F.col("c_acctbal") / 1000).alias("v")), "v", 0.1, 0.05, extended=(-2.0, 11.0)).select(F.round("key", 6).alias("key"), "doc_count"), "with b as (select floor((c_acctbal / 1000 - 0.05) / 0.1)::bigint i, count(*) c from customer group by 1) select round(g.i * 0.1::double + 0.05, 6) as key, coalesce(c, 0) doc_count from (select unnest(generate_series(least(min(i), floor((-2 - 0.05) / 0.1)::bigint), greatest(max(i), floor((11 - 0.05) / 0.1)::bigint))) i from b) g left join b on b.i = g.i")
+_M = lambda *n: [F.round(F.element_at("metrics", x), 4).alias(x) for x in n]
+_keys = lambda: F.array_join("keys", "|").alias("keys")
+_REQUEST = {"query": {"range": {"o_totalprice": {"gt": 100000}}}, "size": 0, "aggs": {"status": {"terms": {"field": "o_orderstatus", "size": 2}, "aggs": {"top": {"max": {"field": "o_totalprice"}}, "year": {"date_histogram": {"field": "o_orderdate", "calendar_interval": "year", "format": "2006"}, "aggs": {"top": {"max": {"field": "o_totalprice"}}}}}}, "top": {"max": {"field": "o_totalprice"}}, "price": {"range": {"field": "o_totalprice", "ranges": [{"key": "mid", "from": 100000, "to": 200000}, {"key": "high", "from": 200000, "to": 1000000}]}}}}
+_add("search_aggs", lambda s, d: search.respond(_t(s, d, "orders"), _REQUEST, id_col="o_orderkey").aggregations.select("agg", _keys(), "doc_count", *_M("top")), "with o as (select * from orders where o_totalprice > 100000), p as (select o_orderstatus k, count(*) c, max(o_totalprice) m from o group by 1 order by 2 desc, 1 limit 2), y as (select o_orderstatus k, year(o_orderdate) y, count(*) c, max(o_totalprice) m from o where o_orderstatus in (select k from p) group by 1, 2) select '' agg, '' keys, count(*) doc_count, round(max(o_totalprice), 4) top from o union all select 'status', k, c, round(m, 4) from p union all select 'status>year', k || '|' || y, c, round(m, 4) from y union all select 'price', 'mid', count(*) filter (o_totalprice >= 100000 and o_totalprice < 200000), null from o union all select 'price', 'high', count(*) filter (o_totalprice >= 200000 and o_totalprice < 1000000), null from o")
+_add("agg_nested_deep", lambda s, d: aggs.tree(_t(s, d, "lineitem"), {"flag": {"terms": {"field": "l_returnflag"}, "aggs": {"qty": {"histogram": {"field": "l_quantity", "interval": 12.5, "min_doc_count": 1}, "aggs": {"line": {"terms": {"field": "l_linenumber", "size": 2}, "aggs": {"avg_d": {"avg": {"field": "l_discount"}}}}}}}}}).select("agg", _keys(), "doc_count", *_M("avg_d")), "with a as (select l_returnflag f, floor(l_quantity / 12.5) * 12.5::double h, l_linenumber n, l_discount d from lineitem), t as (select f, h, n, count(*) c, avg(d) m from a group by f, h, n qualify row_number() over (partition by f, h order by count(*) desc, n::varchar) <= 2) select 'flag' agg, f keys, count(*) doc_count, null::double avg_d from a group by f union all select 'flag>qty', f || '|' || h, count(*), null from a group by f, h union all select 'flag>qty>line', f || '|' || h || '|' || n, c, round(m, 4) from t")
+_add("agg_terms_missing", lambda s, d: aggs.tree(_t(s, d, "customer").withColumn("seg", F.nullif("c_mktsegment", F.lit("BUILDING"))), {"seg": {"terms": {"field": "seg"}}}, missing=True).select(_keys(), "doc_count"), "select case when c_mktsegment = 'BUILDING' then '' else c_mktsegment end keys, count(*) doc_count from customer group by 1")
+_add("agg_date_histogram_format", lambda s, d: aggs.tree(_t(s, d, "events"), {"h": {"date_histogram": {"field": "ts", "fixed_interval": "6h", "format": "epoch_millis", "extended_bounds": {"min": 1672531200000, "max": 1672531200000}}}, "q": {"date_histogram": {"field": "ts", "calendar_interval": "week", "time_zone": "+02:00", "format": "2006-01-02", "min_doc_count": 1}}}).select("agg", _keys(), "doc_count"), "with e as (select epoch_ms(ts) // 21600000 i, count(*) c from events group by 1), x as (select least(min(i), 1672531200000 // 21600000) lo, greatest(max(i), 1672531200000 // 21600000) hi from e), w as (select date_trunc('day', ts + interval 2 hour) - interval 1 day * dayofweek(ts + interval 2 hour) w, count(*) c from events group by 1) select 'h' agg, (g.i * 21600000)::varchar keys, coalesce(c, 0) doc_count from (select unnest(generate_series(lo, hi)) i from x) g left join e on e.i = g.i where g.i < (select lo + 1000 from x) union all select 'q', strftime(w, '%Y-%m-%d'), c from w")
+_add("search_v1_aggs", lambda s, d: search.respond_v1(_t(s, d, "orders"), {"search_type": "term", "query": {"field": "o_orderstatus", "term": "F"}, "aggs": {"prio": {"agg_type": "term", "field": "o_orderpriority", "size": 3}, "low": {"agg_type": "min", "field": "o_totalprice"}}}, id_col="o_orderkey").aggregations.select("agg", _keys(), "doc_count", *_M("low")), "with o as (select * from orders where o_orderstatus = 'F') select '' agg, '' keys, count(*) doc_count, round(min(o_totalprice), 4) low from o union all select * from (select 'prio', o_orderpriority, count(*), null::double from o group by 2 order by 3 desc, 2 limit 3)")
+_add("multi_index_aggs", lambda s, d: search.multi_aggregate({"customer": _t(s, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("bal")), "supplier": _t(s, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("bal"))}, "parties", {"range": {"bal": {"gt": 1000}}}, {"nation": {"terms": {"field": "nation", "size": 30}, "aggs": {"total": {"sum": {"field": "bal"}}}}}, {"parties": ["customer", "supplier"]}).select(_keys(), "doc_count", *[F.round(F.element_at("metrics", "total"), 2).alias("total")]), "select nation::varchar keys, count(*) doc_count, round(sum(bal), 2) total from (select c_nationkey nation, c_acctbal bal from customer union all select s_nationkey, s_acctbal from supplier) where bal > 1000 group by 1")
+
+# -- requests and their answers
+_add("alias_scan", lambda s, d: search.multi_search({"customer": _t(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("_id"), F.col("c_acctbal").alias("bal")), "supplier": _t(s, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("_id"), F.col("s_acctbal").alias("bal"))}, "sellers", {"query": {"match_all": {}}, "sort": [{"bal": {"order": "asc"}}], "size": 7}, {"sellers": ["supplier"]}).select("_id", "bal", "_index"), "select 's' || s_suppkey _id, s_acctbal bal, 'supplier' _index from supplier order by bal, _id limit 7")
+_add("get_document", lambda s, d: search.get_document(_t(s, d, "orders"), 7, "o_orderkey").select("o_orderkey", "o_custkey"), "select o_orderkey, o_custkey from orders where o_orderkey = 7")
+_add("search_each", lambda s, d: search.search_each({"customer": (_t(s, d, "customer").select(F.col("c_custkey").alias("_id"), F.col("c_name").alias("name")), {"query": {"prefix": {"name": {"value": "Customer#00000000", "boost": 2}}}, "size": 12}), "supplier": (_t(s, d, "supplier").select(F.col("s_suppkey").alias("_id"), F.col("s_name").alias("name")), {"query": {"match_all": {}}})}).select("_index", "_id", "name", "_score"), "select * from (select 'customer' _index, c_custkey _id, c_name as name, 2.0::double _score from customer where starts_with(c_name, 'Customer#00000000') union all select 'supplier', s_suppkey, s_name, 1.0 from supplier) order by _score desc, _index, _id limit 12")
+_add("msearch", lambda s, d: reduce(lambda a, b: a.unionByName(b), [x.select(F.lit(i).alias("request"), "o_orderkey") for i, x in enumerate(search.msearch([(_t(s, d, "orders"), {"query": {"term": {"o_orderstatus": v}}, "sort": ["-o_totalprice"], "size": 4}) for v in ("F", "O")], id_col="o_orderkey"))]), "select * from (select 0 request, o_orderkey from orders where o_orderstatus = 'F' order by o_totalprice desc, o_orderkey limit 4) union all select * from (select 1, o_orderkey from orders where o_orderstatus = 'O' order by o_totalprice desc, o_orderkey limit 4)")
+_add("response_totals", lambda s, d: (lambda df: search.respond(df, {"query": {"match": {"text": "with thon"}}}, Schema.of(df.schema, ("text",), default="regexp"), "doc_id").totals.select("total", F.round("max_score", 6).alias("max_score")))(_t(s, d, "documents").select("doc_id", "text")), _BM25.replace("select doc_id, round(", "select count(*) total, round(max(").replace("dl / avg)), 6) score", "dl / avg))), 6) max_score").replace("order by score desc, doc_id limit 10", ""))
+_add("explain_scores", lambda s, d: (lambda df, sc: search.explanation(df, Compiler(sc).compile({"match": {"text": "with thon"}}), sc, "doc_id").where("frequency > 0").select("doc_id", "term", "frequency", "length", F.round("score", 6).alias("score")))(_t(s, d, "documents").select("doc_id", "text"), Schema.of(_t(s, d, "documents").select("doc_id", "text").schema, ("text",), default="regexp")), _BM25.split("select doc_id, round(")[0] + " select * from (select doc_id, 'with' term, f1::bigint frequency, dl::bigint length, round(ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * f1 / (f1 + 1.2 * (0.25 + 0.75 * dl / avg)), 6) score from f, s, d union all select doc_id, 'thon', f2::bigint, dl::bigint, round(ln(1 + (n - d2 + 0.5) / (d2 + 0.5)) * f2 / (f2 + 1.2 * (0.25 + 0.75 * dl / avg)), 6) from f, s, d) where frequency > 0")
+_add("hit_shape", lambda s, d: search.shape(_t(s, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("_id"), "n_name", "n_regionkey"), "nations", source=["n_name"], fields_spec=["n_reg*"]).select("_index", "_type", "_id", "_source", "fields", "highlight"), "select 'nations' _index, '_doc' _type, n_nationkey::varchar _id, to_json({n_name: n_name})::varchar _source, to_json({n_regionkey: [n_regionkey]})::varchar fields, '{}' highlight from nation where n_regionkey = 1")
+_add("fields_dates", lambda s, d: (lambda df: df.select("o_orderkey", *[c.getItem(0).alias(n) for n, c in search.fields(df, [{"field": "o_orderdate", "format": "2006/01/02"}, "o_cust*"]).items()]))(_t(s, d, "orders")), "select o_orderkey, strftime(o_orderdate, '%Y/%m/%d') o_orderdate, o_custkey from orders")
+_add("simple_query_string", _pred("part", {"simple_query_string": {"query": "+p_brand:Brand#1* -p_type:/.*STEEL/ +p_size:>=10"}}, ["p_partkey"]), "select p_partkey from part where starts_with(p_brand, 'Brand#1') and not regexp_full_match(p_type, '.*STEEL') and p_size >= 10")
+_add("term_bool", lambda s, d: (lambda df: df.where(Compiler(Schema.of(df.schema)).compile({"bool": {"must": [{"term": {"good": "true"}}], "must_not": [{"term": {"toxic": True}}]}}).pred).select("doc_id"))(_t(s, d, "labels").select("doc_id", F.col("quality").cast("boolean").alias("good"), F.col("toxic").cast("boolean").alias("toxic"))), "select doc_id from labels where quality = 1 and toxic is distinct from 1")
+_add("range_date_format", _pred("orders", {"range": {"o_orderdate": {"gte": "01.07.1996", "lt": "15.08.1996", "format": "02.01.2006"}}}, ["o_orderkey"]), "select o_orderkey from orders where o_orderdate >= timestamp '1996-07-01' and o_orderdate < timestamp '1996-08-15'")
+_add("match_standard", lambda s, d: (lambda df: df.where(Compiler(Schema.of(df.schema, ("text",))).compile({"match": {"text": {"query": "The with!", "operator": "AND"}}}).pred).select("doc_id"))(_t(s, d, "documents")), f"select doc_id from documents where {has('the', 'with').replace(_T, _STANDARD)}")
+_add("shard_routing", lambda s, d: _t(s, d, "customer").select("c_custkey", ingest.shard_of(F.col("c_custkey"), 5).alias("shard")), "select c_custkey, (list_sort([{w: md5(c_custkey || '#' || i), i: i} for i in range(5)])[-1]).i::int shard from customer")
+_add("partial_scan", lambda s, d: ingest.partial_scan(_t(s, d, "customer"), 2, 5, "c_custkey").select("c_custkey"), "select c_custkey from customer where (list_sort([{w: md5(c_custkey || '#' || i), i: i} for i in range(5)])[-1]).i = 2")
 
 # -- analysis
 for _n, _sql in (("regexp", _T), ("simple", "list_transform(regexp_extract_all(text, '\\p{L}+'), lambda x: lower(x))"), ("whitespace", "regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+')")):
@@ -152,3 +181,10 @@ _add("compaction", lambda s, d: ingest.compact(_log(s, d)), _COMPACT)
 _add("upsert", lambda s, d: ingest.apply_log(_t(s, d, "customer").select(F.col("c_custkey").cast("string").alias("_id"), F.col("c_acctbal").alias("value")), ingest.compact(_log(s, d))), f"with c as ({_COMPACT}) select c_custkey::varchar _id, c_acctbal as value from customer where c_custkey::varchar not in (select _id from c) union all select _id, value from c where op <> 'delete'")
 _add("delete_by_query", lambda s, d: ingest.delete_by_query(_t(s, d, "customer").select("c_custkey", "c_mktsegment"), F.col("c_mktsegment") == "BUILDING", "c_custkey", 10), "select c_custkey, c_mktsegment from customer where c_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING' order by c_custkey limit 10)")
 _add("catalogue_counts", lambda s, d: search.union({n: _t(s, d, n).select() for n in ("customer", "supplier", "part")}).groupBy("_index").agg(F.count("*").alias("doc_num")), "select 'customer' _index, count(*) doc_num from customer union all select 'supplier', count(*) from supplier union all select 'part', count(*) from part")
+
+_add("update_insert", lambda s, d: ingest.update(_t(s, d, "nation").select(F.col("n_nationkey").alias("_id"), "n_name"), _t(s, d, "region").select((F.col("r_regionkey") + 23).alias("_id"), F.col("r_name").alias("n_name")), insert=True), "select n_nationkey _id, n_name from nation where n_nationkey not in (select r_regionkey + 23 from region) union all select r_regionkey + 23, r_name from region")
+_add("batch_delete", lambda s, d: ingest.delete(_t(s, d, "customer").select("c_custkey"), _t(s, d, "supplier").select(F.col("s_suppkey").alias("c_custkey")), "c_custkey"), "select c_custkey from customer where c_custkey not in (select s_suppkey from supplier)")
+_add("delete_one", lambda s, d: ingest.delete_one(_t(s, d, "nation").select("n_nationkey"), 3, "n_nationkey"), "select n_nationkey from nation where n_nationkey <> 3")
+_add("bulk_records", lambda s, d: ingest.records(_t(s, d, "nation").select(F.col("n_nationkey").alias("_id"), "n_name")), "select 'upsert' op, n_nationkey::varchar _id, to_json({n_name: n_name})::varchar doc from nation")
+_add("bulk_response", lambda s, d: ingest.bulk_response(_log(s, d).where("seq < 500"), "log", _t(s, d, "customer").select(F.col("c_custkey").alias("_id"))), f"with l as ({_LOG}) select seq, case when op = 'delete' then 'delete' else 'index' end as action, 'log' _index, _id, case when op = 'delete' then 200 else 201 end status, case when op = 'delete' then 'deleted' when _id in (select c_custkey::varchar from customer) then 'updated' else 'created' end result, 1::bigint _version from l where seq < 500")
+_add("deletes_first", lambda s, d: ingest.compact(ingest.deletes_first(_log(s, d))).where("op = 'delete'").select("_id"), f"with l as ({_LOG}) select _id from l group by _id having count(*) filter (op <> 'delete') = 0")

@@ -71,10 +71,81 @@ def compact(log: DataFrame, id_col: str = "_id", seq: str = "seq", op: str = "op
     return g.withColumn(op, final).where(F.col(op).isNotNull()).select(id_col, seq, op, *[F.col(f"_d.{c}").alias(c) for c in data])
 
 
-def deletes_first(log: DataFrame) -> DataFrame:
-    """The order of requests without a write-ahead log: all deletes of a request before all its upserts."""
-    w = Window.orderBy(F.when(F.col("op") == "delete", 0).otherwise(1), "seq")
-    return log.withColumn("seq", F.row_number().over(w).cast("long"))
+def deletes_first(log: DataFrame, request: str | None = None) -> DataFrame:
+    """The order of requests without a write-ahead log: all deletes of a request before all its upserts.
+
+    seq stays a key to order by and need not be dense: deletes keep theirs, everything else moves behind the
+    greatest. Within a request (its column, by default the whole log) no sort is needed, only that maximum.
+    """
+    if request:
+        top = log.groupBy(request).agg((F.max("seq") + 1).alias("_top"))
+        out = log.join(top, request)
+    else:
+        out = log.crossJoin(F.broadcast(log.agg((F.max("seq") + 1).alias("_top"))))  # one row
+    return out.withColumn("seq", F.when(F.col("op") == "delete", F.col("seq")).otherwise(F.col("seq") + F.col("_top"))).drop("_top")
+
+
+def records(docs: DataFrame, id_col: str = "_id") -> DataFrame:
+    """Documents as mutations (op, _id, doc): an upsert where there is an id, else an insert under a new one."""
+    key = F.col(id_col).cast("string") if id_col in docs.columns else F.lit(None).cast("string")
+    body = [c for c in docs.columns if c != id_col]
+    return docs.select(F.when(key.isNotNull(), "upsert").otherwise("insert").alias("op"), F.coalesce(key, F.uuid()).alias("_id"), F.to_json(F.struct(*body)).alias("doc"))
+
+
+def bulk_v2(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
+    """A request {"index": ..., "records": [...]}: the index it names, and its records as mutations."""
+    d = spark.read.option("multiLine", True).json(path)
+    return d.first()["index"], records(d.select(F.explode("records").alias("r")).select("r.*"))
+
+
+def multi(spark: SparkSession, path: str) -> DataFrame:
+    """One document a line, as mutations."""
+    return records(spark.read.json(path))
+
+
+def bulk_response(log: DataFrame, index: str, before: DataFrame | None = None, id_col: str = "_id") -> DataFrame:
+    """An item for each mutation of a request: seq, action, _index, _id, status, result, _version."""
+    done = log.select("seq", "op", F.col("_id"))
+    known = before.select(F.col(id_col).cast("string").alias("_id"), F.lit(True).alias("_known")).distinct() if before is not None else None
+    done = done.join(known, "_id", "left") if known is not None else done.withColumn("_known", F.lit(None).cast("boolean"))
+    gone = F.col("op") == "delete"
+    return done.select(
+        "seq", F.when(gone, "delete").otherwise("index").alias("action"), F.lit(index).alias("_index"), "_id", F.when(gone, 200).otherwise(201).alias("status"),
+        F.when(gone, "deleted").when(F.col("_known"), "updated").otherwise("created").alias("result"), F.lit(1).cast("long").alias("_version"))
+
+
+class Missing(LookupError):
+    """No document has this id."""
+
+
+def update(base: DataFrame, change: DataFrame, insert: bool = False, id_col: str = "_id") -> DataFrame:
+    """base with whole documents replaced; ids that base lacks are an error unless insert is set."""
+    if not insert:
+        lost = change.select(id_col).join(base.select(id_col), id_col, "left_anti").limit(1).collect()
+        if lost:
+            raise Missing(lost[0][0])
+    return upsert(base, change, id_col)
+
+
+def delete_one(base: DataFrame, key, id_col: str = "_id") -> DataFrame:
+    """base without a document, which must be there."""
+    if base.where(F.col(id_col) == F.lit(key)).limit(1).count() == 0:
+        raise Missing(key)
+    return base.where(~F.coalesce(F.col(id_col) == F.lit(key), F.lit(False)))
+
+
+# -- placement of documents ----------------------------------------------------------------------------------
+
+
+def shard_of(key: Column, shards: int) -> Column:
+    """The shard of a document's id by the highest random weight: few ids move when a shard comes or goes."""
+    weights = [F.struct(F.md5(F.concat(key.cast("string"), F.lit(f"#{i}")).cast("binary")).alias("w"), F.lit(i).alias("i")) for i in range(shards)]
+    return F.greatest(*weights)["i"] if shards > 1 else F.lit(0)
+
+
+def partial_scan(df: DataFrame, shard: int, shards: int, id_col: str = "_id") -> DataFrame:
+    """The documents of one shard."""
+    return df.where(shard_of(F.col(id_col), shards) == shard)
 
 
 def upsert(base: DataFrame, changes: DataFrame, id_col: str = "_id") -> DataFrame:
@@ -102,7 +173,11 @@ def delete_by_query(base: DataFrame, pred: Column, id_col: str = "_id", size: in
 
 
 class Table:
-    """A directory of versions: each write goes to a new one, and a pointer file names the last."""
+    """A directory of versions. A write makes a new one and then its commit file, which is created or fails as a whole.
+
+    The last commit counts, so that a crash at any point leaves the table as it was; of two writers that began
+    from one version, the second to commit gets FileExistsError.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -110,23 +185,42 @@ class Table:
         self._p = jvm.org.apache.hadoop.fs.Path
         self.fs = self._p(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def version(self) -> str | None:
-        p = self._p(f"{self.path}/CURRENT")
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0] if self.fs.exists(p) else None
+    def version(self) -> int | None:
+        p = self._p(f"{self.path}/commits")
+        names = [f.getPath().getName() for f in self.fs.listStatus(p)] if self.fs.exists(p) else []
+        return max((int(n) for n in names if n.isdigit()), default=None)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.version()}")
+        at = f"{self.path}/commits/{self.version()}"
+        return self.spark.read.parquet(f"{self.path}/{self.spark.read.text(at).first()[0]}")
 
-    def write(self, df: DataFrame) -> None:
-        v = f"v-{uuid.uuid4().hex}"
+    def write(self, df: DataFrame, after: int | None = None) -> int:
+        """Write the next version, by default after the last; returns its number."""
+        after = self.version() if after is None else after
+        v, n = f"v-{uuid.uuid4().hex}", 0 if after is None else after + 1
         df.write.parquet(f"{self.path}/{v}")
-        tmp, out = self._p(f"{self.path}/CURRENT.{v}"), self._p(f"{self.path}/CURRENT")
-        s = self.fs.create(tmp, True)
+        try:
+            s = self.fs.create(self._p(f"{self.path}/commits/{n}"), False)
+        except Exception as e:
+            self.fs.delete(self._p(f"{self.path}/{v}"), True)
+            raise FileExistsError(f"version {n} exists") from e
         s.write(bytearray(v.encode()))
         s.close()
-        if self.fs.exists(out):
-            self.fs.delete(out, False)
-        self.fs.rename(tmp, out)
+        return n
+
+    def refresh(self) -> DataFrame:
+        """The table as it is now, whatever the session has cached of its files."""
+        self.spark.catalog.refreshByPath(self.path)
+        return self.read()
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete the files of all but the last versions; their commits stay as numbers taken."""
+        last = self.version() or 0
+        for n in range(max(0, last - keep + 1)):
+            at = self._p(f"{self.path}/commits/{n}")
+            if self.fs.exists(at):
+                name = self.spark.read.text(f"{self.path}/commits/{n}").first()[0]
+                self.fs.delete(self._p(f"{self.path}/{name}"), True)
 
     def apply(self, log: DataFrame, id_col: str = "_id") -> None:
         self.write(apply_log(self.read(), log, id_col))
