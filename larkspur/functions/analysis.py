@@ -13,11 +13,19 @@ import unicodedata
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# English stop words and the articles that French elides.
 STOP_EN = frozenset(
-    "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+    """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
+    itself they them their theirs themselves what which who whom this that these those am is are was were be been being have
+    has had having do does did doing would should could ought i'm you're he's she's it's we're they're i've you've we've
+    they've i'd you'd he'd she'd we'd they'd i'll you'll he'll she'll we'll they'll isn't aren't wasn't weren't hasn't haven't
+    hadn't doesn't don't didn't won't wouldn't shan't shouldn't can't cannot couldn't mustn't let's that's who's what's here's
+    there's when's where's why's how's a an the and but if or because as until while of at by for with about against between
+    into through during before after above below to from up down in out on off over under again further then once here there
+    when where why how all any both each few more most other some such no nor not only own same so than too very""".split()
 )
 ELISION_FR = frozenset("l m t qu n s j d c jusqu quoiqu lorsqu puisqu".split())
 _CLASSES = {
@@ -58,25 +66,59 @@ def char_filter(name: str, o: dict):
 # -- tokenizers ----------------------------------------------------------------------------------------------
 
 
+class Token(str):
+    """A token's text, its place in the text it comes from, its kind, and how many places it is after the last one."""
+
+    start, end, kind, keyword, step = 0, 0, "AlphaNumeric", False, 1
+
+
+def _kind(t: str) -> str:
+    if regex.search(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]", t):
+        return "Ideographic"
+    return "Numeric" if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", t) else "AlphaNumeric"
+
+
+def made(t: str, start: int, kind: str | None = None) -> Token:
+    out = Token(t)
+    out.start, out.end, out.kind = start, start + len(t), kind or _kind(t)
+    return out
+
+
+def like(x: str, t: str, **how) -> Token:
+    """A token of text t in the place of x."""
+    out = Token(t)
+    if isinstance(x, Token):
+        out.start, out.end, out.kind, out.keyword, out.step = x.start, x.end, x.kind, x.keyword, x.step
+    for k, v in how.items():
+        setattr(out, k, v)
+    return out
+
+
 def _found(pattern: str):
     p = regex.compile(pattern)
-    return lambda s: [m.group() for m in p.finditer(s) if m.group()]
+    return lambda s: [made(m.group(), m.start()) for m in p.finditer(s) if m.group()]
 
 
 def _grams(s: str, lo: int, hi: int, classes: list[str], edge: bool) -> list[str]:
-    parts = regex.findall(f"[{''.join(_CLASSES[c] for c in classes)}]+", s) if classes else [s]
-    return [w[i : i + n] for w in parts for i in ([0] if edge else range(len(w))) for n in range(lo, hi + 1) if i + n <= len(w)]
+    parts = [(m.group(), m.start()) for m in regex.finditer(f"[{''.join(_CLASSES[c] for c in classes)}]+", s)] if classes else [(s, 0)]
+    return [made(w[i : i + n], at + i) for w, at in parts for i in ([0] if edge else range(len(w))) for n in range(lo, hi + 1) if i + n <= len(w)]
 
 
 def _path(s: str, o: dict) -> list[str]:
     d, r, skip = o.get("delimiter", "/"), o.get("replacement", o.get("delimiter", "/")), int(o.get("skip", 0))
+    whole = s
     parts = s.split(d)
     if parts and parts[-1] == "":
         parts = parts[:-1]
     lead = parts and parts[0] == ""
     body = parts[1:] if lead else parts
     body = body[skip:]
-    return [(r if lead or skip else "") + r.join(body[: k + 1]) for k in range(len(body))]
+    out, from_ = [], len(whole) - len(d.join(body)) - (len(d) if whole.endswith(d) and body else 0)
+    for k in range(len(body)):
+        t = Token((r if lead or skip else "") + r.join(body[: k + 1]))
+        t.start, t.end, t.step = max(0, from_ - len(d)) if lead or skip else from_, from_ + len(d.join(body[: k + 1])), int(k == 0)
+        out.append(t)
+    return out
 
 
 _URL = r"(?:https?|ftp)://[^\s<>\"']+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[@#]?[\w]+(?:['’][\w]+)*"
@@ -90,9 +132,9 @@ def tokenizer(name: str, o: dict):
     if name in ("letter", "simple"):
         return _found(r"\p{L}+")
     if name in ("lower_case", "lowercase"):
-        return lambda s, f=_found(r"\p{L}+"): [t.lower() for t in f(s)]
+        return lambda s, f=_found(r"\p{L}+"): [like(t, t.lower()) for t in f(s)]
     if name in ("single", "keyword"):
-        return lambda s: [s] if s else []
+        return lambda s: [made(s, 0)] if s else []
     if name == "whitespace":
         return _found(r"\S+")
     if name in ("regexp", "pattern"):
@@ -112,7 +154,16 @@ def tokenizer(name: str, o: dict):
         return _found("|".join(f"(?:{p})" for p in o.get("patterns", [])) + "|" + _WORD)
     if name in ("gse_standard", "gse_search"):
         words = set(o.get("words", []))
-        return lambda s: _max_match(s, words)
+
+        def placed(s: str) -> list[str]:
+            at, out = 0, []
+            for t in _max_match(s, words):
+                at = max(at, s.lower().find(t, at))
+                out.append(made(t, at))
+                at += len(t)
+            return out
+
+        return placed
     raise ValueError(f"unknown tokenizer {name}")
 
 
@@ -188,32 +239,61 @@ def porter(w: str) -> str:
 def _stop_words(v) -> frozenset[str]:
     out: set[str] = set()
     for x in [v] if isinstance(v, str) else v or ["_english_"]:
-        out |= STOP_EN if x in ("_english_", "_en_") else set() if x.startswith("_") and x.endswith("_") else {x}
+        if x in ("_english_", "_en_"):
+            out |= STOP_EN
+        elif re.fullmatch("_[a-z]+_", x):
+            raise ValueError(f"no stop words of {x} are known: list them")
+        else:
+            out.add(x)
     return frozenset(out)
 
 
 def _shingles(t: list[str], o: dict) -> list[str]:
-    lo, hi, sep = int(o.get("min_shingle_size", 2)), int(o.get("max_shingle_size", 2)), o.get("token_separator", " ")
+    """Each token, then the shingles that end in it; a removed token's place holds the filler."""
+    lo, hi, sep, filler = int(o.get("min_shingle_size", 2)), int(o.get("max_shingle_size", 2)), o.get("token_separator", " "), o.get("filler_token", "_")
+    row: list[tuple[str, str | None]] = []
+    for x in t:
+        row += [(filler, None)] * (getattr(x, "step", 1) - 1) if row else []
+        row.append((x, x))
     out: list[str] = []
-    for i in range(len(t)):
-        if o.get("output_original", True):
-            out.append(t[i])
-        out += [sep.join(t[i : i + n]) for n in range(lo, hi + 1) if i + n <= len(t)]
+    for i, (_, x) in enumerate(row):
+        if x is not None and o.get("output_original", True):
+            out.append(x)
+        for n in range(lo, hi + 1):
+            if i + 1 >= n:
+                part = [y for y, _ in row[i + 1 - n : i + 1]]
+                real = [y for _, y in row[i + 1 - n : i + 1] if isinstance(y, Token)]
+                out.append(like(x or part[0], sep.join(part), kind="Shingle", step=0, **({"start": real[0].start, "end": real[-1].end} if real else {})))
     return out
 
 
 def _bigrams(t: list[str], single: bool) -> list[str]:
+    """Pairs of neighbouring ideographs; one without a neighbour stays alone. Text between them parts neighbours."""
     cjk = regex.compile(r"^[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]$")
+    near = lambda a, b: cjk.match(a) and cjk.match(b) and (not isinstance(a, Token) or a.end == b.start)
     out: list[str] = []
     for i, x in enumerate(t):
         if not cjk.match(x):
             out.append(x)
             continue
-        after = i + 1 < len(t) and cjk.match(t[i + 1])
+        after = i + 1 < len(t) and near(x, t[i + 1])
+        alone = not after and not (i and near(t[i - 1], x))
+        if single or alone:
+            out.append(like(x, x, kind="Single"))
         if after:
-            out.append(x + t[i + 1])
-        elif single or not (i and cjk.match(t[i - 1])):
-            out.append(x)
+            out.append(like(x, x + t[i + 1], kind="Double", step=int(not single), **({"end": t[i + 1].end} if isinstance(x, Token) else {})))
+    return out
+
+
+def _stopped(t: list[str], stop: frozenset[str]) -> list[str]:
+    """t without stop words; what follows one is that many places further."""
+    out, lost = [], 0
+    for x in t:
+        if x in stop:
+            lost += getattr(x, "step", 1)
+        else:
+            out.append(like(x, x, step=x.step + lost) if lost and isinstance(x, Token) else x)
+            lost = 0
     return out
 
 
@@ -279,50 +359,50 @@ def light_stem(lang: str, w: str) -> str:
 
 
 def token_filter(name: str, o: dict):
-    each = lambda f: lambda t: [f(x) for x in t]
+    each = lambda f: lambda t: [like(x, f(x)) for x in t]
+    many = lambda f: lambda t: [like(x, y, step=getattr(x, "step", 1) if i == 0 else 0) for x in t for i, y in enumerate(f(x))]
+    own = lambda f: each(lambda x: x if getattr(x, "keyword", False) else f(x))
     num = lambda k, d: int(o.get(k) or d)
     if name == "apostrophe":
         return each(lambda x: re.split("['’]", x)[0])
     if name in ("camel_case", "camelcase"):
-        return lambda t: [y for x in t for y in _camel(x)]
+        return many(_camel)
     if name in ("dict", "dictionary"):
         words, lo, hi, least = set(o["words"]), num("min_subword_size", 2), num("max_subword_size", 15), num("min_word_size", 5)
 
-        def split(t: list[str]) -> list[str]:
-            out = []
-            for x in t:
-                out.append(x)
-                if len(x) >= least:
-                    for i in range(len(x)):
-                        hits = [x[i : i + n] for n in range(lo, min(hi, len(x) - i) + 1) if x[i : i + n] in words]
-                        out += hits[-1:] if o.get("only_longest_match") else hits
+        def split(x: str) -> list[str]:
+            out = [x]
+            if len(x) >= least:
+                for i in range(len(x)):
+                    hits = [x[i : i + n] for n in range(lo, min(hi, len(x) - i) + 1) if x[i : i + n] in words]
+                    out += hits[-1:] if o.get("only_longest_match") else hits
             return out
 
-        return split
+        return many(split)
     if name in ("edge_ngram", "ngram"):
         lo, hi, back = num("min_gram", 1), num("max_gram", 2), o.get("side") == "back"
         if name == "ngram":
-            return lambda t: [x[i : i + n] for x in t for i in range(len(x)) for n in range(lo, hi + 1) if i + n <= len(x)]
-        return lambda t: [x[len(x) - n :] if back else x[:n] for x in t for n in range(lo, hi + 1) if n <= len(x)]
+            return many(lambda x: [x[i : i + n] for i in range(len(x)) for n in range(lo, hi + 1) if i + n <= len(x)])
+        return many(lambda x: [x[len(x) - n :] if back else x[:n] for n in range(lo, hi + 1) if n <= len(x)])
     if name in ("elision", "elision_fr", "elision_ga", "elision_it"):
         arts = frozenset(o.get("articles") or {"elision_it": ELISION_IT, "elision_ga": ELISION_GA}.get(name, ELISION_FR))
         return each(lambda x: next((x[m.end() :] for m in [re.match(r"(\w+)['’]", x)] if m and m.group(1).lower() in arts), x))
     if name in ("keyword", "keyword_marker"):
         marks = set(o.get("keywords", []))
-        return each(lambda x: Marked(x) if x in marks else x)
+        return lambda t: [like(x, x, keyword=True) if x in marks else x for x in t]
     if name == "length":
         lo, hi = num("min", 1), num("max", 2)
         return lambda t: [x for x in t if lo <= len(x) <= hi]
     if name in ("lower_case", "lowercase"):
-        return each(lambda x: type(x)(x.lower()))
+        return each(str.lower)
     if name in ("upper_case", "uppercase"):
-        return each(lambda x: type(x)(x.upper()))
+        return each(str.upper)
     if name in ("porter", "stemmer", "stemmer_en"):
-        return each(lambda x: x if isinstance(x, Marked) else porter(x))
+        return own(porter)
     if m := re.fullmatch("(?:normalization|normalizer)_(ar|ckb|de|fa|hi)|(ar|ckb|de|fa|hi)_normalization", name):
-        return each(lambda x: type(x)(normalise(m[1] or m[2], x)))
+        return each(lambda x: normalise(m[1] or m[2], x))
     if m := re.fullmatch("stemmer_(de|es|it|fr)(?:_light|_minimal)?|(de|es|it|fr)_(?:light|minimal)_stemmer", name):
-        return each(lambda x: x if isinstance(x, Marked) else light_stem(m[1] or m[2], x))
+        return own(lambda x: light_stem(m[1] or m[2], x))
     if name == "possessive_en":
         return each(lambda x: re.sub("['’]s$", "", x, flags=re.I))
     if name == "reverse":
@@ -333,7 +413,7 @@ def token_filter(name: str, o: dict):
         return lambda t: _shingles(t, o)
     if name in ("stop", "gse_stop"):
         stop = _stop_words(o.get("stopwords"))
-        return lambda t: [x for x in t if x not in stop]
+        return lambda t: _stopped(t, stop)
     if name == "trim":
         return each(str.strip)
     if name == "truncate":
@@ -349,10 +429,6 @@ def token_filter(name: str, o: dict):
     raise ValueError(f"unknown token filter {name}")
 
 
-class Marked(str):
-    """A token that stemmers leave alone."""
-
-
 ANALYZERS: dict[str, dict] = {
     "standard": {"tokenizer": "standard", "token_filter": ["lower_case"]},
     "simple": {"tokenizer": "letter", "token_filter": ["lower_case"]},
@@ -390,7 +466,14 @@ def _named(x, custom: dict | None) -> tuple[str, dict]:
 
 def analyze(text: str, spec: str | dict = "standard", settings: dict | None = None) -> list[str]:
     """Tokens of text under an analyzer's name or its definition (tokenizer, token_filter or filter, char_filter)."""
+    return [str(t) for t in analyze_tokens(text, spec, settings)]
+
+
+def analyze_tokens(text: str, spec: str | dict = "standard", settings: dict | None = None) -> list[Token]:
+    """Tokens with their places, kinds and steps. Places count in the text that the character filters leave."""
     s = settings or {}
+    if isinstance(spec, dict) and "analyzer" in spec:
+        spec = spec["analyzer"]
     if isinstance(spec, str):
         spec = (s.get("analyzer") or {}).get(spec) or ANALYZERS[spec]
     if "type" in spec and "tokenizer" not in spec:
@@ -402,13 +485,39 @@ def analyze(text: str, spec: str | dict = "standard", settings: dict | None = No
             filters.remove("lower_case")
         if spec.get("stopwords"):
             filters = [f for f in filters if f != "stop"] + [{"type": "stop", "stopwords": spec["stopwords"]}]
-        spec = base | {"token_filter": filters}
+        spec = base | {"token_filter": filters + list(spec.get("token_filter") or spec.get("filter") or []), "char_filter": list(base.get("char_filter", [])) + list(spec.get("char_filter") or [])}
     for c in spec.get("char_filter") or []:
         text = char_filter(*_named(c, s.get("char_filter")))(text)
     out = tokenizer(*_named(spec.get("tokenizer", "standard"), s.get("tokenizer")))(text)
     for f in spec.get("token_filter") or spec.get("filter") or []:
         out = token_filter(*_named(f, s.get("token_filter") or s.get("filter")))(out)
-    return [str(t) for t in out if t != ""]
+    return [t if isinstance(t, Token) else Token(t) for t in out if t != ""]
+
+
+TOKENS = "array<struct<token:string,start_offset:int,end_offset:int,position:int,type:string,keyword:boolean>>"
+
+
+def analyze_rows(df: DataFrame) -> DataFrame:
+    """Rows (name, request, settings, text), request and settings as JSON, plus `tokens`: an analysis request each.
+
+    Offsets count bytes of UTF-8; position is the step from the token before.
+    """
+    import json
+
+    import pyarrow as pa
+
+    struct = pa.struct([("token", pa.string()), ("start_offset", pa.int32()), ("end_offset", pa.int32()), ("position", pa.int32()), ("type", pa.string()), ("keyword", pa.bool_())])
+
+    def run(it):
+        for b in it:
+            out = []
+            for request, settings, text in zip(*(b.column(c).to_pylist() for c in ("request", "settings", "text")), strict=True):
+                size = lambda i, t=text or "": len(t[:i].encode())
+                out.append([{"token": str(t), "start_offset": size(t.start), "end_offset": size(t.end), "position": t.step, "type": t.kind, "keyword": t.keyword} for t in analyze_tokens(text or "", json.loads(request), json.loads(settings or "{}"))])
+            yield pa.record_batch([*b.columns, pa.array(out, pa.list_(struct))], names=[*b.schema.names, "tokens"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "tokens")
+    return df.drop("tokens").mapInArrow(run, f"{fields}, tokens {TOKENS}")
 
 
 _CJK_JVM = r"[\p{IsHan}\p{IsHiragana}]"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import analysis
 from larkspur.operators import aggs, search, vector
 from larkspur.operators.dsl import Compiler, Schema
+from larkspur.plans import golden
 from larkspur.sources import ingest
 
 QUERIES: dict = {}
@@ -151,7 +153,65 @@ for _n, _sql in (("regexp", _T), ("simple", "list_transform(regexp_extract_all(t
     _add(f"analyze_{_n}", lambda s, d, n=_n: _t(s, d, "benchmark").select("item_id", F.array_join(analysis.tokens(F.col("text"), n), "|").alias("tokens")), f"select item_id, array_to_string({_sql}, '|') tokens from benchmark")
 _add("analyze_shingle", lambda s, d: _t(s, d, "benchmark").select("item_id", F.array_join(analysis.shingle_tokens(analysis.tokens(F.col("text")), 2), "|").alias("tokens")), f"select item_id, array_to_string(list_transform(range(1, len({_T})), lambda i: {_T}[i] || ' ' || {_T}[i + 1]), '|') tokens from benchmark")
 _add("analyze_edge_ngram", lambda s, d: _t(s, d, "benchmark").select("item_id", F.array_join(analysis.edge_ngrams(analysis.tokens(F.col("text")), 2, 3), "|").alias("tokens")), f"select item_id, array_to_string(flatten(list_transform({_T}, lambda x: list_transform(list_filter([2, 3], lambda n: n <= length(x)), lambda n: substr(x, 1, n)))), '|') tokens from benchmark")
-for _n in ("standard", "en", "web", "de", "fr", "es", "it"):
+_quote = lambda x: "'" + x.replace("'", "''") + "'"
+
+
+def _golden(s, d):
+    rows = [(n, json.dumps(r), json.dumps(st), t) for n, r, st, t, _ in golden.CASES]
+    return analysis.analyze_rows(s.createDataFrame(rows, "name string, request string, settings string, text string")).select("name", F.array_join("tokens.token", "|").alias("tokens"))
+
+
+_add("analyze_golden", _golden, "select * from (values " + ", ".join(f"({_quote(n)}, {_quote('|'.join(w))})" for n, _, _, _, w in golden.CASES) + ") t(name, tokens)")
+
+
+def _places(s, d):
+    rows = [("a", json.dumps({"tokenizer": "standard", "filter": ["lowercase", "stop"]}), "{}", "Près of 2 Foxes"), ("b", json.dumps({"tokenizer": "standard", "filter": ["cjk_bigram"]}), "{}", "東京都"), ("c", json.dumps({"tokenizer": "letter", "filter": [{"type": "keyword", "keywords": ["b"]}, "shingle"]}), "{}", "a b")]
+    return analysis.analyze_rows(s.createDataFrame(rows, "name string, request string, settings string, text string")).select("name", F.expr("inline(tokens)"))
+
+
+_add("analyze_places", _places, "select * from (values ('a', 'près', 0, 5, 1, 'AlphaNumeric', false), ('a', '2', 9, 10, 2, 'Numeric', false), ('a', 'foxes', 11, 16, 1, 'AlphaNumeric', false), ('b', '東京', 0, 6, 1, 'Double', false), ('b', '京都', 3, 9, 1, 'Double', false), ('c', 'a', 0, 1, 1, 'AlphaNumeric', false), ('c', 'b', 2, 3, 1, 'AlphaNumeric', true), ('c', 'a b', 0, 3, 0, 'Shingle', true)) t(name, token, start_offset, end_offset, position, type, keyword)")
+_W = "regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+')"
+_FILTERS = {
+    "length": ({"type": "length", "min": 3, "max": 5}, f"list_filter({_W}, lambda x: length(x) between 3 and 5)"),
+    "truncate": ({"type": "truncate", "length": 4}, f"list_transform({_W}, lambda x: substr(x, 1, 4))"),
+    "reverse": ("reverse", f"list_transform({_W}, lambda x: reverse(x))"),
+    "unique": ("unique", f"list_filter({_W}, lambda x, i: list_position({_W}, x) = i)"),
+    "lower_case": ("lowercase", f"list_transform({_W}, lambda x: lower(x))"),
+    "stop_words": ({"type": "stop", "stopwords": ["of", "the", "and"]}, f"list_filter({_W}, lambda x: x not in ('of', 'the', 'and'))"),
+    "pattern_replace": ({"type": "pattern_replace", "pattern": "[aeiou]+", "replacement": "*"}, f"list_transform({_W}, lambda x: regexp_replace(x, '[aeiou]+', '*', 'g'))"),
+    "ngram": ({"type": "ngram", "min_gram": 2, "max_gram": 2}, f"flatten(list_transform({_W}, lambda x: list_transform(range(1, length(x)), lambda i: substr(x, i::int, 2))))"),
+    "unicodenorm": ({"type": "unicodenorm", "form": "NFC"}, f"list_transform({_W}, lambda x: nfc_normalize(x))"),
+    "trim": ("trim", _W),
+}
+for _n, (_o, _sql) in _FILTERS.items():
+    _add(f"filter_{_n}", lambda s, d, o=_o: _t(s, d, "benchmark").select("item_id", F.array_join(analysis.analyze_udf({"tokenizer": "whitespace", "filter": [o]})("text"), "|").alias("tokens")), f"select item_id, array_to_string({_sql}, '|') tokens from benchmark")
+_TOKENIZERS = {
+    "letter": ("letter", "regexp_extract_all(text, '\\p{L}+')"),
+    "lower_case": ("lower_case", "list_transform(regexp_extract_all(text, '\\p{L}+'), lambda x: lower(x))"),
+    "character": ({"type": "character", "char": "digit"}, "regexp_extract_all(text, '\\p{Nd}+')"),
+    "char_group": ({"type": "char_group", "tokenize_on_chars": ["whitespace", "."]}, "regexp_extract_all(text, '[^\\p{Z}\\s.]+')"),
+    "keyword": ("keyword", "[text]"),
+    "regexp": ({"type": "regexp", "pattern": "[A-Z][a-z]+"}, "regexp_extract_all(text, '[A-Z][a-z]+')"),
+    "edge_ngram": ({"type": "edge_ngram", "min_gram": 2, "max_gram": 4}, "[substr(text, 1, 2), substr(text, 1, 3), substr(text, 1, 4)]"),
+    "unicode": ("unicode", _STANDARD.removeprefix("list_transform(").removesuffix(", lambda x: lower(x))")),
+    "exception": ({"type": "exception", "patterns": ["[A-Z]\\w+ \\w+"]}, "regexp_extract_all(text, '(?:[A-Z][0-9A-Za-z_]+ [0-9A-Za-z_]+)|[\\p{L}\\p{M}\\p{N}_]+(?:[''’.:·][\\p{L}\\p{M}\\p{N}_]+)*')"),
+}
+for _n, (_o, _sql) in _TOKENIZERS.items():
+    _add(f"tokenizer_{_n}", lambda s, d, o=_o: _t(s, d, "benchmark").select("item_id", F.array_join(analysis.analyze_udf({"tokenizer": o})(F.regexp_replace("text", "[^ -~\n]", "")), "|").alias("tokens")), f"select item_id, array_to_string({_sql}, '|') tokens from (select item_id, regexp_replace(text, '[^ -~\\n]', '', 'g') as text from benchmark)")
+_add("tokenizer_path_hierarchy", lambda s, d: _t(s, d, "pages").select("page_id", F.array_join(analysis.analyze_udf({"tokenizer": "path_hierarchy"})(F.regexp_extract("url", r"^\w+://[^/?#]+((?:/[\w.-]+)*)", 1)), "|").alias("tokens")), "select page_id, coalesce(array_to_string(list_transform(range(1, length(p) - length(replace(p, '/', '')) + 1), lambda k: '/' || array_to_string(string_split(p, '/')[2:k + 1], '/')), '|'), '') tokens from (select page_id, regexp_extract(url, '^\\w+://[^/?#]+((?:/[\\w.-]+)*)', 1) p from pages)")
+_CHARS = {
+    "mapping": ({"type": "mapping", "mappings": ["e => 3", "th => TH"]}, "replace(replace(text, 'e', '3'), 'th', 'TH')"),
+    "pattern_replace": ({"type": "pattern_replace", "pattern": "(\\w)\\.", "replacement": "$1!"}, "regexp_replace(text, '([0-9A-Za-z_])\\.', '\\1!', 'g')"),
+    "zero_width_non_joiner": ("zero_width_non_joiner", "replace(text, chr(8204), ' ')"),
+    "html_strip": ("html_strip", "regexp_replace(text, '<[^>]*>', ' ', 'g')"),
+    "ascii_folding": ("ascii_folding", "text"),
+}
+for _n, (_o, _sql) in _CHARS.items():
+    _add(f"char_filter_{_n}", lambda s, d, o=_o: _t(s, d, "benchmark").select("item_id", F.array_join(analysis.analyze_udf({"tokenizer": "keyword", "char_filter": [o]})(F.regexp_replace("text", "[^ -~\n]", "")), "|").alias("tokens")), f"select item_id, {_sql} tokens from (select item_id, regexp_replace(text, '[^ -~\\n]', '', 'g') as text from benchmark)")
+_add("analyze_stop", lambda s, d: _t(s, d, "benchmark").select("item_id", F.array_join(analysis.tokens(F.col("text"), "stop"), "|").alias("tokens")), f"select item_id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '\\p{{L}}+'), lambda x: lower(x)), lambda x: x not in ({', '.join(_quote(x) for x in sorted(analysis.STOP_EN))})), '|') tokens from benchmark")
+_add("analyze_keyword", lambda s, d: _t(s, d, "benchmark").select("item_id", F.array_join(analysis.tokens(F.col("text"), "keyword"), "|").alias("tokens")), "select item_id, text tokens from benchmark")
+_add("analyze_standard", lambda s, d: _t(s, d, "benchmark").select("item_id", F.array_join(analysis.tokens(F.col("text"), "standard"), "|").alias("tokens")), f"select item_id, array_to_string({_STANDARD}, '|') tokens from benchmark")
+for _n in ("en", "web", "de", "fr", "es", "it"):
     _add(f"analyze_{_n}", lambda s, d, n=_n: _t(s, d, "benchmark").select("item_id", F.array_join(analysis.analyze_udf(n)("text"), "|").alias("tokens")))
 
 # -- vectors

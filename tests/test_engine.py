@@ -30,11 +30,11 @@ def test_analyzers():
     assert analysis.analyze("The Quick fox's", "stop") == ["quick", "fox", "s"]
     assert analysis.analyze("/one/two/three", {"tokenizer": "path_hierarchy"}) == ["/one", "/one/two", "/one/two/three"]
     assert analysis.analyze("Quick", {"tokenizer": {"type": "edge_ngram", "min_gram": 1, "max_gram": 2}}) == ["Q", "Qu"]
-    assert analysis.analyze("a b c", {"tokenizer": "whitespace", "filter": ["shingle"]}) == ["a", "a b", "b", "b c", "c"]
+    assert analysis.analyze("a b c", {"tokenizer": "whitespace", "filter": ["shingle"]}) == ["a", "b", "a b", "c", "b c"]
     assert analysis.analyze("<p>I&apos;m so <b>happy</b>!</p>", {"tokenizer": "whitespace", "char_filter": ["html_strip"]}) == ["I'm", "so", "happy", "!"]
     assert analysis.analyze("foxes jumping quickly relational", {"tokenizer": "whitespace", "filter": ["porter"]}) == ["fox", "jump", "quickli", "relat"]
     assert analysis.analyze("l'avion qu'il", {"tokenizer": "whitespace", "filter": ["elision"]}) == ["avion", "il"]
-    assert analysis.analyze("東京 都", "cjk") == ["東京", "京都"]
+    assert analysis.analyze("東京都 市", "cjk") == ["東京", "京都", "市"]
 
 
 def test_languages():
