@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from math import isqrt
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,14 +69,8 @@ def pq_train(x: np.ndarray, m: int, nbits: int = 8, rounds: int = 8) -> np.ndarr
     parts = x.reshape(len(x), m, -1)
     out = []
     for j in range(m):
-        s = parts[:, j]
-        c = s[:: max(1, len(s) >> nbits)][: 1 << nbits].copy()
-        for _ in range(rounds):
-            at = assign(s, c)
-            for i in range(len(c)):
-                if (at == i).any():
-                    c[i] = s[at == i].mean(0)
-        out.append(c)
+        c = _kmeans(parts[:, j], min(1 << nbits, len(x)), rounds)
+        out.append(np.concatenate((c, np.repeat(c[-1:], (1 << nbits) - len(c), 0))))
     return np.stack(out)
 
 
@@ -108,3 +106,177 @@ def global_top(parts: list[DataFrame], k: int, id_col: str = "vec_id") -> DataFr
         out = out.unionByName(p)
     w = Window.partitionBy(id_col).orderBy("distance")
     return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").orderBy("distance", id_col).limit(k)
+
+
+# -- inverted file with product quantisation -------------------------------------------------------------------
+
+LIST_ROWS = 100_000  # vectors of a list that one task scans; a longer list is dealt to several
+REFINE = 8  # candidates a wanted neighbour that are ranked again by exact distances
+
+
+@dataclass
+class IvfPq:
+    """Centres of the lists, codebooks of what a vector leaves over its centre, and the indexed table."""
+
+    centres: np.ndarray
+    books: np.ndarray
+    table: DataFrame  # id, vec, centroid, part, code
+    parts: int  # that a list is dealt to
+
+
+def build_ivfpq(df: DataFrame, vec: str = "embedding", id_col: str = "vec_id", m: int = 8, nbits: int = 8, lists: int | None = None, sample: int = 20_000) -> IvfPq:
+    """Fitted on at most `sample` vectors, those of smallest hash; every vector is indexed.
+
+    lists: by default 4 times the root of their number, as far as the sample fills them. Vectors that are null
+    or of another length than most of the sample are not indexed.
+    """
+    n = df.where(F.col(vec).isNotNull()).count()
+    rows = [r[0] for r in df.where(F.col(vec).isNotNull()).orderBy(F.xxhash64(vec)).limit(sample).select(vec).collect()]  # bounded by sample
+    dims = max({len(r) for r in rows}, key=[len(r) for r in rows].count) if rows else m
+    x = np.array([r for r in rows if len(r) == dims], np.float64).reshape(-1, dims)
+    k = max(1, min(lists or isqrt(16 * n), len(x)))
+    centres = _kmeans(x, k) if len(x) else np.zeros((1, dims))
+    left = x - centres[assign(x, centres)] if len(x) else np.zeros((1, dims))
+    books = pq_train(left, m, nbits)
+    sent = df.sparkSession.sparkContext.broadcast((centres, books))
+
+    def run(it):
+        c, b = sent.value
+        for batch in it:
+            v = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, c.shape[1]))
+            at = assign(v, c) if len(v) else np.zeros(0, np.int64)
+            codes = pq_encode(v - c[at], b) if len(v) else np.zeros((0, len(b)), np.uint8)
+            yield pa.record_batch([*batch.columns, pa.array(at.astype(np.int32)), pa.array([r.tobytes() for r in codes], pa.binary())], names=[*batch.schema.names, "centroid", "code"])
+
+    good = df.where(F.size(vec) == dims).select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
+    table = good.mapInArrow(run, good.withColumns({"centroid": F.lit(0), "code": F.lit(b"")}).schema)
+    parts = max(1, -(-n // (LIST_ROWS * k)))
+    return IvfPq(centres, books, table.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), parts)
+
+
+def _kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
+    c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
+    for _ in range(rounds):
+        at = assign(x, c)
+        n = np.bincount(at, minlength=k)
+        sums = np.zeros_like(c)
+        np.add.at(sums, at, x)
+        c[n > 0] = sums[n > 0] / n[n > 0, None]
+    return c
+
+
+def ivfpq_search(index: IvfPq, queries: DataFrame, k: int = 10, nprobe: int = 16, vec: str = "embedding", id_col: str = "vec_id", where: Column | None = None) -> DataFrame:
+    """(query, id, distance, score): the k nearest of every query among its nprobe lists, ranked again exactly.
+
+    Queries and lists meet by list, so that neither side is sent to every task. where filters the indexed rows
+    before the search. Of a list, each query keeps its REFINE * k nearest by codes.
+    """
+    sent = index.table.sparkSession.sparkContext.broadcast((index.centres, index.books))
+    most, probes = REFINE * k, min(nprobe, len(index.centres))
+
+    def near(it):
+        c = sent.value[0]
+        for b in it:
+            q = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, c.shape[1]))
+            order = np.argsort(-2 * q @ c.T + (c * c).sum(1), 1)[:, :probes].ravel().astype(np.int32)
+            at = np.repeat(np.arange(b.num_rows), probes)
+            yield pa.record_batch([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(order)], names=["query", "q", "centroid"])
+
+    q = queries.where(F.size(vec) == index.centres.shape[1]).select(F.col(id_col).alias("query"), F.col(vec).alias("q"))
+    asked = q.mapInArrow(near, q.withColumn("centroid", F.lit(0)).schema)
+    table = index.table if where is None else index.table.where(where)
+    kind = queries.schema[id_col].dataType.simpleString()
+
+    def scan(rows: pa.Table, asks: pa.Table) -> pa.Table:
+        c, books = sent.value
+        if not rows.num_rows or not asks.num_rows:
+            return pa.table({"query": asks["query"].slice(0, 0), "id": rows["id"].slice(0, 0), "approx": pa.array([], pa.float64())})
+        centre = c[rows["centroid"][0].as_py()]
+        codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        at_q, at_r, d = [], [], []
+        for i, v in enumerate(asks["q"].to_pylist()):
+            found = pq_distances(codes, books, np.array(v, np.float64) - centre)
+            best = np.argpartition(found, most - 1)[:most] if len(found) > most else np.arange(len(found))
+            at_q.append(np.full(len(best), i))
+            at_r.append(best)
+            d.append(found[best])
+        return pa.table({"query": asks["query"].take(pa.array(np.concatenate(at_q))), "id": rows["id"].take(pa.array(np.concatenate(at_r))), "approx": pa.array(np.concatenate(d))})
+
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(index.parts - 1))))
+    found = table.select("id", "centroid", "part", "code").groupBy("centroid", "part").cogroup(asked.groupBy("centroid", "part")).applyInArrow(scan, f"query {kind}, id {table.schema['id'].dataType.simpleString()}, approx double")
+    w = Window.partitionBy("query")
+    found = found.withColumn("_r", F.row_number().over(w.orderBy("approx", "id"))).where(F.col("_r") <= most).select("query", "id")
+    exact = found.join(q, "query").join(table.select("id", "vec"), "id")
+    d = F.aggregate(F.zip_with("vec", "q", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x)
+    exact = exact.select("query", "id", d.alias("distance"))
+    return exact.withColumn("_r", F.row_number().over(w.orderBy("distance", "id"))).where(F.col("_r") <= k).drop("_r").withColumn("score", 1 / (1 + F.col("distance")))
+
+
+def knn_each(df: DataFrame, queries: DataFrame, k: int = 10, vec: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """(query, id, distance): the exact k nearest of every query. Rows are compared a block at a time with blocks of
+    queries; a block of rows passes on only each query's k nearest."""
+    q = queries.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("query"), F.col(vec).cast("array<double>").alias("q"))
+    blocks = max(1, -(-q.count() // 2048))
+    q = q.withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    slots = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asks = q.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+
+    def work(r: pa.Table, a: pa.Table) -> pa.Table:
+        empty = pa.table({"query": a["query"].slice(0, 0), "id": r["id"].slice(0, 0), "distance": pa.array([], pa.float64())})
+        if not r.num_rows or not a.num_rows:
+            return empty
+        out = [empty]
+        size = {i: len(v) for i, v in enumerate(r["v"].to_pylist())}
+        for dim in set(size.values()):
+            at = np.array([i for i, n in size.items() if n == dim])
+            mine = np.array([i for i, v in enumerate(a["q"].to_pylist()) if len(v) == dim], int)
+            if not len(mine):
+                continue
+            x, y = np.array(r["v"].take(pa.array(at)).to_pylist()), np.array(a["q"].take(pa.array(mine)).to_pylist())
+            for i, v in zip(mine.tolist(), y, strict=True):
+                d = ((x - v) ** 2).sum(1)
+                best = np.lexsort((np.array(r["id"].take(pa.array(at)).to_pylist()), d))[:k]
+                out.append(pa.table({"query": a["query"].take(pa.array([i] * len(best))), "id": r["id"].take(pa.array(at[best])), "distance": pa.array(d[best])}))
+        return pa.concat_tables(out)
+
+    kind = f"query {queries.schema[id_col].dataType.simpleString()}, id {df.schema[id_col].dataType.simpleString()}, distance double"
+    found = rows.groupBy("_b", "_s").cogroup(asks.groupBy("_b", "_s")).applyInArrow(work, kind)
+    w = Window.partitionBy("query").orderBy("distance", "id")
+    return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def mean_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """The mean over queries of the share of their exact neighbours that were found: queries, recall."""
+    hit = exact.select("query", "id").join(found.select("query", "id", F.lit(1).alias("_f")), ["query", "id"], "left")
+    return hit.groupBy("query").agg((F.count("_f") / F.count("*")).alias("r")).agg(F.count("*").alias("queries"), F.avg("r").alias("recall"))
+
+
+def search_request(df: DataFrame, body: dict, predicate: Column | None = None, id_col: str = "_id") -> DataFrame:
+    """A k-NN request {query_field, vector, k, return_fields or _source}: id, the named columns, _score, best first.
+
+    predicate is a compiled filter query; the hits' columns are only read for the k rows found.
+    """
+    k, f = int(body.get("k") or 10), body["query_field"]
+    top = knn(df.select("*"), [float(x) for x in body["vector"]], k, f, id_col, predicate).select(id_col, F.col("score").alias("_score"))
+    names = body.get("return_fields") or body.get("_source") or []
+    out = df.select(id_col, *[c for c in names if c != id_col])
+    return out.join(F.broadcast(top), id_col).orderBy(F.desc("_score"), id_col)
+
+
+def half_bytes(v: Column) -> Column:
+    """Components as two bytes each, in half precision."""
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else np.asarray(x, "<f2").tobytes())
+
+    return run(v)
+
+
+def from_half_bytes(v: Column) -> Column:
+    @F.pandas_udf("array<float>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else np.frombuffer(x, "<f2").astype(np.float32))
+
+    return run(v)

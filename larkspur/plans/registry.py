@@ -222,11 +222,18 @@ _add("knn_filtered", lambda s, d: vector.knn(_t(s, d, "embeddings"), Q, 5, where
 
 def _ivf(s, d):
     e = _t(s, d, "embeddings")
-    c = vector.train_centroids(e, 16)
-    return vector.recall(vector.ivf_search(vector.with_centroid(e, c), c, Q, 10, 8), vector.knn(e, Q, 10))
+    q = e.where("vec_id % 50 = 0")
+    return vector.mean_recall(vector.ivfpq_search(vector.build_ivfpq(e), q, 10, NPROBE), vector.knn_each(e, q, 10))
 
 
+NPROBE = 128
 _add("knn_ivf_recall", _ivf)
+_EACH = "with q as (select vec_id query, embedding q from embeddings where vec_id % 50 = 0), p as (select query, vec_id id, list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::double - q[i]::double) * (embedding[i]::double - q[i]::double))) distance from q, embeddings) select query, id, round(distance, 4) distance from p qualify row_number() over (partition by query order by p.distance, id) <= 10"
+_add("knn_each", lambda s, d: (lambda e: vector.knn_each(e, e.where("vec_id % 50 = 0"), 10).select("query", "id", F.round("distance", 4).alias("distance")))(_t(s, d, "embeddings")), _EACH)
+_add("knn_request", lambda s, d: vector.search_request(_t(s, d, "embeddings"), {"query_field": "embedding", "vector": Q, "k": 6, "return_fields": ["label"]}, F.col("label").isin(1, 2), "vec_id").select("vec_id", "label", F.round("_score", 6).alias("score")), f"select vec_id, label, round(1 / (1 + {_D}), 6) score from embeddings where label in (1, 2) order by {_D}, vec_id limit 6")
+_add("knn_several", lambda s, d: vector.global_top([vector.knn(_t(s, d, "embeddings").where(f"label % 2 = {i}"), Q, 8) for i in (0, 1)], 8).select("vec_id", F.round("distance", 4).alias("distance")), f"select vec_id, round({_D}, 4) distance from embeddings order by {_D}, vec_id limit 8")
+_add("vector_halves", lambda s, d: _t(s, d, "embeddings").select("vec_id", F.aggregate(F.zip_with("embedding", vector.from_half_bytes(vector.half_bytes(F.col("embedding"))), lambda x, y: F.abs(x - y) <= F.abs(x) / 1000 + 1e-6), F.lit(True), lambda a, x: a & x).alias("near")), "select vec_id, true near from embeddings")
+_add("vectors_of_ids", lambda s, d: _t(s, d, "embeddings").join(_t(s, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").select("vec_id", F.round(vector.l2(F.col("embedding"), Q), 4).alias("distance")), f"select vec_id, round({_D}, 4) distance from embeddings where vec_id in (select doc_id from labels where toxic = 1)")
 
 
 # -- mutations

@@ -187,3 +187,19 @@ def test_phrases_and_search_analyzer(spark):
     assert run({"match_phrase": {"text": "quick BROWN"}}) == ["a"] and run({"match_phrase": {"text": "rown fox's"}}) == []
     assert run({"match": {"text": "fox's"}}) == ["a"] and run({"match": {"text": "QUICK"}}, search_analyzers={"text": "whitespace"}) == []
     assert min_should(5, "9<-3 2<50%") == 2
+
+
+def test_ivfpq_recall(spark):
+    r = registry.QUERIES["knn_ivf_recall"](spark, "/root/testdata/sf0.01").first()
+    assert r.queries >= 10 and r.recall >= 0.9
+
+
+def test_ivfpq_splits_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(vector, "LIST_ROWS", 10)
+    x = np.random.default_rng(1).standard_normal((400, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1000, None), (1001, [1.0])], "vec_id long, embedding array<float>")
+    index = vector.build_ivfpq(df, m=4, nbits=4, lists=4)
+    assert index.table.select("part").distinct().count() > 1
+    q = df.where("vec_id < 20")
+    r = vector.mean_recall(vector.ivfpq_search(index, q, 5, 4), vector.knn_each(df, q, 5)).first()
+    assert r.queries == 20 and r.recall >= 0.9
