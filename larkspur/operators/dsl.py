@@ -288,7 +288,12 @@ class Compiler:
         k = fuzziness(o["fuzziness"], max(len(x.encode()) for x in t)) if "fuzziness" in o else 0
         subs = [self._fuzzy(f, x, k, int(o.get("prefix_length", 0))) if k else self._term(f, x) for x in t]
         need = len(subs) if str(o.get("operator", "or")).lower() == "and" else min_should(len(subs), o["minimum_should_match"]) if "minimum_should_match" in o else 1
-        return self._should(subs, need).boosted(o.get("boost"))
+        node = self._should(subs, need)
+        if self.s.kinds[f] == "text" and not k and len(set(t)) == len(t) > 1:
+            # the same test with the tokens said, and so made, once
+            want = F.array(*[F.lit(x) for x in t])
+            node.pred = F.arrays_overlap(self.s.tokens(f), want) if need <= 1 else F.size(F.array_intersect(want, self.s.tokens(f))) >= need
+        return node.boosted(o.get("boost"))
 
     def _should(self, subs: list[Node], need: int) -> Node:
         if need <= 1:
