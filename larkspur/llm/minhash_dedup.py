@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import as_bytes, batches, components, durable, local_roots, mix, word_hashes
+from larkspur.llm.common import as_bytes, batches, components, discard, durable, local_roots, mix, word_hashes
 
 BANDS, ROWS = 16, 4
 K = BANDS * ROWS
@@ -80,13 +80,14 @@ def may_be_near(a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> np.ndarr
 
 
 def _summaries(docs: DataFrame, width: int) -> DataFrame:
-    schema = "doc_id long, n int, digest binary, sig binary"
+    schema = "doc_id long, text_hash long, n int, digest binary, sig binary"
 
     def run(it):
         for b in it:
             sets = shingle_sets(as_bytes(b.column(1)), width)
             yield pa.record_batch({
                 "doc_id": b.column(0),
+                "text_hash": b.column(2),
                 "n": pa.array([len(s) for s in sets], pa.int32()),
                 "digest": pa.array([_digest(s) for s in sets], pa.binary()),
                 "sig": pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
@@ -167,8 +168,8 @@ def _tile(t: pa.Table, percent: int, least: dict[int, int]) -> pa.Table:
     return pa.table({"a": ids[k], "b": ids[root[k]]})
 
 
-def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-7, hashes: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept; with hashes also text_hash, the text's xxhash64.
 
     Words are runs of characters other than the six ASCII spaces, A-Z lower-cased; a set holds the distinct
     shingles of `width` words (fewer words: the sequence as one; none, or null text: empty, linked with
@@ -184,7 +185,7 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     least = least_matches(percent, miss)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = durable(_summaries(docs, width), "summaries")
+    rows = durable(_summaries(docs.withColumn("text_hash", F.xxhash64("text")), width), "summaries")
     good = rows.where("digest is not null and doc_id is not null")
     repeats = _repeats(good)
     # a class goes by its smallest doc_id, or by its digest where two texts share an id
@@ -231,7 +232,7 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         "hub", "id", F.coalesce("id_label", "id").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
     # members linked to this very hub carry its label, so that they count as settled
     near = near.join(links.withColumn("linked", F.lit(True)), ["hub", "id"], "left").withColumn("side", F.when(F.col("linked") | (F.col("label") == F.col("hub_label")), 0).otherwise(1))
-    near = durable(near.withColumn("label", F.when(F.col("side") == 0, F.col("hub_label")).otherwise(F.col("label"))).select("hub", "id", "label", "side").join(reps.select("id", "n"), "id"), "near")
+    near = near_table = durable(near.withColumn("label", F.when(F.col("side") == 0, F.col("hub_label")).otherwise(F.col("label"))).select("hub", "id", "label", "side").join(reps.select("id", "n"), "id"), "near")
     sizes = near.groupBy("hub").agg(*(F.greatest(F.ceil(F.count(F.when(F.col("side") == s, 1)) / TILE_DOCS), F.ceil(F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)) / TILE_SHINGLES), F.lit(1)).cast("int").alias(f"b{s}") for s in (0, 1)), F.max("side").alias("open"), F.count("*").alias("c"))
     sizes = sizes.where("open = 1 and c > 1").drop("c", "open")
     near = near.join(sizes, "hub").withColumn("block", F.when(F.col("side") == 0, F.pmod(F.xxhash64("id"), F.col("b0")) + F.col("b1")).otherwise(F.pmod(F.xxhash64("id"), F.col("b1"))).cast("int"))
@@ -243,15 +244,35 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     more = durable(tiles.groupBy("hub", "bi", "bj").applyInArrow(lambda t: _tile(t, percent, least), "a long, b long"), "more")
 
     comp = components(links.select(F.col("hub").alias("a"), F.col("id").alias("b")).union(more))
+    for done in (reps, stars, pairs, ids, sets, links, near_table, more):
+        discard(done)
     found = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     if repeats:
         found = found.join(found.groupBy("component").agg(F.min("rep").alias("low")), "component").withColumn("component", F.col("low"))
     found = found.select("digest", F.col("component").alias("c"))
-    return rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(found, "digest", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"),
+    return rows.select("doc_id", "text_hash", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(found, "digest", "left").select(
+        "doc_id", *(["text_hash"] if hashes else []), F.col("n").cast("long").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("c", "doc_id"), F.lit(True)).alias("kept"))
 
 
 def _repeats(rows: DataFrame) -> bool:
     """Whether an id comes more than once."""
     return rows.select("doc_id").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+
+
+def keep_one(df: DataFrame, width: int = 5, percent: int = 80, **how) -> DataFrame:
+    """df (doc_id, text and any columns) with one document of each group of near copies: that of smallest doc_id.
+
+    Rows are told apart by id and text: of rows that repeat both one stays, and of an id that comes with several
+    texts only those go that are copies of a smaller id's. Null ids and texts without words stay.
+    """
+    found = durable(near_texts(df.select("doc_id", "text"), width=width, percent=percent, hashes=True, **how).select("doc_id", "text_hash", "kept"), "judged")
+    twice = found.where("doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count() > 0
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    out = df.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_hash")), "left_anti")
+    if not twice:
+        return out
+    # only rows whose id repeats are shuffled
+    again = found.where("doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
+    match = (F.col("doc_id") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_hash"))
+    return out.join(again, match, "left_anti").unionByName(out.join(again, match, "left_semi").dropDuplicates(["doc_id", "text"]))

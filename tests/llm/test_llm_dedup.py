@@ -119,6 +119,13 @@ def test_near_texts_repeated_and_null_ids(spark):
     assert got == [(0, None, True), (1, 1, True), (1, 1, True), (2, 1, False), (5, 5, True), (5, 5, True)]
 
 
+def test_keep_one_row_of_each_group(spark):
+    t = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, t, "a"), (1, t, "a"), (2, t + " x", "b"), (2, "a clean text of its own that stays here", "c"), (None, t, "d"), (5, None, "e"), (5, None, "e"), (6, "", "f"), (7, t.upper(), "g")]
+    got = minhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, digest string"))
+    assert sorted((r.doc_id or 0, r.digest) for r in got.collect()) == [(0, "d"), (1, "a"), (2, "c"), (5, "e"), (6, "f")]
+
+
 def test_sequential_test_keeps_near_pairs():
     least = minhash_dedup.least_matches(85, 1e-7)
     assert list(least) == [16, 32, 48, 64] and all(a < b for a, b in itertools.pairwise(least.values()))
