@@ -72,9 +72,19 @@ def test_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, path).count() == 0
 
 
-def test_extra_columns(spark, tmp_path):
+def test_extra_columns_and_odd_rows(spark, tmp_path):
     d = cases.documents()
     path = cases.write(tmp_path / "p", documents=d, labels=cases.labels(d))
-    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({c: F.lit(1) for c in ("_p", "_id", "ids", "size", "_gone")})
-    for _, f in corpus_pipeline.STAGES:
-        assert f(spark, docs, path).count() >= 0
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "a text without an id", "en", "s", 20), (3, "another text of id 3, repeated", None, None, 30), (3, "another text of id 3, repeated", None, None, 30)], docs.schema)
+    docs = docs.union(odd).withColumns({c: F.concat(F.lit(c), F.coalesce("doc_id", F.lit(-1)).cast("string")) for c in ("_p", "_id", "decoded", "size", "_gone", "_n_lines", "copy", "text_hash", "extra 0")})
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, docs, path)
+        rows = out.collect()
+        assert out.columns == docs.columns + ["ids", "n_tokens", "round_trip"] * (name == "SentencePiece")
+        assert rows and all(r[c] == f"{c}{-1 if r.doc_id is None else r.doc_id}" for r in rows for c in ("_p", "_id", "decoded", "size", "_gone", "_n_lines", "copy", "text_hash", "extra 0"))
+        repeats = [r.text for r in rows if r.doc_id == 3 and r.text]
+        if name == "MinHash near-dedup":
+            assert repeats == ["another text of id 3, repeated"] and sum(r.doc_id is None for r in rows) == 2
+        if name == "line dedup":
+            assert sorted(r.text for r in rows if r.doc_id is None and r.text) == ["a text without an id"]
