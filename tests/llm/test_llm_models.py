@@ -375,19 +375,35 @@ def test_archive_holds_whole_captures(spark, tmp_path):
     assert {r.record_type for r in got} == {"response"} and len(got) == 4
 
 
-def test_url_rules_nest(spark):
-    rules = [("org", "/", "allow"), ("a.org", "/x", "block"), ("b.a.org", "/x/y", "allow"), ("b.a.org", "/", "block"), ("b.a.org", "/", "allow"), ("com", "/d", "block")]
-    urls = [f"http://{h}{p}" for h in ("org", "a.org", "z.a.org", "b.a.org", "c.b.a.org", "aa.org", "com", "x.com", "org.com", "net", "a.org:80") for p in ("/x/y", "/x", "/q", "", "/d?x#y")]
-    df = spark.createDataFrame(list(enumerate(urls)) + [(None, None), (7, "http://org/")], "page_id long, url string")
+def _rules_by_hand(df, rules, default):
     best: dict = {}
     for h, p, v in rules:
         best[h, p] = max(v, best.get((h, p), ""))
-    for r in url_rules.judge(df, rules, default="block").collect():
-        fit = [(len(h), len(p), h + p, v) for (h, p), v in best.items() if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
-        want = max(fit)[2:] if fit else (None, "block")
+    for r in url_rules.judge(df, rules, default=default).collect():
+        fit = [(len(h), len(p), h + p, v) for (h, p), v in best.items() if r.host and (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        want = max(fit)[2:] if fit else (None, default)
         assert (r.rule, r.verdict) == want, r
 
 
+def test_url_rules_nest(spark):
+    rules = [("org", "/", "allow"), ("a.org", "/x", "block"), ("b.a.org", "/x/y", "allow"), ("b.a.org", "/", "block"), ("b.a.org", "/", "allow"), ("com", "/d", "block"), ("org", "/x", "block"), ("org", "/x/y", "allow"), ("a.org", "", "allow"), ("a.org", "/é\U0010ffff", "block")]
+    urls = [f"http://{h}{p}" for h in ("org", "a.org", "z.a.org", "b.a.org", "c.b.a.org", "aa.org", "com", "x.com", "org.com", "net", "a.org:80", ".org", "a..org", "ORG") for p in ("/x/y", "/x", "/q", "", "/d?x#y", "/x/z", "/é\U0010ffffx")]
+    df = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)] + [(None, None, 1), (7, "http://org/", 1), (7, "http://org/", 1), (8, "http://a.org/" + "x" * 100_000, 1)], "page_id long, url string, key int")
+    _rules_by_hand(df, rules, "block")
+    assert url_rules.judge(df, rules).count() == df.count() and url_rules.judge(df, spark.createDataFrame([], "host string, path string, verdict string")).where("rule is not null").count() == 0
+
+
+def test_url_rules_over_many_ranges(spark, monkeypatch):
+    """Many nested rules, ranges that begin inside them, and one host that has a third of all pages."""
+    monkeypatch.setattr(url_rules, "ROWS", 60)
+    rng = np.random.default_rng(3)
+    path = lambda k: "/" + "".join(rng.choice(list("ab"), k))
+    hosts = ["hot.org", *(f"h{i}.org" for i in range(12)), "org", "x.hot.org"]
+    rules = sorted({(str(rng.choice(hosts)), path(int(rng.integers(0, 5))), str(rng.choice(["allow", "block"]))) for _ in range(200)})
+    rows = [(i, f"http://{'hot.org' if i % 3 == 0 else rng.choice(hosts)}{path(int(rng.integers(0, 9)))}") for i in range(1500)]
+    _rules_by_hand(spark.createDataFrame(rows, "page_id long, url string"), rules, "allow")
+
+
 def test_sentencepiece_equals_the_library(docs):
     import sentencepiece
 
