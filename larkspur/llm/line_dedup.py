@@ -156,9 +156,9 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     1. (key, id) pairs, distinct in each row, are counted by partial aggregation.
     2. All repeated keys are indexed in shards by a minimal perfect hash; the documents' compact probes (no
-       line text) meet their shard's arrays. A shard with more than twice SHARD_KEYS probes, as one has that
-       holds a very common line, is copied, and its probes are dealt to the copies by document: a task holds
-       about SHARD_KEYS probes whatever the lines, and the copies weigh less than the probes.
+       line text) meet their shard's arrays. A shard with more than twice its even part of all probes, as one has
+       that holds a very common line, is copied, and its probes are dealt to the copies by document: a task
+       holds about SHARD_KEYS probes whatever the lines, and the copies weigh less than the probes.
     3. What each document drops comes back as one row of hashes beside its text.
     """
     spark = docs.sparkSession
@@ -170,10 +170,12 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     pairs = durable(d.mapInArrow(_keys, "doc_id long, a long, b long"), "lines")
     counts = pairs.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
-    shards = max(1, -(-pairs.count() // SHARD_KEYS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = pairs.count()
+    shards = max(1, -(-total // SHARD_KEYS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    even = max(1, -(-total // shards))  # probes of a shard, at most about SHARD_KEYS
     shard = F.pmod(F.xxhash64(F.lit(1), "a"), F.lit(shards)).cast("int").alias("shard")
-    many = pairs.groupBy(shard).agg(F.count("*").alias("c")).where(F.col("c") > 2 * SHARD_KEYS)
-    many = durable(many.select("shard", F.ceil(F.col("c") / SHARD_KEYS).cast("int").alias("salts")), "salts")
+    many = pairs.groupBy(shard).agg(F.count("*").alias("c")).where(F.col("c") > 2 * even)
+    many = durable(many.select("shard", F.ceil(F.col("c") / even).cast("int").alias("salts")), "salts")
     index = build_index(counts.select(shard, "a", "b", "first", "n")).join(many, "shard", "left")
     index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).select("salt", *[c.split()[0] for c in INDEX.split(", ")])
     probes = pairs.withColumn("shard", shard).join(many, "shard", "left")
