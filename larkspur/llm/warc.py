@@ -13,7 +13,9 @@ from pyspark.sql.window import Window
 from larkspur.llm.common import discard, durable, shared_dir
 
 END = "\r\n\r\n"
-FILE_BYTES = 64 << 20  # of an archive file before compression, about; its reader holds a whole file
+FILE_BYTES = 64 << 20  # of an archive file before compression, on average; its reader holds a whole file
+LARGE = 8  # pages of more than so many times the mean are written apart, so that no file has more than LARGE * FILE_BYTES
+HEADERS = 2000  # bytes of a page's records beside its payload, about
 
 
 def _uuid(kind: str, page: Column) -> Column:
@@ -42,16 +44,31 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = 0, gzip: bool
     pages whose payloads of at least min_payload bytes are equal, the smallest page_id is the response and
     the others revisit it. A null id revisits too, but nothing refers to it: without an equal payload under
     an id it is a response, and its metadata name no page. Rows that repeat a page_id are one capture each;
-    those whose payloads are equal too are numbered by url in their record ids.
+    those whose payloads are equal too are numbered by url in their record ids. Payloads of any length are
+    written whole; other columns are ignored. An empty table gives no file that holds a record.
+
+    A file's records are counted so that its bytes are FILE_BYTES on average. Pages far above the mean are
+    written by themselves, by their own mean, and so on: each time at most 1 / LARGE of the pages are left.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("url", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")))
     p = p.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("hex", F.sha1(F.col("html").cast("binary")))
     # digests first: the texts are shuffled once, with what they need beside them
     keys = durable(p.select("page_id", "bytes", "hex").distinct().mapInArrow(_base32, "page_id long, bytes long, hex string, sha1 string"), "digests")
-    mean = keys.agg(F.avg("bytes")).first()[0] or 0
-    per_file = 3 * max(1, min(20_000, int(FILE_BYTES / (mean + 2000))))  # three records a page
     first = keys.where(F.col("bytes") >= min_payload).groupBy("hex", "bytes").agg(F.min("page_id").alias("first"))
+    low, options = -1, {"lineSep": END, "compression": "gzip" if gzip else "none"}
+    while low is not None:
+        mean, most = p.where(F.col("bytes") > low).agg(F.avg("bytes"), F.max("bytes")).first()
+        high = None if mean is None or most + HEADERS <= LARGE * (mean + HEADERS) else int(LARGE * (mean + HEADERS)) - HEADERS
+        part = p.where((F.col("bytes") > low) & (F.col("bytes") <= high)) if high is not None else p.where(F.col("bytes") > low)
+        pages_a_file = max(1, min(20_000, int(FILE_BYTES / ((mean or 0) + HEADERS))))
+        _records(part, keys, first).write.mode("append").options(**options).option("maxRecordsPerFile", 3 * pages_a_file).text(path)  # three records a page
+        low = high
+    discard(keys)
+
+
+def _records(p: DataFrame, keys: DataFrame, first: DataFrame) -> DataFrame:
+    """The records of pages (page_id, url, html, bytes, hex): request, response or revisit, metadata of each in turn."""
     key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("key")
     p = p.select("*", key).join(keys.join(first, ["hex", "bytes"], "left").select(key, "hex", "sha1", "first"), ["key", "hex"])
     p = p.withColumn("n", F.row_number().over(Window.partitionBy("key", "hex").orderBy("url")))
@@ -69,9 +86,7 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = 0, gzip: bool
     again = _record([("WARC-Type", F.lit("revisit")), ("WARC-Record-ID", id_), *base, ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", ref), ("WARC-Payload-Digest", digest), ("Content-Type", F.lit("application/http;msgtype=response"))], http)
     request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", _uuid("request", page)), ("WARC-Concurrent-To", id_), *base, ("Content-Type", F.lit("application/http;msgtype=request"))], ask)
     meta = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _uuid("metadata", page)), ("WARC-Concurrent-To", id_), *base, ("Content-Type", F.lit("application/warc-fields"))], F.coalesce(F.concat(F.lit("pageId: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("")))
-    records = p.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), meta)).alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip" if gzip else "none").option("maxRecordsPerFile", per_file).text(path)
-    discard(keys)
+    return p.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), meta)).alias("value"))
 
 
 def parse_records(data: bytes):

@@ -385,6 +385,18 @@ def _rules_by_hand(df, rules, default):
         assert (r.rule, r.verdict) == want, r
 
 
+def test_archive_files_are_bounded(spark, tmp_path, monkeypatch):
+    """A run of pages far above the mean does not make a file far above its size."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 50_000)
+    rows = [(i, f"http://a/{i}", "x" * (200_000 if i == 7 else 40_000 if 300 <= i < 320 else 10 + i)) for i in range(2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archive(pages, str(tmp_path / "w"), gzip=False)
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert max(sizes) < max(warc.LARGE * warc.FILE_BYTES, 250_000) and len(sizes) > 20
+    got = warc.archive_round_trip(spark, pages).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == [(i, len(h)) for i, _, h in rows]
+
+
 def test_url_rules_nest(spark):
     rules = [("org", "/", "allow"), ("a.org", "/x", "block"), ("b.a.org", "/x/y", "allow"), ("b.a.org", "/", "block"), ("b.a.org", "/", "allow"), ("com", "/d", "block"), ("org", "/x", "block"), ("org", "/x/y", "allow"), ("a.org", "", "allow"), ("a.org", "/é\U0010ffff", "block")]
     urls = [f"http://{h}{p}" for h in ("org", "a.org", "z.a.org", "b.a.org", "c.b.a.org", "aa.org", "com", "x.com", "org.com", "net", "a.org:80", ".org", "a..org", "ORG") for p in ("/x/y", "/x", "/q", "", "/d?x#y", "/x/z", "/é\U0010ffffx")]
