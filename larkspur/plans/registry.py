@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -12,7 +14,8 @@ from larkspur.functions import analysis
 from larkspur.operators import aggs, search, vector
 from larkspur.operators.dsl import Compiler, Schema
 from larkspur.plans import golden
-from larkspur.sources import ingest
+from larkspur.sources import catalog, ingest, schema
+from larkspur.streaming import log
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -255,3 +258,63 @@ _add("delete_one", lambda s, d: ingest.delete_one(_t(s, d, "nation").select("n_n
 _add("bulk_records", lambda s, d: ingest.records(_t(s, d, "nation").select(F.col("n_nationkey").alias("_id"), "n_name")), "select 'upsert' op, n_nationkey::varchar _id, to_json({n_name: n_name})::varchar doc from nation")
 _add("bulk_response", lambda s, d: ingest.bulk_response(_log(s, d).where("seq < 500"), "log", _t(s, d, "customer").select(F.col("c_custkey").alias("_id"))), f"with l as ({_LOG}) select seq, case when op = 'delete' then 'delete' else 'index' end as action, 'log' _index, _id, case when op = 'delete' then 200 else 201 end status, case when op = 'delete' then 'deleted' when _id in (select c_custkey::varchar from customer) then 'updated' else 'created' end result, 1::bigint _version from l where seq < 500")
 _add("deletes_first", lambda s, d: ingest.compact(ingest.deletes_first(_log(s, d))).where("op = 'delete'").select("_id"), f"with l as ({_LOG}) select _id from l group by _id having count(*) filter (op <> 'delete') = 0")
+
+
+# -- catalogue, documents and streams
+def _catalogue(s, d):
+    c = catalog.Catalog()
+    c.put_template("low", ["log-*"], {"mappings": {"properties": {"level": {"type": "text"}}}}, 1)
+    c.put_template("high", ["log-*", "web-*"], {"mappings": {"properties": {"level": {"type": "keyword"}, "msg": {"type": "text", "fields": {"raw": {"type": "keyword"}}}}}, "aliases": {"logs": {}}}, 2)
+    for n in ("log-1", "log-2", "other"):
+        c.create(n)
+    c.put_mapping("log-1", {"user": {"properties": {"age": {"type": "long"}}}})
+    c.put_settings("other", {"analysis": {"analyzer": {"mine": {"tokenizer": "letter"}}}})
+    c.alias([{"add": {"index": "oth*", "alias": "rest"}}, {"add": {"index": "log-2", "alias": "rest"}}, {"remove": {"index": "log-2", "alias": "rest"}}])
+    rows = [("mapping", json.dumps(c.render_mapping("log-1"), sort_keys=True)), ("settings", json.dumps(c.get("other")["settings"], sort_keys=True)), ("aliases", ",".join(c.get("other")["aliases"] + c.get("log-1")["aliases"])), ("resolved", ",".join(search.resolve(sorted(c.indexes), "logs", c.aliases))), ("suggested", ",".join(c.suggest("LOG"))), ("listed", ",".join(c.listing("", 0, 2, True, "doc_num", {"log-1": {"doc_num": 5}, "log-2": {"doc_num": 9}}))), ("exists", str(c.exists("rest") and not c.exists("none")))]
+    rows += [("deleted", ",".join(c.delete("log-*"))), ("left", ",".join(c.listing()))]
+    return s.createDataFrame(rows, "step string, value string")
+
+
+_add("catalogue_steps", _catalogue, """select * from (values
+    ('mapping', '{"log-1": {"mappings": {"properties": {"level": {"type": "keyword"}, "msg": {"fields": {"raw": {"type": "keyword"}}, "type": "text"}, "user": {"properties": {"age": {"type": "numeric"}}}}}}}'),
+    ('settings', '{"analysis": {"analyzer": {"mine": {"tokenizer": "letter"}}}}'), ('aliases', 'rest,logs'), ('resolved', 'log-1,log-2'), ('suggested', 'log-1,log-2'), ('listed', 'log-2,log-1'),
+    ('exists', 'True'), ('deleted', 'log-1,log-2'), ('left', 'other')) t(step, value)""")
+
+
+def _documents(s, d):
+    flat = schema.flatten({"a": {"b": 1, "c": [1, 2]}, "d": [{"x": 1}, {"x": 2}]})
+    rows = [("flatten", json.dumps(flat)), ("unflatten", json.dumps(schema.unflatten({"a.b": 1, "a.c.d": 2}))), ("infer", ",".join(str(schema.infer(v)) for v in ("x", "2020-01-01T00:00:00+00:00", 1.5, True, ["a", 2], None))), ("coerce", ",".join(map(str, [schema.coerce("t", "bool"), schema.coerce("12.5", "numeric"), schema.coerce(7.0, "keyword"), schema.coerce("", "text"), schema.coerce([1, 0], "bool")])))]
+    rows += [("time", ",".join(schema.parse_time(*x).isoformat() for x in ((1577836800000,), ("2020-01-01T00:00:00+02:00",), ("01.02.2021", "02.01.2006"), (1577836800,), ("2020-01-01 10:00:00", None, "+03:00")))), ("duration", ",".join(str(schema.parse_duration(x).total_seconds()) for x in ("1d2h", "1.5s", "100ms", "30m"))), ("format", ",".join(schema.format_duration(schema.parse_duration(x)) for x in ("90s", "2h", "48h"))), ("base62", f"{schema.base62(123456789)},{schema.from_base62(schema.base62(123456789))}")]
+    return s.createDataFrame(rows, "step string, value string")
+
+
+_add("document_steps", _documents, """select * from (values
+    ('flatten', '{"a.b": 1, "a.c": [1, 2], "d.0.x": 1, "d.1.x": 2}'), ('unflatten', '{"a": {"b": 1, "c": {"d": 2}}}'), ('infer', 'text,date,numeric,bool,numeric,None'), ('coerce', 'True,12.5,7,None,[True, False]'),
+    ('time', '2020-01-01T00:00:00+00:00,2020-01-01T00:00:00+02:00,2021-02-01T00:00:00+00:00,2020-01-01T00:00:00+00:00,2020-01-01T10:00:00+03:00'),
+    ('duration', '93600.0,1.5,0.1,1800.0'), ('format', '90s,2h,2d'), ('base62', '8M0kX,123456789')) t(step, value)""")
+
+
+def _stream(s, d):
+    """Counts of closed hours, from a stream of the events file that ends when all is read."""
+    base = f"{s.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='stream-')}/stream-{uuid.uuid4().hex}"
+    kinds = _t(s, d, "events").schema
+    log.window_counts(s, d, kinds, "ts", "event_type", "6 hours", "12 hours", f"{base}/progress", f"{base}/counts", "events.parquet")
+    return s.read.schema("start timestamp, event_type string, n long").parquet(f"{base}/counts").select(F.unix_micros("start").alias("start"), "event_type", "n")
+
+
+_add("stream_window_counts", _stream, "with w as (select epoch_us(ts) // 21600000000 * 21600000000 as start, event_type, count(*) n from events group by 1, 2) select * from w where start + 21600000000 <= (select max(epoch_us(ts)) - 43200000000 from events)")
+
+
+def _replayed(s, d):
+    """A versioned table after a log has been streamed into it in several files."""
+    base = f"{s.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='log-')}/log-{uuid.uuid4().hex}"
+    t = ingest.Table(s, f"{base}/table")
+    t.write(_t(s, d, "customer").select(F.col("c_custkey").cast("string").alias("_id"), F.col("c_acctbal").alias("value")))
+    part = _log(s, d).withColumn("op", F.when(F.col("op") == "insert", "update").otherwise(F.col("op")))  # an insert says that there was no such id
+    for i in range(2):  # a file at a time, in the log's order
+        part.where(F.col("seq") < part.agg(F.max("seq")).first()[0] // 2 if i == 0 else F.col("seq") >= part.agg(F.max("seq")).first()[0] // 2).coalesce(1).write.mode("append").parquet(f"{base}/log")
+        log.consume(s, f"{base}/log", part.schema, t, f"{base}/progress")
+    return t.refresh()
+
+
+_add("stream_replay", _replayed, f"with l as ({_LOG}), c as (select _id, arg_max(op, seq) op, arg_max(value, seq) v from l group by _id) select c_custkey::varchar _id, c_acctbal as value from customer where c_custkey::varchar not in (select _id from c) union all select _id, v from c where op <> 'delete'")

@@ -22,8 +22,8 @@ def consume(spark: SparkSession, log_path: str, schema, table: Table, checkpoint
     s.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def window_counts(spark: SparkSession, path: str, schema, ts: str, key: str, width: str, late: str, checkpoint: str, out: str) -> None:
-    """Counts by tumbling window and key of a file stream, appended once a window is closed."""
-    s = spark.readStream.schema(schema).parquet(path).withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late)
+def window_counts(spark: SparkSession, path: str, schema, ts: str, key: str, width: str, late: str, checkpoint: str, out: str, only: str = "*") -> None:
+    """Counts by tumbling window and key of a file stream, appended once a window is closed. only: names of files that count."""
+    s = spark.readStream.schema(schema).option("pathGlobFilter", only).parquet(path).withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late)
     c = s.groupBy(F.window("_t", width), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
     c.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
