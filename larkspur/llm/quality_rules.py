@@ -85,8 +85,10 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     """doc_id, the statistics, base_failed, llr, kept of every document.
 
     llr is the mean log ratio over a document's n-grams (0 without any). base_failed: fewer than 20 words,
-    or over 30 % of words in repeated windows. kept: not base_failed and llr >= threshold. Null text counts
-    as empty; null ids and repeated rows are judged like others. An empty table gives no rows.
+    or over 30 % of words in repeated windows. kept: not base_failed and llr >= threshold, so a tie stays. Null
+    text counts as empty; null ids and repeated rows are judged like others, and count in the corpus as often as
+    they come. Texts of any length are counted whole. Other columns, whatever their names, are ignored. An
+    empty table gives no rows.
     """
     ratios = log_ratios(docs, trusted, id_col, text_col)
     d = with_statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))

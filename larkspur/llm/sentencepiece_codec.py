@@ -301,7 +301,12 @@ def tokenized(docs: DataFrame, model: str | None = None, text_col: str = "text",
 
 
 def digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document. An empty table gives no rows."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document.
+
+    Null text is encoded as empty; null ids and repeated rows give a row each. Texts of any length are encoded
+    whole. Of merges of equal rank the leftmost goes first, as in the library. Other columns, whatever their
+    names, are ignored. An empty table gives no rows.
+    """
     model = model or default_model()
 
     def run(it):

@@ -176,6 +176,18 @@ def test_rules_against_brute_force(spark, docs):
     assert {r.llr for r in quality_rules.judge(docs, trusted.limit(0)).collect()} == {0.0}
 
 
+def test_rules_on_odd_rows(spark, docs):
+    trusted = spark.createDataFrame([(3,), (3,), (None,)], "doc_id long")
+    long = " ".join(f"w{i % 5000}" for i in range(200_000))
+    odd = spark.createDataFrame([(None, "some words " * 15, None, None, None), (3, "some words " * 15, None, None, None), (3, "some words " * 15, None, None, None), (9_999, long, None, None, None)], DOCS)
+    every = docs.union(odd).withColumns({c: F.lit(1) for c in ("_h", "_2", "_w", "_t", "ratios", "g", "llr", "n_words")})
+    got = quality_rules.judge(every, trusted).collect()
+    assert len(got) == every.count()
+    same = [(r.n_words, r.n_repeat_words, r.base_failed, r.llr) for r in got if r.n_words == 30 and r.word_chars == 135 and r.doc_id in (None, 3)]
+    assert len(same) == 3 and len(set(same)) == 1 and same[0][1:3] == (30, True)
+    assert [(r.n_words, r.n_repeat_words, r.base_failed) for r in got if r.doc_id == 9_999] == [(200_000, 200_000, True)]
+
+
 def test_language_model_base(spark, docs):
     rows = docs.select("doc_id", "text").collect()
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
@@ -416,7 +428,7 @@ def test_url_rules_over_many_ranges(spark, monkeypatch):
     _rules_by_hand(spark.createDataFrame(rows, "page_id long, url string"), rules, "allow")
 
 
-def test_sentencepiece_equals_the_library(docs):
+def test_sentencepiece_equals_the_library(spark, docs):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
@@ -429,6 +441,10 @@ def test_sentencepiece_equals_the_library(docs):
     out = sentencepiece_codec.tokenized(docs.withColumn("ids", F.lit("clash")), decoded_col="decoded").where("doc_id = 3").first()
     assert out.ids == [sp.bos_id(), sp.eos_id()] and out.decoded == ""
     assert sentencepiece_codec.digests(docs.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "a b"), (7, "a b"), (7, "a b"), (8, "ab " * 100_000)], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("n_tokens", "ids", "decoded")})
+    rows = sentencepiece_codec.digests(odd).collect()
+    assert len(rows) == 4 and len({(r.n_tokens, r.ids_sha256) for r in rows if r.doc_id != 8}) == 1
+    assert [r.n_tokens for r in rows if r.doc_id == 8] == [len(sp.encode("ab " * 100_000)) + 2]
 
 
 def test_sentencepiece_random_strings():
