@@ -24,6 +24,7 @@ LABEL_WEIGHT, PSEUDO_WEIGHT = 8, 1  # integers, so that sums don't depend on the
 SMOOTH = 4.0  # observations that every bucket is given at the ratio of its whole feature
 CELLS = 256  # calibration bins of each view's score
 TEXT_RANGE, META_RANGE = 2.0, 24.0  # scores are binned within plus and minus these
+SLICE = 1 << 19  # bytes of texts whose features are made at a time
 BROADCAST_LABELS = 2_000_000  # labels sent to all tasks at most; beyond, labels and documents meet by shuffle, once
 
 #: Buckets of the metadata view's features: two hashes of the whole source and language, then bins of logarithms of
@@ -59,7 +60,7 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def text_sums(texts: list[bytes], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's sum of trigram weights, and its number of trigrams."""
     sums, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
-    for i, j in batches(texts):
+    for i, j in batches(texts, SLICE):
         h, first, spans = trigrams(texts[i:j])
         v = w[h]
         v[spans] = 0
@@ -77,7 +78,7 @@ def text_scores(texts: list[bytes], w: np.ndarray) -> np.ndarray:
 def text_counts(texts: list[bytes]) -> np.ndarray:
     """Trigrams of all texts, counted by bucket."""
     out = np.zeros(BUCKETS, np.int64)
-    for i, j in batches(texts):
+    for i, j in batches(texts, SLICE):
         h, _, spans = trigrams(texts[i:j])
         out += np.bincount(h, minlength=BUCKETS) - np.bincount(h[spans], minlength=BUCKETS)
     return out
@@ -100,7 +101,7 @@ def metadata(texts: list[bytes], source: list, lang: list, n_chars: list) -> np.
     given = np.array([-1 if v is None else v for v in n_chars], np.float64)
     out[:, 4] = np.where(given < 0, SIZES - 1, step(given))
     out[:, 5], out[:, 6] = step(lines), step(size / lines)
-    for i, j in batches(texts):
+    for i, j in batches(texts, SLICE):
         kind = _KIND[np.frombuffer(b"".join(texts[i:j]), np.uint8)]
         c = np.bincount(np.repeat(np.arange(j - i), size[i:j]) * KINDS + kind, minlength=(j - i) * KINDS).reshape(-1, KINDS)
         share = c / np.maximum(1, size[i:j, None])
