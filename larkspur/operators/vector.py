@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import isqrt
 
 import numpy as np
@@ -280,3 +280,46 @@ def from_half_bytes(v: Column) -> Column:
         return s.map(lambda x: None if x is None else np.frombuffer(x, "<f2").astype(np.float32))
 
     return run(v)
+
+
+# -- a sealed index and the log of changes after it --------------------------------------------------------------
+
+SEAL = 10_000  # ids in a log from which it is worth a new index
+
+
+def last_changes(log: DataFrame, id_col: str = "vec_id") -> DataFrame:
+    """The last change of every id of a log (seq, op, id, vector): one aggregation, no sort."""
+    data = [c for c in log.columns if c != id_col]
+    g = log.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max_by(F.struct(*data), "seq").alias("_l"))
+    return g.select(id_col, *[F.col(f"_l.{c}").alias(c) for c in data])
+
+
+def current(base: DataFrame, log: DataFrame, vec: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """The vectors (id, vector) after a log: base's rows that it does not name, and those it adds or replaces."""
+    last = last_changes(log, id_col)
+    kept = base.select(id_col, vec).join(last.select(id_col), id_col, "left_anti")
+    return kept.unionByName(last.where("op != 'delete'").select(id_col, vec))
+
+
+def logged_search(index: IvfPq, log: DataFrame, queries: DataFrame, k: int = 10, nprobe: int = 16, vec: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """(query, id, distance): each query's k nearest of an index and the log after it.
+
+    What the log names leaves the index before the search, so that stale vectors take no neighbour's place; its own
+    vectors are compared exactly.
+    """
+    last = last_changes(log, id_col)
+    sealed = replace(index, table=index.table.join(last.select(F.col(id_col).alias("id")), "id", "left_anti").select(index.table.columns))
+    old = ivfpq_search(sealed, queries, k, nprobe, vec, id_col).select("query", "id", "distance")
+    found = old.unionByName(knn_each(last.where("op != 'delete'").select(id_col, vec), queries, k, vec, id_col))
+    w = Window.partitionBy("query").orderBy("distance", "id")
+    return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def needs_seal(log: DataFrame, id_col: str = "vec_id", most: int = SEAL) -> bool:
+    """Whether a log names at least `most` ids."""
+    return log.select(id_col).distinct().limit(most).count() >= most
+
+
+def seal(base: DataFrame, log: DataFrame, vec: str = "embedding", id_col: str = "vec_id", **how) -> IvfPq:
+    """A new index over base after the log."""
+    return build_ivfpq(current(base, log, vec, id_col), vec, id_col, **how)

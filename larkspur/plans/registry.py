@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from larkspur.functions import analysis
-from larkspur.operators import aggs, search, vector
+from larkspur.operators import aggs, postings, search, vector
 from larkspur.operators.dsl import Compiler, Schema
 from larkspur.plans import golden
 from larkspur.sources import catalog, ingest, schema
@@ -95,7 +95,25 @@ def _bm25(s, d):
     return search.search(df, {"query": {"match": {"text": "with thon"}}, "_source": False}, Schema.of(df.schema, ("text",), default="regexp"), id_col="doc_id").select("doc_id", F.round("_score", 6).alias("score"))
 
 
+def _postings(s, d):
+    df = _t(s, d, "documents")
+    p = postings.build(df, analysis.tokens(F.col("text"), "regexp"), "doc_id")
+    return postings.top(p, {"with": 1, "thon": 1}).select(F.col("id").alias("doc_id"), F.round("_score", 6).alias("score"))
+
+
+def _postings_batch(s, d):
+    df = _t(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("with "), "text")).otherwise(F.col("text")).alias("text"))
+    words = analysis.tokens(F.col("text"), "regexp")
+    before = postings.build(_t(s, d, "documents").where("doc_id % 3 != 1"), words, "doc_id")
+    after = postings.apply(before, postings.build(df.where("doc_id % 5 = 0 and doc_id % 7 != 0"), words, "doc_id"), df.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id")))
+    return postings.bm25(after, {"with": 1, "thon": 1}).select(F.col("id").alias("doc_id"), F.round("_score", 6).alias("score"))
+
+
+_BATCH = "(select doc_id, case when doc_id % 5 = 0 then 'with ' || text else text end as text from documents where doc_id % 7 != 0 and (doc_id % 3 != 1 or doc_id % 5 = 0))"
+
 _add("bm25_topk", _bm25, _BM25)
+_add("bm25_postings", _postings, _BM25)
+_add("bm25_postings_batch", _postings_batch, _BM25.replace("from documents", f"from {_BATCH}").replace("order by score desc, doc_id limit 10", "where true"))
 _add("sort_paging", lambda s, d: search.search(_t(s, d, "orders"), {"query": {"term": {"o_orderstatus": "F"}}, "sort": ["-o_totalprice", {"o_orderdate": "asc"}], "from": 20, "size": 15, "_source": ["o_total*", "o_custkey"]}, id_col="o_orderkey").drop("_score"), "select o_orderkey, o_custkey, o_totalprice from orders where o_orderstatus = 'F' order by o_totalprice desc, o_orderdate, o_orderkey limit 15 offset 20")
 _add("highlight", lambda s, d: _t(s, d, "documents").select("doc_id", search.highlight(F.col("text"), ["with", "thon"]).alias("marked")), "select doc_id, regexp_replace(text, '(?i)\\b(thon|with)\\b', '<mark>\\1</mark>', 'g') marked from documents")
 _add("total_hits", lambda s, d: search.count(_t(s, d, "documents"), {"match": {"text": "with"}}, Schema.of(_t(s, d, "documents").schema, ("text",), default="regexp")), f"select count(*) total from documents where {has('with')}")
@@ -239,6 +257,17 @@ _add("vector_halves", lambda s, d: _t(s, d, "embeddings").select("vec_id", F.agg
 _add("vectors_of_ids", lambda s, d: _t(s, d, "embeddings").join(_t(s, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").select("vec_id", F.round(vector.l2(F.col("embedding"), Q), 4).alias("distance")), f"select vec_id, round({_D}, 4) distance from embeddings where vec_id in (select doc_id from labels where toxic = 1)")
 
 
+def _vector_log(s, d):
+    e = _t(s, d, "embeddings")
+    put = e.where("vec_id % 10 = 0").select(F.lit(1).alias("seq"), F.lit("upsert").alias("op"), "vec_id", F.transform("embedding", lambda x: x * F.lit(0.5).cast("float")).alias("embedding"))
+    gone = e.where("vec_id % 14 = 0").select(F.lit(2).alias("seq"), F.lit("delete").alias("op"), "vec_id", F.lit(None).cast("array<float>").alias("embedding"))
+    return e.where("vec_id % 10 != 0 or vec_id % 20 = 0"), put.unionByName(gone)
+
+
+_LOGGED = "(select vec_id, case when vec_id % 10 = 0 then list_transform(embedding, lambda x: (x * 0.5)::float) else embedding end embedding from embeddings where vec_id % 14 != 0)"
+_add("knn_logged", lambda s, d: vector.knn(vector.current(*_vector_log(s, d)), Q, 10).select("vec_id", F.round("distance", 4).alias("distance")), f"select vec_id, round({_D}, 4) distance from {_LOGGED} order by {_D}, vec_id limit 10")
+
+
 # -- mutations
 def _log(s, d):
     e = _t(s, d, "events")

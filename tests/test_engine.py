@@ -203,3 +203,34 @@ def test_ivfpq_splits_long_lists(spark, monkeypatch):
     q = df.where("vec_id < 20")
     r = vector.mean_recall(vector.ivfpq_search(index, q, 5, 4), vector.knn_each(df, q, 5)).first()
     assert r.queries == 20 and r.recall >= 0.9
+
+
+def test_postings_read_only_a_requests_terms(spark, tmp_path):
+    from larkspur.operators import postings
+
+    rows = [(1, "a a b"), (2, "b c"), (3, None), (4, ""), (None, "a"), (5, "a " * 500 + "z")]
+    df = spark.createDataFrame(rows, "_id long, text string")
+    p = postings.build(df, analysis.tokens(F.col("text")), "_id").save(str(tmp_path / "p"))
+    assert {(r.term, r.id, r.tf, r.size) for r in p.table.collect()} == {("a", 1, 2, 3), ("b", 1, 1, 3), ("b", 2, 1, 2), ("c", 2, 1, 2), ("a", 5, 500, 501), ("z", 5, 1, 501)}
+    assert "In(term, [a,b])" in _plan(postings.bm25(p, {"a": 1, "b": 1}))
+    assert [r.id for r in postings.top(p, {"a": 1, "b": 1}, least=2).collect()] == [1]
+    assert postings.top(p, {"nowhere": 1}).count() == 0
+    schema = Schema.of(df.schema, ("text",), default="regexp")
+    want = search.search(df.where("_id is not null"), {"query": {"match": {"text": "a c"}}, "_source": False}, schema).collect()
+    assert [(r.id, round(r._score, 9)) for r in postings.top(p, {"a": 1, "c": 1}).collect()] == [(r._id, round(r._score, 9)) for r in want]
+    gone = spark.createDataFrame([(5,)], "id long")
+    after = postings.apply(p, postings.build(spark.createDataFrame([(1, "q")], "_id long, text string"), analysis.tokens(F.col("text"))), gone)
+    assert {(r.term, r.id) for r in after.table.collect()} == {("q", 1), ("b", 2), ("c", 2)} and after.docs.count() == 2
+
+
+def test_vector_log(spark):
+    base = spark.createDataFrame([(i, [float(i % 20), float(i // 20)]) for i in range(200)], "vec_id long, embedding array<double>")
+    log = spark.createDataFrame([(1, "upsert", 7, [99.0, 0.0]), (2, "upsert", 300, [1.0, 1.0]), (3, "delete", 21, None), (4, "delete", 7, None), (5, "upsert", 7, [0.5, 0.5])], "seq long, op string, vec_id long, embedding array<double>")
+    now = {r.vec_id: r.embedding for r in vector.current(base, log).collect()}
+    assert len(now) == 200 and 21 not in now and now[7] == [0.5, 0.5] and now[300] == [1.0, 1.0]
+    queries = spark.createDataFrame([(1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    found = vector.logged_search(vector.build_ivfpq(base, m=1, lists=4), log, queries, 4, nprobe=4).orderBy("distance", "id").collect()
+    want = sorted(((a - 1) ** 2 + (b - 1) ** 2, i) for i, (a, b) in now.items())[:4]
+    assert [(r.distance, r.id) for r in found] == want
+    assert vector.needs_seal(log, most=3) and not vector.needs_seal(log, most=4)
+    assert vector.seal(base, log, m=1, lists=4).table.count() == 200
