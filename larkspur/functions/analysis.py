@@ -27,6 +27,36 @@ STOP_EN = frozenset(
     into through during before after above below to from up down in out on off over under again further then once here there
     when where why how all any both each few more most other some such no nor not only own same so than too very""".split()
 )
+# The Snowball project's stop words of Danish, Swedish, Norwegian and Dutch.
+STOP_DA = frozenset(
+    """og i jeg det at en den til er som på de med han af for ikke der var mig sig men et har om vi min havde ham hun nu over da
+    fra du ud sin dem os op man hans hvor eller hvad skal selv her alle vil blev kunne ind når være dog noget ville jo deres
+    efter ned skulle denne end dette mit også under have dig anden hende mine alt meget sit sine vor mod disse hvis din nogle
+    hos blive mange ad bliver hendes været thi jer sådan""".split()
+)
+STOP_SV = frozenset(
+    """och det att i en jag hon som han på den med var sig för så till är men ett om hade de av icke mig du henne då sin nu har
+    inte hans honom skulle hennes där min man ej vid kunde något från ut när efter upp vi dem vara vad över än dig kan sina
+    här ha mot alla under någon eller allt mycket sedan ju denna själv detta åt utan varit hur ingen mitt ni bli blev oss din
+    dessa några deras blir mina samma vilken er sådan vår blivit dess inom mellan sådant varför varje vilka ditt vem vilket
+    sitta sådana vart dina vars vårt våra ert era vilkas""".split()
+)
+STOP_NO = frozenset(
+    """og i jeg det at en et den til er som på de med han av ikke ikkje der så var meg seg men ett har om vi min mitt ha hadde
+    hun nå over da ved fra du ut sin dem oss opp man kan hans hvor eller hva skal selv sjøl her alle vil bli ble blei blitt
+    kunne inn når være kom noen noe ville dere som deres kun ja etter ned skulle denne for deg si sine sitt mot å meget
+    hvorfor dette disse uten hvordan ingen din ditt blir samme hvilken hvilke sånn inni mellom vår hver hvem vors hvis både
+    bare enn fordi før mange også slik vært være båe begge siden dykk dykkar dei deira deires deim di då eg ein eit eitt elles
+    honom hjå ho hoe henne hennar hennes hoss hossen ikkje ingi inkje korleis korso kva kvar kvarhelst kven kvi kvifor me
+    medan mi mine mykje no nokon noka nokor noko nokre si sia sidan so somt somme um upp vere vore verte vort varte
+    vart""".split()
+)
+STOP_NL = frozenset(
+    """de en van ik te dat die in een hij het niet zijn is was op aan met als voor had er maar om hem dan zou of wat mijn men dit
+    zo door over ze zich bij ook tot je mij uit der daar haar naar heb hoe heeft hebben deze u want nog zal me zij nu ge geen
+    omdat iets worden toch al waren veel meer doen toen moet ben zonder kan hun dus alles onder ja eens hier wie werd altijd
+    doch wordt wezen kunnen ons zelf tegen na reeds wil kon niets uw iemand geweest andere""".split()
+)
 ELISION_FR = frozenset("l m t qu n s j d c jusqu quoiqu lorsqu puisqu".split())
 _CLASSES = {
     "letter": r"\p{L}", "digit": r"\p{Nd}", "number": r"\p{N}", "space": r"\p{Z}\s", "whitespace": r"\p{Z}\s", "punct": r"\p{P}",
@@ -236,11 +266,19 @@ def porter(w: str) -> str:
     return w
 
 
+# The names that languages have beside their codes.
+LANGUAGES = {
+    "arabic": "ar", "sorani": "ckb", "danish": "da", "german": "de", "english": "en", "spanish": "es", "persian": "fa", "finnish": "fi", "french": "fr", "hindi": "hi",
+    "hungarian": "hu", "italian": "it", "dutch": "nl", "norwegian": "no", "portuguese": "pt", "romanian": "ro", "russian": "ru", "swedish": "sv", "turkish": "tr",
+}
+_STOP = {"en": STOP_EN, "da": STOP_DA, "sv": STOP_SV, "no": STOP_NO, "nl": STOP_NL, "cjk": frozenset(), "none": frozenset()}
+
+
 def _stop_words(v) -> frozenset[str]:
     out: set[str] = set()
     for x in [v] if isinstance(v, str) else v or ["_english_"]:
-        if x in ("_english_", "_en_"):
-            out |= STOP_EN
+        if x.strip("_") != x and (known := _STOP.get(LANGUAGES.get(x.strip("_"), x.strip("_")))) is not None:
+            out |= known
         elif re.fullmatch("_[a-z]+_", x):
             raise ValueError(f"no stop words of {x} are known: list them")
         else:
@@ -358,6 +396,56 @@ def light_stem(lang: str, w: str) -> str:
     return w[:-2] if w[-1] in "ao" and w[-2] == "i" else w[:-1] if w[-1] in "ao" else w
 
 
+# The endings that the Snowball stemmers of the Nordic languages drop, step by step.
+_NORDIC = {
+    "da": (
+        "hed ethed ered e erede ende erende ene erne ere en heden eren er heder erer heds es endes erendes enes ernes eres ens hedens erens ers ets erets et eret".split(),
+        "abcdfghjklmnoprtvyzå", "gd dt gt kt".split(), "ig lig elig els".split(), {"løst": "løs"}),
+    "sv": (
+        "a arna erna heterna orna ad e ade ande arne are aste en anden aren heten ern ar er heter or as arnas ernas ornas es ades andes ens arens hetens erns at andet het ast".split(),
+        "bcdfghjklmnoprtvy", "dd gd nn dt gt kt tt".split(), "lig ig els".split(), {"löst": "lös", "fullt": "full"}),
+    "no": (
+        "a e ede ande ende ane ene hetene en heten ar er heter as es edes endes enes hetenes ens hetens ers ets et het ast".split(),
+        "bcdfghjlmnoprtvyz", "dt vt".split(), "leg eleg ig eig lig elig els lov elov slov hetslov".split(), {}),
+}
+
+
+def nordic_stem(lang: str, w: str) -> str:
+    """Snowball's stemmers of Danish, Swedish and Norwegian: endings of the part behind the first vowel and consonant."""
+    drop, before_s, pairs, kinds, swaps = _NORDIC[lang]
+    vowels = "aeiouyæåø" if lang != "sv" else "aeiouyäåö"
+    m = re.search(f"[{vowels}][^{vowels}]", w)
+    if not m or len(w) < 3:
+        return w
+    start = max(3, m.end())
+
+    def ending(ends) -> str:
+        return max((e for e in ends if w.endswith(e) and len(w) - len(e) >= start), key=len, default="")
+
+    extra = ["erte", "ert"] if lang == "no" else []
+    e = ending([*drop, *extra, "s"])
+    if e in extra and e:
+        w = w[: len(w) - len(e)] + "er"
+    elif e == "s":
+        c, behind = w[-2], w[-3:-2]
+        if c in before_s or lang == "no" and c == "k" and behind and behind not in vowels:
+            w = w[:-1]
+    else:
+        w = w[: len(w) - len(e)]
+    if ending(pairs):
+        w = w[:-1]
+    if lang == "da" and w.endswith("igst"):
+        w = w[:-2]
+    e = ending([*kinds, *swaps])
+    w = w[: len(w) - len(e)] + swaps.get(e, "")
+    if lang == "da":
+        if e in kinds and ending(pairs):
+            w = w[:-1]
+        if len(w) > start and w[-1] == w[-2] and w[-1] not in vowels:
+            w = w[:-1]
+    return w
+
+
 def token_filter(name: str, o: dict):
     each = lambda f: lambda t: [like(x, f(x)) for x in t]
     many = lambda f: lambda t: [like(x, y, step=getattr(x, "step", 1) if i == 0 else 0) for x in t for i, y in enumerate(f(x))]
@@ -403,6 +491,8 @@ def token_filter(name: str, o: dict):
         return each(lambda x: normalise(m[1] or m[2], x))
     if m := re.fullmatch("stemmer_(de|es|it|fr)(?:_light|_minimal)?|(de|es|it|fr)_(?:light|minimal)_stemmer", name):
         return own(lambda x: light_stem(m[1] or m[2], x))
+    if m := re.fullmatch("stemmer_(da|no|sv)|(da|no|sv)_stemmer", name):
+        return own(lambda x: nordic_stem(m[1] or m[2], x))
     if name == "possessive_en":
         return each(lambda x: re.sub("['’]s$", "", x, flags=re.I))
     if name == "reverse":
@@ -453,7 +543,10 @@ ANALYZERS: dict[str, dict] = {
 }
 
 
-for _lang in ("da", "fi", "hu", "nl", "no", "pt", "ro", "ru", "sv", "tr"):  # no stemmers here: give a token_filter of your own
+for _lang in ("da", "no", "sv"):
+    ANALYZERS[_lang] = {"tokenizer": "standard", "token_filter": ["lower_case", {"type": "stop", "stopwords": f"_{_lang}_"}, f"{_lang}_stemmer"]}
+ANALYZERS["nl"] = {"tokenizer": "standard", "token_filter": ["lower_case", {"type": "stop", "stopwords": "_nl_"}]}  # no stemmer here, nor for the next
+for _lang in ("fi", "hu", "pt", "ro", "ru", "tr"):  # neither stop words nor stemmers: give a token_filter of your own
     ANALYZERS[_lang] = {"tokenizer": "standard", "token_filter": ["lower_case"]}
 
 
@@ -475,9 +568,9 @@ def analyze_tokens(text: str, spec: str | dict = "standard", settings: dict | No
     if isinstance(spec, dict) and "analyzer" in spec:
         spec = spec["analyzer"]
     if isinstance(spec, str):
-        spec = (s.get("analyzer") or {}).get(spec) or ANALYZERS[spec]
+        spec = (s.get("analyzer") or {}).get(spec) or ANALYZERS[LANGUAGES.get(spec, spec)]
     if "type" in spec and "tokenizer" not in spec:
-        base = dict(ANALYZERS[spec["type"]])
+        base = dict(ANALYZERS[LANGUAGES.get(spec["type"], spec["type"])])
         if spec.get("pattern"):
             base["tokenizer"] = {"type": "regexp", "pattern": spec["pattern"]}
         filters = list(base.get("token_filter", []))

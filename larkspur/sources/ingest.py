@@ -157,10 +157,10 @@ def delete(base: DataFrame, ids: DataFrame, id_col: str = "_id") -> DataFrame:
     return base.join(ids.select(id_col), id_col, "left_anti")
 
 
-def apply_log(base: DataFrame, log: DataFrame, id_col: str = "_id") -> DataFrame:
+def apply_log(base: DataFrame, log: DataFrame, id_col: str = "_id", op: str = "op") -> DataFrame:
     """base after a compacted log (op, id and base's columns)."""
     gone = log.select(id_col).distinct()
-    kept = log.where(F.col("op").isin("insert", "update", "upsert")).select(*base.columns)
+    kept = log.where(F.col(op).isin("insert", "update", "upsert")).select(*base.columns)
     return base.join(gone, id_col, "left_anti").unionByName(kept)
 
 
@@ -172,11 +172,15 @@ def delete_by_query(base: DataFrame, pred: Column, id_col: str = "_id", size: in
     return base.join(hits.orderBy(*(order or [id_col])).limit(size).select(id_col), id_col, "left_anti")
 
 
+DELTAS = 16  # changes kept beside a table before it is written anew
+
+
 class Table:
     """A directory of versions. A write makes a new one and then its commit file, which is created or fails as a whole.
 
-    The last commit counts, so that a crash at any point leaves the table as it was; of two writers that began
-    from one version, the second to commit gets FileExistsError.
+    A version is a base and the changes after it, a folder each, which its commit file names in order: applying a log
+    writes that log alone, until there are DELTAS of them. The last commit counts, so that a crash at any point leaves
+    the table as it was; of two writers that began from one version, the second to commit gets FileExistsError.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -190,13 +194,25 @@ class Table:
         names = [f.getPath().getName() for f in self.fs.listStatus(p)] if self.fs.exists(p) else []
         return max((int(n) for n in names if n.isdigit()), default=None)
 
-    def read(self) -> DataFrame:
-        at = f"{self.path}/commits/{self.version()}"
-        return self.spark.read.parquet(f"{self.path}/{self.spark.read.text(at).first()[0]}")
+    def _parts(self, n: int | None) -> list[tuple[str, str]]:
+        """The folders of a version: its base, then its changes with the name of their id column."""
+        lines = sorted(r[0] for r in self.spark.read.text(f"{self.path}/commits/{n}").collect())  # DELTAS + 1 at most
+        return [(name, key) for _, name, key in (line.split(" ", 2) for line in lines)]
 
-    def write(self, df: DataFrame, after: int | None = None) -> int:
-        """Write the next version, by default after the last; returns its number."""
-        after = self.version() if after is None else after
+    def read(self) -> DataFrame:
+        (base, _), *changes = self._parts(self.version())
+        out = self.spark.read.parquet(f"{self.path}/{base}")
+        if not changes:
+            return out
+        key, log = changes[0][1], None
+        for i, (name, _) in enumerate(changes):
+            d = self.spark.read.parquet(f"{self.path}/{name}").withColumn("_at", F.lit(i))
+            log = d if log is None else log.unionByName(d)
+        data = [c for c in log.columns if c not in (key, "_at")]
+        last = log.groupBy(key).agg(F.max_by(F.struct(*data), "_at").alias("_l")).select(key, *[F.col(f"_l.{c}").alias(c) for c in data])
+        return apply_log(out, last, key, "_op")
+
+    def _commit(self, df: DataFrame, before: list[tuple[str, str]], key: str, after: int | None) -> int:
         v, n = f"v-{uuid.uuid4().hex}", 0 if after is None else after + 1
         df.write.parquet(f"{self.path}/{v}")
         try:
@@ -204,23 +220,33 @@ class Table:
         except Exception as e:
             self.fs.delete(self._p(f"{self.path}/{v}"), True)
             raise FileExistsError(f"version {n} exists") from e
-        s.write(bytearray(v.encode()))
+        s.write(bytearray("\n".join(f"{i:04d} {name} {k}" for i, (name, k) in enumerate([*before, (v, key)])).encode()))
         s.close()
         return n
 
+    def write(self, df: DataFrame, after: int | None = None) -> int:
+        """Write the next version whole, by default after the last; returns its number."""
+        return self._commit(df, [], "", self.version() if after is None else after)
+
     def refresh(self) -> DataFrame:
         """The table as it is now, whatever the session has cached of its files."""
         self.spark.catalog.refreshByPath(self.path)
         return self.read()
 
     def vacuum(self, keep: int = 2) -> None:
-        """Delete the files of all but the last versions; their commits stay as numbers taken."""
+        """Delete the files that only versions before the last `keep` use; their commits stay as numbers taken."""
         last = self.version() or 0
+        kept = {name for n in range(max(0, last - keep + 1), last + 1) for name, _ in self._parts(n)}
         for n in range(max(0, last - keep + 1)):
-            at = self._p(f"{self.path}/commits/{n}")
-            if self.fs.exists(at):
-                name = self.spark.read.text(f"{self.path}/commits/{n}").first()[0]
-                self.fs.delete(self._p(f"{self.path}/{name}"), True)
+            for name, _ in self._parts(n):
+                if name not in kept:
+                    self.fs.delete(self._p(f"{self.path}/{name}"), True)
 
-    def apply(self, log: DataFrame, id_col: str = "_id") -> None:
-        self.write(apply_log(self.read(), log, id_col))
+    def apply(self, log: DataFrame, id_col: str = "_id", after: int | None = None) -> int:
+        """The table after a compacted log (op, id and the table's columns), as a new version."""
+        after = self.version() if after is None else after
+        parts = self._parts(after)
+        if len(parts) > DELTAS or any(k != id_col for _, k in parts[1:]):
+            return self.write(apply_log(self.read(), log, id_col), after)
+        columns = self.spark.read.parquet(f"{self.path}/{parts[0][0]}").columns
+        return self._commit(log.select(F.col("op").alias("_op"), *columns), parts, id_col, after)

@@ -234,3 +234,44 @@ def test_vector_log(spark):
     assert [(r.distance, r.id) for r in found] == want
     assert vector.needs_seal(log, most=3) and not vector.needs_seal(log, most=4)
     assert vector.seal(base, log, m=1, lists=4).table.count() == 200
+
+
+def test_table_keeps_changes_beside_its_base(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "DELTAS", 3)
+    t = ingest.Table(spark, str(tmp_path / "t"))
+    base = spark.createDataFrame([("1", 1.0), ("2", 2.0), ("3", 3.0)], "_id string, v double")
+    t.write(base)
+    change = lambda *rows: spark.createDataFrame(rows, "op string, _id string, v double")
+    steps = [change(("update", "1", 10.0), ("delete", "2", None)), change(("insert", "2", 20.0)), change(("delete", "1", None), ("insert", "4", 4.0)), change(("update", "3", 30.0)), change(("delete", "4", None))]
+    want, sizes = {"1": 1.0, "2": 2.0, "3": 3.0}, []
+    for step in steps:
+        for r in step.collect():
+            want.pop(r._id, None)
+            if r.op != "delete":
+                want[r._id] = r.v
+        sizes.append(len(t._parts(t.apply(step))))
+        assert {r._id: r.v for r in t.read().collect()} == want
+    assert sizes == [2, 3, 4, 1, 2]  # after three changes the table is written anew
+    with pytest.raises(FileExistsError):
+        t.apply(steps[0], after=2)
+    t.vacuum(1)
+    assert {r._id: r.v for r in t.refresh().collect()} == want == {"2": 20.0, "3": 30.0}
+    assert len([f for f in os.listdir(tmp_path / "t") if f.startswith("v-")]) == 2
+
+
+@pytest.mark.parametrize(("lang", "pairs"), [
+    ("da", "undersøgelser undersøg, friskt frisk, kærlighed kær, venlig ven, ligeløst ligeløs, indvendinger indvending, og og"),
+    ("sv", "jaktkarlarne jaktkarl, klokast klok, kristendomen kristendom, hopplöst hopplös, flickorna flick, klostret klostret"),
+    ("no", "havnedistriktene havnedistrikt, opninga opning, opplysninger opplysning, tilbakeholdt tilbakehold, vanlig van"),
+])
+def test_nordic_stems(lang, pairs):
+    for w, stem in (p.split() for p in pairs.split(", ")):
+        assert analysis.nordic_stem(lang, w) == stem
+
+
+def test_language_names_and_stop_words():
+    assert analysis.analyze("Jag har inte sett flickorna", "swedish") == analysis.analyze("Jag har inte sett flickorna", "sv") == ["sett", "flick"]
+    assert analysis.analyze("De katten zitten op het dak", {"type": "dutch"}) == ["katten", "zitten", "dak"]
+    assert analysis.analyze("x og y", {"tokenizer": "standard", "token_filter": [{"type": "stop", "stopwords": ["_danish_", "y"]}]}) == ["x"]
+    with pytest.raises(ValueError, match="_hu_"):
+        analysis.analyze("x", {"tokenizer": "standard", "token_filter": [{"type": "stop", "stopwords": "_hu_"}]})
