@@ -27,7 +27,7 @@ STOP_EN = frozenset(
     into through during before after above below to from up down in out on off over under again further then once here there
     when where why how all any both each few more most other some such no nor not only own same so than too very""".split()
 )
-# The Snowball project's stop words of Danish, Swedish, Norwegian and Dutch.
+# The Snowball project's stop words of Danish, Swedish, Norwegian, Dutch and Russian.
 STOP_DA = frozenset(
     """og i jeg det at en den til er som på de med han af for ikke der var mig sig men et har om vi min havde ham hun nu over da
     fra du ud sin dem os op man hans hvor eller hvad skal selv her alle vil blev kunne ind når være dog noget ville jo deres
@@ -57,6 +57,15 @@ STOP_NL = frozenset(
     omdat iets worden toch al waren veel meer doen toen moet ben zonder kan hun dus alles onder ja eens hier wie werd altijd
     doch wordt wezen kunnen ons zelf tegen na reeds wil kon niets uw iemand geweest andere""".split()
 )
+STOP_RU = frozenset(
+    """и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по только ее мне было вот от меня еще нет о
+    из ему теперь когда даже ну вдруг ли если уже или ни быть был него до вас нибудь опять уж вам сказал ведь там потом себя
+    ничего ей может они тут где есть надо ней для мы тебя их чем была сам чтоб без будто человек чего раз тоже себе под жизнь
+    будет ж тогда кто этот говорил того потому этого какой совсем ним здесь этом один почти мой тем чтобы нее кажется сейчас
+    были куда зачем сказать всех никогда сегодня можно при наконец два об другой хоть после над больше тот через эти нас про
+    всего них какая много разве сказала три эту моя впрочем хорошо свою этой перед иногда лучше чуть том нельзя такой им
+    более всегда конечно всю между""".split()
+)
 ELISION_FR = frozenset("l m t qu n s j d c jusqu quoiqu lorsqu puisqu".split())
 _CLASSES = {
     "letter": r"\p{L}", "digit": r"\p{Nd}", "number": r"\p{N}", "space": r"\p{Z}\s", "whitespace": r"\p{Z}\s", "punct": r"\p{P}",
@@ -271,7 +280,7 @@ LANGUAGES = {
     "arabic": "ar", "sorani": "ckb", "danish": "da", "german": "de", "english": "en", "spanish": "es", "persian": "fa", "finnish": "fi", "french": "fr", "hindi": "hi",
     "hungarian": "hu", "italian": "it", "dutch": "nl", "norwegian": "no", "portuguese": "pt", "romanian": "ro", "russian": "ru", "swedish": "sv", "turkish": "tr",
 }
-_STOP = {"en": STOP_EN, "da": STOP_DA, "sv": STOP_SV, "no": STOP_NO, "nl": STOP_NL, "cjk": frozenset(), "none": frozenset()}
+_STOP = {"en": STOP_EN, "da": STOP_DA, "sv": STOP_SV, "no": STOP_NO, "nl": STOP_NL, "ru": STOP_RU, "cjk": frozenset(), "none": frozenset()}
 
 
 def _stop_words(v) -> frozenset[str]:
@@ -446,6 +455,55 @@ def nordic_stem(lang: str, w: str) -> str:
     return w
 
 
+# The endings of Snowball's Russian stemmer; those of a pair's first list stand behind а or я.
+_RU = {
+    "gerund": ("в вши вшись".split(), "ив ивши ившись ыв ывши ывшись".split()),
+    "reflexive": ([], "ся сь".split()),
+    "adjective": ([], "ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею".split()),
+    "participle": ("ем нн вш ющ щ".split(), "ивш ывш ующ".split()),
+    "verb": (
+        "ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно".split(),
+        "ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ю".split()),
+    "noun": ([], "а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию ью ю ия ья я".split()),
+    "derived": ([], "ост ость".split()),
+    "greatest": ([], "ейш ейше".split()),
+}
+
+
+def russian_stem(w: str) -> str:
+    """Snowball's Russian stemmer: endings behind the first vowel, those of derived nouns behind two syllables."""
+    vowels = "аеиоуыэюя"
+    w = w.replace("ё", "е")
+    first = re.search(f"[{vowels}]", w)
+    if not first:
+        return w
+    rv = first.end()
+    two = re.search(f"[{vowels}][^{vowels}]", w)
+    r2 = re.search(f"[{vowels}][^{vowels}]", w[two.end() :]) if two else None
+    deep = two.end() + r2.end() if two and r2 else len(w)
+
+    def cut(x: str, kind: str, least: int = rv) -> str:
+        behind, free = _RU[kind]
+        e = max((e for e in (*behind, *free) if x.endswith(e) and len(x) - len(e) >= least), key=len, default="")
+        if e in behind and e and not (len(x) - len(e) > least and x[-len(e) - 1] in "ая"):
+            return x
+        return x[: len(x) - len(e)]
+
+    out = cut(w, "gerund")
+    if out == w:
+        w = cut(w, "reflexive")
+        out = cut(w, "adjective")
+        out = cut(out, "participle") if out != w else cut(w, "verb")
+        out = cut(w, "noun") if out == w else out
+    if len(out) > rv and out[-1] == "и":
+        out = out[:-1]
+    out = cut(out, "derived", deep)
+    short = cut(out, "greatest")
+    if short.endswith("нн") and len(short) - 2 >= rv:
+        return short[:-1]
+    return out[:-1] if short == out and out.endswith("ь") and len(out) > rv else short
+
+
 def token_filter(name: str, o: dict):
     each = lambda f: lambda t: [like(x, f(x)) for x in t]
     many = lambda f: lambda t: [like(x, y, step=getattr(x, "step", 1) if i == 0 else 0) for x in t for i, y in enumerate(f(x))]
@@ -493,6 +551,8 @@ def token_filter(name: str, o: dict):
         return own(lambda x: light_stem(m[1] or m[2], x))
     if m := re.fullmatch("stemmer_(da|no|sv)|(da|no|sv)_stemmer", name):
         return own(lambda x: nordic_stem(m[1] or m[2], x))
+    if name in ("stemmer_ru", "ru_stemmer"):
+        return own(russian_stem)
     if name == "possessive_en":
         return each(lambda x: re.sub("['’]s$", "", x, flags=re.I))
     if name == "reverse":
@@ -543,10 +603,10 @@ ANALYZERS: dict[str, dict] = {
 }
 
 
-for _lang in ("da", "no", "sv"):
+for _lang in ("da", "no", "ru", "sv"):
     ANALYZERS[_lang] = {"tokenizer": "standard", "token_filter": ["lower_case", {"type": "stop", "stopwords": f"_{_lang}_"}, f"{_lang}_stemmer"]}
 ANALYZERS["nl"] = {"tokenizer": "standard", "token_filter": ["lower_case", {"type": "stop", "stopwords": "_nl_"}]}  # no stemmer here, nor for the next
-for _lang in ("fi", "hu", "pt", "ro", "ru", "tr"):  # neither stop words nor stemmers: give a token_filter of your own
+for _lang in ("fi", "hu", "pt", "ro", "tr"):  # neither stop words nor stemmers: give a token_filter of your own
     ANALYZERS[_lang] = {"tokenizer": "standard", "token_filter": ["lower_case"]}
 
 

@@ -388,11 +388,11 @@ class Compiler:
     q_simple_query_string = q_query_string
 
 
-_PART = re.compile(r'\s*([+-]?)(?:([\w.@]+):)?(?:"([^"]*)"|/((?:[^/\\]|\\.)*)/|([<>]=?)\s*"?([^\s"]+)"?|([^\s"]+))(?:\^(\d+(?:\.\d+)?))?')
+_PART = re.compile(r'\s*([+-]?)(?:([\w.@]+):)?(?:"([^"]*)"|/((?:[^/\\]|\\.)*)/|([<>]=?)\s*"?([^\s"]+)"?|((?:\\.|[^\s"\\])+))(?:\^(\d+(?:\.\d+)?))?')
 
 
 def parse_query_string(text: str, fields: list[str], schema: Schema) -> dict:
-    """field:term, +must, -not, "phrase", wild*cards, /regexp/, fuzzy~1, boost^2, field:>=5; a bare term is tried on every text or keyword field."""
+    r"""field:term, +must, -not, "phrase", wild*cards, /regexp/, fuzzy~1, boost^2, field:>=5, \ before what is meant literally; a bare term is tried on every text or keyword field."""
     must, should, out = [], [], []
     at = 0
     while at < len(text) and text[at:].strip():
@@ -401,8 +401,9 @@ def parse_query_string(text: str, fields: list[str], schema: Schema) -> dict:
             raise QueryError(f"query string at {at}: {text[at:]}")
         at = m.end()
         sign, f, phrase, rx, op, bound, word, boost = m.groups()
-        if word and "^" in word:
-            word, _, boost = word.partition("^")
+        if word and (m := re.search(r"(?<!\\)\^", word)):
+            word, boost = word[: m.start()], word[m.end() :]
+        plain = re.sub(r"\\(.)", r"\1", word or "")
 
         def leaf(f: str) -> dict:
             b = {"boost": float(boost)} if boost else {}
@@ -413,12 +414,11 @@ def parse_query_string(text: str, fields: list[str], schema: Schema) -> dict:
             if op:
                 v = float(bound) if schema.kinds.get(f) == "numeric" else bound
                 return {"range": {f: {{">": "gt", ">=": "gte", "<": "lt", "<=": "lte"}[op]: v} | b}}
-            if "*" in word or "?" in word:
+            if re.search(r"(?<!\\)[*?]", word):
                 return {"wildcard": {f: {"value": word} | b}}
-            if "~" in word:
-                w, _, k = word.partition("~")
-                return {"fuzzy": {f: {"value": w, "fuzziness": k or 1} | b}}
-            return {"match": {f: {"query": word} | b}}
+            if t := re.search(r"(?<!\\)~", word):
+                return {"fuzzy": {f: {"value": word[: t.start()], "fuzziness": word[t.end() :] or 1} | b}}
+            return {"match": {f: {"query": plain} | b}}
 
         q = leaf(f) if f else {"bool": {"should": [leaf(x) for x in fields]}}
         (must if sign == "+" else out if sign == "-" else should).append(q)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import threading
 import time
+import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators import aggs
@@ -98,6 +101,32 @@ def search(df: DataFrame, body: dict, schema: Schema | None = None, id_col: str
     return hits.select(id_col, *keep, "_score", *marks)
 
 
+@contextmanager
+def deadline(spark: SparkSession, seconds: float | None):
+    """Cancels what this thread's queries still run after `seconds`, as a TimeoutError; 0 or None sets no limit."""
+    if not seconds:
+        yield
+        return
+    sc, tag, late = spark.sparkContext, f"deadline-{uuid.uuid4().hex}", threading.Event()
+
+    def cancel() -> None:
+        late.set()
+        sc.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, cancel)
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        yield
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"the request took more than {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)
+
+
 @dataclass
 class Response:
     """What a request gives: its page of hits, their total and greatest score over all matches, and its aggregations."""

@@ -275,3 +275,25 @@ def test_language_names_and_stop_words():
     assert analysis.analyze("x og y", {"tokenizer": "standard", "token_filter": [{"type": "stop", "stopwords": ["_danish_", "y"]}]}) == ["x"]
     with pytest.raises(ValueError, match="_hu_"):
         analysis.analyze("x", {"tokenizer": "standard", "token_filter": [{"type": "stop", "stopwords": "_hu_"}]})
+
+
+@pytest.mark.parametrize("pair", "важная важн, важнейшими важн, вавиловка вавиловк, вагонами вагон, великодушный великодушн, верностью верност, прочитавший прочита, бегать бега, смеялась смея, падаль падал, в в, мстр мстр".split(", "))
+def test_russian_stems(pair):
+    w, stem = pair.split()
+    assert analysis.russian_stem(w) == stem
+
+
+def test_query_string_escapes(spark):
+    df = spark.createDataFrame([(1, "a:b"), (2, "a*"), (3, "ab"), (4, "a b")], "_id long, k string")
+    ids = lambda q: [r._id for r in df.where(Compiler(Schema.of(df.schema)).compile({"query_string": {"query": q}}).pred).orderBy("_id").collect()]
+    assert ids(r"k:a\:b") == [1] and ids(r"k:a\*") == [2] and ids("k:a*") == [1, 2, 3, 4] and ids(r"k:a\ b") == [4] and ids(r"k:ab^2") == [3]
+
+
+def test_deadline(spark):
+    slow = spark.range(4).select(F.udf(lambda i: __import__("time").sleep(20) or i, "long")("id"))
+    with pytest.raises(TimeoutError), search.deadline(spark, 1):
+        slow.collect()
+    with search.deadline(spark, 60):
+        assert spark.range(3).count() == 3
+    with pytest.raises(ZeroDivisionError), search.deadline(spark, 60):
+        1 / 0
