@@ -8,6 +8,7 @@ from math import isqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,8 +40,13 @@ def train_centroids(df: DataFrame, n: int, vec: str = "embedding", sample: int =
     return c
 
 
+CELLS = 1 << 21  # distances that a task holds at once
+
+
 def assign(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return (-2 * x @ c.T + (c * c).sum(1)).argmin(1)
+    """Each row's nearest centre; rows are taken a few at a time, however many centres there are."""
+    norms, step = (c * c).sum(1), max(1, CELLS // max(1, len(c)))
+    return np.concatenate([np.zeros(0, np.int64), *[(-2 * x[i : i + step] @ c.T + norms).argmin(1) for i in range(0, len(x), step)]])
 
 
 def with_centroid(df: DataFrame, centres: np.ndarray, vec: str = "embedding") -> DataFrame:
@@ -111,7 +117,8 @@ def global_top(parts: list[DataFrame], k: int, id_col: str = "vec_id") -> DataFr
 # -- inverted file with product quantisation -------------------------------------------------------------------
 
 LIST_ROWS = 100_000  # vectors of a list that one task scans; a longer list is dealt to several
-REFINE = 8  # candidates a wanted neighbour that are ranked again by exact distances
+REFINE = 8  # candidates a wanted neighbour and tile that are ranked again by exact distances
+TILE_ROWS, TILE_ASKS = 16_384, 2048  # vectors and queries that meet in one task
 
 
 @dataclass
@@ -122,6 +129,7 @@ class IvfPq:
     books: np.ndarray
     table: DataFrame  # id, vec, centroid, part, code
     parts: int  # that a list is dealt to
+    slots: int = 1  # that the parts of all lists are dealt to
 
 
 def build_ivfpq(df: DataFrame, vec: str = "embedding", id_col: str = "vec_id", m: int = 8, nbits: int = 8, lists: int | None = None, sample: int = 20_000) -> IvfPq:
@@ -150,8 +158,8 @@ def build_ivfpq(df: DataFrame, vec: str = "embedding", id_col: str = "vec_id", m
 
     good = df.where(F.size(vec) == dims).select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
     table = good.mapInArrow(run, good.withColumns({"centroid": F.lit(0), "code": F.lit(b"")}).schema)
-    parts = max(1, -(-n // (LIST_ROWS * k)))
-    return IvfPq(centres, books, table.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), parts)
+    parts = max(1, -(-n // LIST_ROWS))  # so many that a list holding every vector is dealt out as well
+    return IvfPq(centres, books, table.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), parts, max(1, -(-n // TILE_ROWS)))
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -165,51 +173,92 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return c
 
 
-def ivfpq_search(index: IvfPq, queries: DataFrame, k: int = 10, nprobe: int = 16, vec: str = "embedding", id_col: str = "vec_id", where: Column | None = None) -> DataFrame:
+def _matrix(v: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows, in double precision; null components are NaN."""
+    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in v.chunks]) if v.num_chunks else np.zeros(0)
+    return flat.astype(np.float64).reshape(len(v), -1)
+
+
+def _nearest(x: np.ndarray, rank: np.ndarray, y: np.ndarray, at_q: np.ndarray, at_x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of a query (row of y) and a vector (row of x), each query's k nearest, ties by rank: both rows, distance."""
+    step = max(1, CELLS // max(1, x.shape[1]))
+    d = np.concatenate([np.zeros(0), *[((x[at_x[i : i + step]] - y[at_q[i : i + step]]) ** 2).sum(1) for i in range(0, len(at_q), step)]])
+    order = np.lexsort((rank[at_x], d, at_q))
+    at_q = at_q[order]
+    keep = np.arange(len(at_q)) - np.searchsorted(at_q, at_q) < k
+    return at_q[keep], at_x[order][keep], d[order][keep]
+
+
+def _tiles(rows: DataFrame, asks: DataFrame, slots: int, work, kind: str) -> DataFrame:
+    """work on every tile, a slot `_s` of rows and a block of about TILE_ASKS of the asks (query, q).
+
+    Tiles are of bounded size and dealt out by their number, not by their bytes, since their work is in products."""
+    blocks = max(1, -(-asks.count() // TILE_ASKS))
+    rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asks = asks.withColumn("_b", F.pmod(F.xxhash64("query", "q"), F.lit(blocks)).cast("int")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    dealt = [d.repartition(2 * slots * blocks, "_b", "_s").groupBy("_b", "_s") for d in (rows, asks)]
+    return dealt[0].cogroup(dealt[1]).applyInArrow(work, kind)
+
+
+def _floats(df: DataFrame, vec: str) -> Column:
+    """A column of vectors as Arrow hands on without loss: float as it is, else double."""
+    return F.col(vec) if df.schema[vec].dataType.simpleString() == "array<float>" else F.col(vec).cast("array<double>")
+
+
+def _hits(rows: pa.Table, asks: pa.Table, found: list) -> pa.Table:
+    at_q, at_x, d = map(np.concatenate, zip(*found, strict=True)) if found else np.zeros((3, 0), np.int64)
+    return pa.table({"query": asks["query"].take(pa.array(at_q)), "id": rows["id"].take(pa.array(at_x)), "distance": pa.array(d.astype(np.float64))})
+
+
+def _ranks(ids: pa.ChunkedArray) -> np.ndarray:
+    return pc.rank(ids, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+
+
+def ivfpq_search(index: IvfPq, queries: DataFrame, k: int = 10, nprobe: float = 16, vec: str = "embedding", id_col: str = "vec_id", where: Column | None = None) -> DataFrame:
     """(query, id, distance, score): the k nearest of every query among its nprobe lists, ranked again exactly.
 
-    Queries and lists meet by list, so that neither side is sent to every task. where filters the indexed rows
-    before the search. Of a list, each query keeps its REFINE * k nearest by codes.
+    nprobe: a number of lists, or below 1 a share of them, which an index that grows keeps its recall by. where filters
+    the indexed rows before the search. Queries and lists meet in tiles, so that neither side is sent to every task; of
+    a tile, each query keeps its REFINE * k nearest by codes, and of these its k nearest.
     """
     sent = index.table.sparkSession.sparkContext.broadcast((index.centres, index.books))
-    most, probes = REFINE * k, min(nprobe, len(index.centres))
-
-    def near(it):
-        c = sent.value[0]
-        for b in it:
-            q = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, c.shape[1]))
-            order = np.argsort(-2 * q @ c.T + (c * c).sum(1), 1)[:, :probes].ravel().astype(np.int32)
-            at = np.repeat(np.arange(b.num_rows), probes)
-            yield pa.record_batch([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(order)], names=["query", "q", "centroid"])
-
-    q = queries.where(F.size(vec) == index.centres.shape[1]).select(F.col(id_col).alias("query"), F.col(vec).alias("q"))
-    asked = q.mapInArrow(near, q.withColumn("centroid", F.lit(0)).schema)
-    table = index.table if where is None else index.table.where(where)
-    kind = queries.schema[id_col].dataType.simpleString()
+    n, most = len(index.centres), REFINE * k
+    probes = min(n, max(1, round(nprobe * n) if nprobe < 1 else int(nprobe)))
 
     def scan(rows: pa.Table, asks: pa.Table) -> pa.Table:
-        c, books = sent.value
         if not rows.num_rows or not asks.num_rows:
-            return pa.table({"query": asks["query"].slice(0, 0), "id": rows["id"].slice(0, 0), "approx": pa.array([], pa.float64())})
-        centre = c[rows["centroid"][0].as_py()]
-        codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-        at_q, at_r, d = [], [], []
-        for i, v in enumerate(asks["q"].to_pylist()):
-            found = pq_distances(codes, books, np.array(v, np.float64) - centre)
-            best = np.argpartition(found, most - 1)[:most] if len(found) > most else np.arange(len(found))
-            at_q.append(np.full(len(best), i))
-            at_r.append(best)
-            d.append(found[best])
-        return pa.table({"query": asks["query"].take(pa.array(np.concatenate(at_q))), "id": rows["id"].take(pa.array(np.concatenate(at_r))), "approx": pa.array(np.concatenate(d))})
-
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(index.parts - 1))))
-    found = table.select("id", "centroid", "part", "code").groupBy("centroid", "part").cogroup(asked.groupBy("centroid", "part")).applyInArrow(scan, f"query {kind}, id {table.schema['id'].dataType.simpleString()}, approx double")
-    w = Window.partitionBy("query")
-    found = found.withColumn("_r", F.row_number().over(w.orderBy("approx", "id"))).where(F.col("_r") <= most).select("query", "id")
-    exact = found.join(q, "query").join(table.select("id", "vec"), "id")
-    d = F.aggregate(F.zip_with("vec", "q", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x)
-    exact = exact.select("query", "id", d.alias("distance"))
-    return exact.withColumn("_r", F.row_number().over(w.orderBy("distance", "id"))).where(F.col("_r") <= k).drop("_r").withColumn("score", 1 / (1 + F.col("distance")))
+            return _hits(rows, asks, [])
+        c, books = sent.value
+        rows = rows.sort_by("centroid")
+        x, y, rank = _matrix(rows["vec"]), _matrix(asks["q"]), _ranks(rows["id"])
+        at = rows["centroid"].to_numpy()
+        codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(x), -1)
+        left = np.concatenate([books[j][codes[:, j]] for j in range(len(books))], 1).astype(np.float32)
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        norms, size, found = (c * c).sum(1), (left * left).sum(1), []
+        step = max(1, CELLS // max(len(x), n))
+        for i in range(0, len(y), step):
+            q = y[i : i + step]
+            asked = np.zeros((len(q), n), bool)
+            np.put_along_axis(asked, np.argpartition(-2 * q @ c.T + norms, probes - 1, 1)[:, :probes], True, 1)
+            d = np.full((len(q), len(x)), np.inf, np.float32)
+            for lo, hi in zip(starts, [*starts[1:], len(x)], strict=True):
+                who = np.flatnonzero(asked[:, at[lo]])
+                v = (q[who] - c[at[lo]]).astype(np.float32)
+                d[who, lo:hi] = (v * v).sum(1)[:, None] - 2 * v @ left[lo:hi].T + size[lo:hi]
+            best = np.argpartition(d, most - 1, 1)[:, :most] if len(x) > most else np.tile(np.arange(len(x)), (len(q), 1))
+            at_q, at_b = np.nonzero(np.take_along_axis(d, best, 1) != np.inf)
+            a, b, far = _nearest(x, rank, q, at_q, best[at_q, at_b], k)
+            found.append((a + i, b, far))
+        return _hits(rows, asks, found)
+
+    dims = index.centres.shape[1]
+    asks = queries.where(F.size(vec) == dims).select(F.col(id_col).alias("query"), _floats(queries, vec).alias("q"))
+    table = index.table if where is None else index.table.where(where)
+    rows = table.select("id", _floats(table, "vec").alias("vec"), "centroid", "code", F.pmod(F.xxhash64("centroid", "part"), F.lit(index.slots)).cast("int").alias("_s"))
+    found = _tiles(rows, asks, index.slots, scan, f"query {queries.schema[id_col].dataType.simpleString()}, id {table.schema['id'].dataType.simpleString()}, distance double")
+    w = Window.partitionBy("query").orderBy("distance", "id")
+    return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r").withColumn("score", 1 / (1 + F.col("distance")))
 
 
 def knn_each(df: DataFrame, queries: DataFrame, k: int = 10, vec: str = "embedding", id_col: str = "vec_id") -> DataFrame:

@@ -297,3 +297,32 @@ def test_deadline(spark):
         assert spark.range(3).count() == 3
     with pytest.raises(ZeroDivisionError), search.deadline(spark, 60):
         1 / 0
+
+
+def test_assignment_holds_few_distances(monkeypatch):
+    x = np.random.default_rng(2).standard_normal((500, 8))
+    whole = vector.assign(x, x[:40])
+    most = []
+    monkeypatch.setattr(vector, "CELLS", 400)
+
+    class Seen(np.ndarray):
+        def __matmul__(self, other):
+            most.append(len(self) * other.shape[1])
+            return np.asarray(self) @ other
+
+    assert (vector.assign(x.view(Seen), x[:40]) == whole).all() and max(most) <= 400
+    assert vector.assign(x[:0], x[:40]).shape == (0,)
+
+
+def test_ivfpq_over_tiles(spark, monkeypatch):
+    """A growing index keeps its recall by a share of its lists, whichever the tiles; one list may hold most vectors."""
+    for name, v in (("TILE_ROWS", 300), ("TILE_ASKS", 20), ("LIST_ROWS", 200)):
+        monkeypatch.setattr(vector, name, v)
+    rng = np.random.default_rng(3)
+    x = np.concatenate((rng.standard_normal((1500, 16)), np.ones((500, 16))))
+    df = spark.createDataFrame([(f"v{i}", [float(v) for v in r]) for i, r in enumerate(x)], "vec_id string, embedding array<float>")
+    q = df.where("substring(vec_id, 2) % 40 = 0")
+    found = vector.ivfpq_search(vector.build_ivfpq(df, m=8), q, 5, 0.45)
+    assert found.groupBy("query").count().where("count != 5").count() == 0
+    r = vector.mean_recall(found, vector.knn_each(df, q, 5)).first()
+    assert r.queries == 50 and r.recall >= 0.9
