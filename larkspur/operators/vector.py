@@ -261,37 +261,48 @@ def ivfpq_search(index: IvfPq, queries: DataFrame, k: int = 10, nprobe: float =
     return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r").withColumn("score", 1 / (1 + F.col("distance")))
 
 
+def _candidates(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of y, row of x) among which are the k nearest of every y, by products and a bound of their error.
+
+    Rows whose squares are not finite are paired with all."""
+    norm_x, norm_y = (x * x).sum(1), (y * y).sum(1)
+    odd_x, odd_y = ~np.isfinite(norm_x), ~np.isfinite(norm_y)
+    d = y @ x.T
+    d *= -2
+    d += norm_x
+    d += norm_y[:, None]
+    d[:, odd_x] = np.inf
+    d[odd_y] = np.inf
+    kth = np.partition(d, k - 1, 1)[:, k - 1] if len(x) > k else np.full(len(y), np.inf)
+    slack = 4 * (x.shape[1] + 8) * np.finfo(np.float64).eps * (norm_y + norm_x[~odd_x].max(initial=0)) + 1e-300
+    near = ~(d > (kth + slack)[:, None])
+    near[:, odd_x] = True
+    near[odd_y] = True
+    return np.nonzero(near)
+
+
 def knn_each(df: DataFrame, queries: DataFrame, k: int = 10, vec: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """(query, id, distance): the exact k nearest of every query. Rows are compared a block at a time with blocks of
-    queries; a block of rows passes on only each query's k nearest."""
-    q = queries.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("query"), F.col(vec).cast("array<double>").alias("q"))
-    blocks = max(1, -(-q.count() // 2048))
-    q = q.withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
-    rows = df.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    slots = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asks = q.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    """(query, id, distance): the exact k nearest of every query. Vectors and queries meet in tiles of bounded size, by
+    matrix products; what these leave is compared again by differences. A tile passes on only each query's k nearest."""
+    q = queries.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("query"), _floats(queries, vec).alias("q"))
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), _floats(df, vec).alias("v"))
+    slots = max(1, -(-rows.count() // TILE_ROWS))
 
     def work(r: pa.Table, a: pa.Table) -> pa.Table:
-        empty = pa.table({"query": a["query"].slice(0, 0), "id": r["id"].slice(0, 0), "distance": pa.array([], pa.float64())})
-        if not r.num_rows or not a.num_rows:
-            return empty
-        out = [empty]
-        size = {i: len(v) for i, v in enumerate(r["v"].to_pylist())}
-        for dim in set(size.values()):
-            at = np.array([i for i, n in size.items() if n == dim])
-            mine = np.array([i for i, v in enumerate(a["q"].to_pylist()) if len(v) == dim], int)
-            if not len(mine):
-                continue
-            x, y = np.array(r["v"].take(pa.array(at)).to_pylist()), np.array(a["q"].take(pa.array(mine)).to_pylist())
-            for i, v in zip(mine.tolist(), y, strict=True):
-                d = ((x - v) ** 2).sum(1)
-                best = np.lexsort((np.array(r["id"].take(pa.array(at)).to_pylist()), d))[:k]
-                out.append(pa.table({"query": a["query"].take(pa.array([i] * len(best))), "id": r["id"].take(pa.array(at[best])), "distance": pa.array(d[best])}))
-        return pa.concat_tables(out)
+        found = []
+        size, wide = (pc.list_value_length(t).to_numpy() for t in (r["v"], a["q"]))
+        rank = _ranks(r["id"]) if r.num_rows else size
+        for dim in set(size.tolist()) & set(wide.tolist()):
+            at, mine = np.flatnonzero(size == dim), np.flatnonzero(wide == dim)
+            x, y = _matrix(r["v"].take(pa.array(at))), _matrix(a["q"].take(pa.array(mine)))
+            step = max(1, CELLS // len(x))
+            for i in range(0, len(y), step):
+                at_q, at_x, d = _nearest(x, rank[at], y[i : i + step], *_candidates(x, y[i : i + step], k), k)
+                found.append((mine[at_q + i], at[at_x], d))
+        return _hits(r, a, found)
 
     kind = f"query {queries.schema[id_col].dataType.simpleString()}, id {df.schema[id_col].dataType.simpleString()}, distance double"
-    found = rows.groupBy("_b", "_s").cogroup(asks.groupBy("_b", "_s")).applyInArrow(work, kind)
+    found = _tiles(rows.withColumn("_s", F.pmod(F.xxhash64("id", "v"), F.lit(slots)).cast("int")), q, slots, work, kind)
     w = Window.partitionBy("query").orderBy("distance", "id")
     return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 

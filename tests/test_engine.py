@@ -326,3 +326,24 @@ def test_ivfpq_over_tiles(spark, monkeypatch):
     assert found.groupBy("query").count().where("count != 5").count() == 0
     r = vector.mean_recall(found, vector.knn_each(df, q, 5)).first()
     assert r.queries == 50 and r.recall >= 0.9
+
+
+def test_knn_each_is_exact_over_tiles(spark, monkeypatch):
+    """Ties by id, far from the origin, not finite, of several lengths; a tile holds few vectors."""
+    for name, v in (("TILE_ROWS", 40), ("TILE_ASKS", 10)):
+        monkeypatch.setattr(vector, name, v)
+    sizes = []
+    monkeypatch.setattr(vector, "_tiles", lambda rows, asks, slots, *a, f=vector._tiles: sizes.append(rows.groupBy("_s").count().agg({"count": "max"}).first()[0]) or f(rows, asks, slots, *a))
+    rng = np.random.default_rng(4)
+    x = [*(rng.standard_normal((150, 4)) + 1e6).tolist(), *[[1.0, 2.0, 3.0, 4.0]] * 40, [float("inf"), 0.0, 0.0, 0.0], [float("nan")] * 4, [1e200] * 4, [1.0, 2.0], [], None]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    q = df.where("vec_id % 7 = 0 or vec_id > 188")
+    got = {}
+    for r in vector.knn_each(df, q, 6).orderBy("query", F.col("distance"), "id").collect():
+        got.setdefault(r.query, []).append((r.id, r.distance))
+    for i, v in enumerate(x):
+        if v is not None and (i % 7 == 0 or i > 188):
+            with np.errstate(all="ignore"):
+                d = sorted((np.inf if np.isnan(e) else e, np.isnan(e), j) for j, e in ((j, ((np.array(u) - np.array(v)) ** 2).sum()) for j, u in enumerate(x) if u is not None and len(u) == len(v)))[:6]
+            assert [j for _, _, j in d] == [j for j, _ in got[i]], i
+    assert max(sizes) < 80
