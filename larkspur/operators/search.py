@@ -24,35 +24,46 @@ def _times(tokens: Column, t: str) -> Column:
     return F.size(F.filter(tokens, lambda x: x == t))
 
 
+def _term_scores(df: DataFrame, node: Node, schema: Schema, stats: DataFrame | None = None) -> tuple[DataFrame, list[tuple[Column, Column, Column]]]:
+    """The matching rows of df, and of each of node's terms its frequency, its field's length and its score in them.
+
+    One pass over df counts, for every scored term, its documents and each field's lengths (one row of numbers to the
+    driver); what follows are expressions over the rows that match, whose tokens are made once for all terms.
+    """
+    fields = sorted({f for f, _, _ in node.terms})
+    terms = sorted({(f, t) for f, t, _ in node.terms})
+    base = (stats if stats is not None else df).select(*[schema.tokens(f).alias(f"_t{i}") for i, f in enumerate(fields)])
+    place = {f: f"_t{i}" for i, f in enumerate(fields)}
+    row = base.agg(
+        *[F.count(F.when(F.size(place[f]) > 0, 1)).alias(f"n{i}") for i, f in enumerate(fields)],
+        *[F.sum(F.size(place[f])).alias(f"s{i}") for i, f in enumerate(fields)],
+        *[F.count(F.when(F.array_contains(place[f], t), 1)).alias(f"d{j}") for j, (f, t) in enumerate(terms)],
+    ).first()
+    df = df.where(node.pred).withColumns({place[f]: schema.tokens(f) for f in fields})
+    df = df.withColumns({f"_l{i}": F.size(place[f]) for i, f in enumerate(fields)} | {f"_f{j}": _times(F.col(place[f]), t) for j, (f, t) in enumerate(terms)}).drop(*place.values())
+    out = []
+    for f, t, w in node.terms:
+        i, j = fields.index(f), terms.index((f, t))
+        n, total, d = row[f"n{i}"], row[f"s{i}"] or 0, row[f"d{j}"]
+        size, tf = F.col(f"_l{i}"), F.col(f"_f{j}").cast("double")
+        score = F.lit(0.0)
+        if n and total:
+            norm = F.lit(K1) * (1 - B + B * size / F.lit(total / n))
+            score = F.lit(w) * F.log(F.lit(1 + (n - d + 0.5) / (d + 0.5))) * tf / (tf + norm)
+        out.append((F.col(f"_f{j}"), size, score))
+    return df, out
+
+
 def bm25(df: DataFrame, node: Node, schema: Schema, id_col: str, stats: DataFrame | None = None) -> DataFrame:
-    """The matching rows of df with _score.
+    """The matching rows of df with _score; no posting is shuffled.
 
-    One pass over df counts, for every scored term, its documents and each field's lengths (one row of
-    numbers to the driver); scores are then expressions over the rows that match, so no posting is shuffled.
     stats: the rows whose statistics count (default df), for scores that agree across several indexes.
     """
     score = reduce(lambda a, b: a + b, [F.when(c, F.lit(w)).otherwise(0.0) for c, w in node.const], F.lit(0.0))
-    if node.terms:
-        fields = sorted({f for f, _, _ in node.terms})
-        terms = sorted({(f, t) for f, t, _ in node.terms})
-        base = (stats if stats is not None else df).select(*[schema.tokens(f).alias(f"_t{i}") for i, f in enumerate(fields)])
-        place = {f: f"_t{i}" for i, f in enumerate(fields)}
-        row = base.agg(
-            *[F.count(F.when(F.size(place[f]) > 0, 1)).alias(f"n{i}") for i, f in enumerate(fields)],
-            *[F.sum(F.size(place[f])).alias(f"s{i}") for i, f in enumerate(fields)],
-            *[F.count(F.when(F.array_contains(place[f], t), 1)).alias(f"d{j}") for j, (f, t) in enumerate(terms)],
-        ).first()
-        df = df.where(node.pred).withColumns({place[f]: schema.tokens(f) for f in fields})
-        for f, t, w in node.terms:
-            i, j = fields.index(f), terms.index((f, t))
-            n, total, d = row[f"n{i}"], row[f"s{i}"] or 0, row[f"d{j}"]
-            if not n or not total:
-                continue
-            tf = _times(F.col(place[f]), t).cast("double")
-            norm = F.lit(K1) * (1 - B + B * F.size(place[f]) / F.lit(total / n))
-            score = score + F.lit(w) * F.log(F.lit(1 + (n - d + 0.5) / (d + 0.5))) * tf / (tf + norm)
-        return df.withColumn("_score", score).drop(*place.values())
-    return df.where(node.pred).withColumn("_score", score)
+    if not node.terms:
+        return df.where(node.pred).withColumn("_score", score)
+    found, parts = _term_scores(df, node, schema, stats)
+    return found.select(*df.columns, reduce(lambda a, b: a + b, [x for _, _, x in parts], score).alias("_score"))
 
 
 def sort_columns(spec) -> list[Column]:
@@ -151,13 +162,12 @@ def respond(df: DataFrame, body: dict, schema: Schema | None = None, id_col: str
 
 
 def explanation(df: DataFrame, node: Node, schema: Schema, id_col: str = "_id") -> DataFrame:
-    """id, field, term, boost, idf, tf, score of every scoring term of every hit: their sum is its _score."""
-    out = []
-    for f, t, w in node.terms:
-        one = bm25(df, Node(node.pred, [(f, t, w)]), schema, id_col)
-        n_tokens = schema.tokens(f)
-        out.append(one.select(id_col, F.lit(f).alias("field"), F.lit(t).alias("term"), F.lit(float(w)).alias("boost"), _times(n_tokens, t).cast("long").alias("frequency"), F.size(n_tokens).cast("long").alias("length"), F.col("_score").alias("score")))
-    return reduce(lambda a, b: a.unionByName(b), out) if out else df.where(node.pred).select(id_col, F.lit("").alias("field"), F.lit("").alias("term"), F.lit(1.0).alias("boost"), F.lit(0).cast("long").alias("frequency"), F.lit(0).cast("long").alias("length"), F.lit(1.0).alias("score"))
+    """id, field, term, boost, frequency, length, score of every scoring term of every hit: their sum is its _score."""
+    if not node.terms:
+        return df.where(node.pred).select(id_col, F.lit("").alias("field"), F.lit("").alias("term"), F.lit(1.0).alias("boost"), F.lit(0).cast("long").alias("frequency"), F.lit(0).cast("long").alias("length"), F.lit(1.0).alias("score"))
+    found, parts = _term_scores(df, node, schema)
+    rows = [F.struct(F.lit(f).alias("field"), F.lit(t).alias("term"), F.lit(float(w)).alias("boost"), tf.cast("long").alias("frequency"), size.cast("long").alias("length"), score.alias("score")) for (f, t, w), (tf, size, score) in zip(node.terms, parts, strict=True)]
+    return found.select(id_col, F.inline(F.array(*rows)))
 
 
 def fields(df: DataFrame, spec: list) -> dict[str, Column]:

@@ -347,3 +347,18 @@ def test_knn_each_is_exact_over_tiles(spark, monkeypatch):
                 d = sorted((np.inf if np.isnan(e) else e, np.isnan(e), j) for j, e in ((j, ((np.array(u) - np.array(v)) ** 2).sum()) for j, u in enumerate(x) if u is not None and len(u) == len(v)))[:6]
             assert [j for _, _, j in d] == [j for j, _ in got[i]], i
     assert max(sizes) < 80
+
+
+def test_explanation_reads_texts_twice(spark, tmp_path):
+    """Once for the statistics and once for the hits, however many terms; tokens of a hit are made once."""
+    spark.createDataFrame([(1, "a b a c"), (2, "c"), (3, "z"), (4, None)], "_id long, text string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    schema = Schema.of(df.schema, ("text",), default="regexp")
+    node = Compiler(schema).compile({"match": {"text": "a b c"}})
+    out = search.explanation(df, node, schema)
+    plan = _plan(out)
+    assert plan.count("FileScan") == 1 and sum("regexp_extract_all" in line and "FileScan" not in line for line in plan.splitlines()) <= 2, plan
+    got = {(r._id, r.term): (r.frequency, r.length, r.score) for r in out.collect()}
+    assert {k: v[:2] for k, v in got.items()} == {(1, "a"): (2, 4), (1, "b"): (1, 4), (1, "c"): (1, 4), (2, "a"): (0, 1), (2, "b"): (0, 1), (2, "c"): (1, 1)}
+    for r in search.bm25(df, node, schema, "_id").collect():
+        assert abs(r._score - sum(v[2] for (i, _), v in got.items() if i == r._id)) < 1e-12
