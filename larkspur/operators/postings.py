@@ -18,8 +18,10 @@ class Postings:
     docs: DataFrame
 
     def save(self, path: str) -> Postings:
-        """Write both, and give them as read again. Files are sorted by term, so a scan skips other terms' row groups."""
-        self.table.write.parquet(f"{path}/postings")
+        """Write both, and give them as read again. Files are sorted by term, so a scan skips other terms' row groups.
+
+        Ranges are of (term, id), so a term that most documents hold is spread over as many tasks as its postings fill."""
+        self.table.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
         self.docs.write.parquet(f"{path}/docs")
         return load(self.table.sparkSession, path)
 
@@ -31,13 +33,15 @@ def load(spark: SparkSession, path: str) -> Postings:
 def build(df: DataFrame, tokens: Column, id_col: str = "_id") -> Postings:
     """Postings of df's rows, whose ids are unique; rows without an id or tokens have none.
 
-    One shuffle, by ranges of (term, id): it both groups a document's equal tokens and sorts the table, and a term
-    that most documents hold is spread over as many tasks as its postings fill.
+    A text is cut into tokens once for each pass over the table or the documents: rows without tokens are left out by
+    generators, since a filter on their tokens would be moved below and make them again, and a join by id would be moved
+    below and shuffle them. Equal tokens of a document are counted before any shuffle; nothing is ranged until saved.
     """
-    rows = df.select(F.col(id_col).alias("id"), tokens.alias("_t")).where(F.col("id").isNotNull() & (F.size("_t") > 0))
-    each = rows.select("id", F.size("_t").alias("size"), F.explode("_t").alias("term")).repartitionByRange("term", "id")
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), tokens.alias("_t"))
+    each = rows.select("id", F.size("_t").alias("size"), F.explode_outer("_t").alias("term")).where(F.col("term").isNotNull())
     table = each.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"), F.first("size").alias("size"))
-    return Postings(table.sortWithinPartitions("term", "id"), rows.select("id", F.size("_t").alias("size")))
+    sized = F.filter(F.array(F.struct("id", F.size("_t").alias("size"))), lambda d: d["size"] > 0)
+    return Postings(table, rows.select(F.inline(sized)))
 
 
 def apply(base: Postings, new: Postings, gone: DataFrame | None = None) -> Postings:

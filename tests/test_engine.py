@@ -362,3 +362,15 @@ def test_explanation_reads_texts_twice(spark, tmp_path):
     assert {k: v[:2] for k, v in got.items()} == {(1, "a"): (2, 4), (1, "b"): (1, 4), (1, "c"): (1, 4), (2, "a"): (0, 1), (2, "b"): (0, 1), (2, "c"): (1, 1)}
     for r in search.bm25(df, node, schema, "_id").collect():
         assert abs(r._score - sum(v[2] for (i, _), v in got.items() if i == r._id)) < 1e-12
+
+
+def test_postings_make_tokens_once_a_pass(spark, tmp_path):
+    from larkspur.operators import postings
+
+    spark.createDataFrame([(1, "a a b"), (2, "b c"), (3, None), (4, ""), (None, "a")], "_id long, text string").write.parquet(str(tmp_path / "t"))
+    p = postings.build(spark.read.parquet(str(tmp_path / "t")), analysis.tokens(F.col("text")), "_id")
+    for df in (p.docs, p.table.where("term = 'b'")):
+        plan = _plan(df)
+        assert sum("regexp_extract_all" in line for line in plan.splitlines()) == 1 and "rangepartitioning" not in plan and "Sort" not in plan, plan
+    assert {(r.id, r.size) for r in p.docs.collect()} == {(1, 3), (2, 2)}
+    assert {(r.term, r.id, r.tf, r.size) for r in p.table.collect()} == {("a", 1, 2, 3), ("b", 1, 1, 3), ("b", 2, 1, 2), ("c", 2, 1, 2)}
