@@ -374,3 +374,23 @@ def test_postings_make_tokens_once_a_pass(spark, tmp_path):
         assert sum("regexp_extract_all" in line for line in plan.splitlines()) == 1 and "rangepartitioning" not in plan and "Sort" not in plan, plan
     assert {(r.id, r.size) for r in p.docs.collect()} == {(1, 3), (2, 2)}
     assert {(r.term, r.id, r.tf, r.size) for r in p.table.collect()} == {("a", 1, 2, 3), ("b", 1, 1, 3), ("b", 2, 1, 2), ("c", 2, 1, 2)}
+
+
+def test_postings_batch_makes_tokens_once_a_pass(spark, tmp_path):
+    """Of the base and of the batch, as rows and as ids that leave; a join by id shuffles sizes, not texts."""
+    from larkspur.operators import postings
+
+    spark.createDataFrame([(1, "a a b"), (2, "b c"), (3, "a"), (4, "")], "_id long, text string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    words = analysis.tokens(F.col("text"))
+    after = postings.apply(postings.build(df.where("_id < 4"), words), postings.build(df.where("_id % 2 = 1").withColumn("text", F.lower("text")), words), spark.range(2, 3))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for d in (after.docs, after.table.where("term = 'a'")):
+            plan = _plan(d)
+            assert sum("regexp_extract_all" in line for line in plan.splitlines()) == 3, plan
+        plan = _plan(after.docs)
+        assert plan.index("LeftAnti") < plan.index("Generate"), plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r.id, r.size) for r in after.docs.collect()} == {(1, 3), (3, 1)}
