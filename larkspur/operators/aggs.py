@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +32,23 @@ def metric(kind: str, o: dict) -> Column:
 
 
 def metrics(df: DataFrame, aggs: dict[str, dict]) -> DataFrame:
-    """One row with a column for each named metric."""
-    return df.agg(*[metric(*next(iter(a.items()))).alias(n) for n, a in aggs.items()])
+    """One row with a column for each named metric.
+
+    A field whose exact cardinality is wanted is read by itself: its values are grouped with nothing beside them, and
+    exact and approximate cardinalities are of the values left, so that no value carries the buffers of other metrics.
+    """
+    kinds = {n: next(iter(a.items())) for n, a in aggs.items()}
+    exact = {o["field"] for kind, o in kinds.values() if kind == "cardinality" and o.get("exact")}
+    apart = {n: o["field"] for n, (kind, o) in kinds.items() if kind == "cardinality" and o["field"] in exact}
+    parts = []
+    for f in dict.fromkeys(apart.values()):
+        mine = [n for n in apart if apart[n] == f]
+        one = df.select(F.col(f).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+        parts.append(one.agg(*[(F.count("_v") if kinds[n][1].get("exact") else F.approx_count_distinct("_v")).alias(n) for n in mine]))
+    rest = [metric(*a).alias(n) for n, a in kinds.items() if n not in apart]
+    if rest or not parts:
+        parts.append(df.agg(*rest))
+    return reduce(lambda a, b: a.crossJoin(b), parts).select(*kinds)
 
 
 def micros(interval: str) -> int:

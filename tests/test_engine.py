@@ -394,3 +394,17 @@ def test_postings_batch_makes_tokens_once_a_pass(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {(r.id, r.size) for r in after.docs.collect()} == {(1, 3), (3, 1)}
+
+
+def test_exact_cardinality_groups_values_alone(spark):
+    """Grouped values carry no buffers of other metrics: memory grows by the values alone."""
+    from larkspur.operators import aggs
+
+    df = spark.createDataFrame([(1, "a", 1.5), (1, None, -0.0), (2, "b", 0.0), (None, "a", float("nan")), (3, "b", float("nan"))], "k long, s string, v double")
+    card = lambda f, **o: {"cardinality": {"field": f} | o}
+    out = aggs.metrics(df, {"n": {"count": {}}, "k": card("k", exact=True), "ek": card("k"), "s": card("s", exact=True), "v": card("v", exact=True), "es": card("s"), "top": {"max": {"field": "k"}}})
+    assert out.columns == ["n", "k", "ek", "s", "v", "es", "top"] and out.first() == (5, 3, 3, 2, 3, 2, 3.0)
+    plan = _plan(aggs.metrics(df, {"k": card("k", exact=True), "e": card("k"), "n": {"avg": {"field": "v"}}}))
+    keyed = [line for line in plan.splitlines() if "HashAggregate(keys=[" in line and "keys=[]" not in line]
+    assert keyed and all("functions=[]" in line for line in keyed), plan
+    assert aggs.metrics(df.where("k > 9"), {"k": card("k", exact=True), "n": {"count": {}}}).first() == (0, 0)
