@@ -408,3 +408,52 @@ def test_exact_cardinality_groups_values_alone(spark):
     keyed = [line for line in plan.splitlines() if "HashAggregate(keys=[" in line and "keys=[]" not in line]
     assert keyed and all("functions=[]" in line for line in keyed), plan
     assert aggs.metrics(df.where("k > 9"), {"k": card("k", exact=True), "n": {"count": {}}}).first() == (0, 0)
+
+
+@pytest.mark.parametrize("saved", [False, True])
+def test_postings_of_a_batch_cut_each_text_once(spark, tmp_path, saved):
+    """For statistics and scores together; a saved base is read. Scores are those by the postings' rows."""
+    from larkspur.operators import postings
+
+    cuts = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(s):
+        cuts.add(1)
+        return s.split() if s else []
+
+    old = [(1, "a a b"), (2, "b c"), (3, "a b"), (4, ""), (5, "a"), (6, None), (7, "b b b"), (None, "a"), (8, "c")]
+    new = [(1, "a c c"), (3, ""), (5, "c a"), (9, "a a"), (10, None), (None, "b")]
+    base = postings.build(spark.createDataFrame(old, "_id long, text string").repartition(3), words("text"))
+    base = base.save(str(tmp_path / "p")) if saved else base
+    gone = spark.createDataFrame([(5,), (7,), (11,), (None,)], "id long")
+    after = postings.apply(base, postings.build(spark.createDataFrame(new, "_id long, text string").repartition(2), words("text")), gone)
+    cuts.value = 0
+    got = {r.id: r._score for r in postings.bm25(after, {"a": 1, "c": 2, "nowhere": 1}).collect()}
+    assert cuts.value == 5 + 8 * (not saved)  # null ids are not cut
+    now = {1: "a c c", 2: "b c", 3: "a b", 5: "c a", 8: "c", 9: "a a"}
+    assert {r.id: r.size for r in after.docs.collect()} == {i: len(t.split()) for i, t in now.items()} and set(got) == set(now)
+    mean = sum(len(t.split()) for t in now.values()) / len(now)
+    for i, t in now.items():
+        w = t.split()
+        idf = {x: np.log(1 + (len(now) - n + 0.5) / (n + 0.5)) for x in "ac" for n in [sum(x in u.split() for u in now.values())]}
+        want = sum(k * idf[x] * w.count(x) / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, k in (("a", 1), ("c", 2)))
+        assert abs(got[i] - want) < 1e-12
+    for least in (0, 2):
+        rows = {r.id: r._score for r in postings.bm25(postings.Postings(after.table, after.docs), {"a": 1, "c": 2}, least).collect()}
+        counted = {r.id: r._score for r in postings.bm25(after, {"a": 1, "c": 2}, least).collect()}
+        assert set(rows) == set(counted) and all(abs(rows[i] - counted[i]) < 1e-12 for i in rows)
+    again = postings.apply(after, postings.build(spark.createDataFrame([(2, "a")], "_id long, text string"), words("text")))
+    cuts.value = 0
+    assert sorted(r.id for r in postings.bm25(again, {"a": 1}).collect()) == [1, 2, 3, 5, 9] and cuts.value == 6 + 8 * (not saved)
+
+
+def test_postings_of_many_terms_go_by_rows(spark):
+    from larkspur.operators import postings
+
+    p = postings.build(spark.createDataFrame([(1, "a b"), (2, "b")], "_id long, text string"), analysis.tokens(F.col("text")))
+    few, many = ({r.id: r._score for r in postings.bm25(p, dict.fromkeys(t, 1)).collect()} for t in (["a", "b"], ["a", "b", *(f"x{i}" for i in range(postings.WIDE))]))
+    assert set(few) == set(many) == {1, 2} and all(abs(few[i] - many[i]) < 1e-12 for i in few)
+    assert postings.bm25(p, {}).count() == 0
+    other = postings.apply(p, postings.build(spark.createDataFrame([(2, "a")], "_id int, text string"), analysis.tokens(F.col("text"))))
+    assert other.counts is None and sorted(r.id for r in postings.bm25(other, {"a": 1}).collect()) == [1, 2]
